@@ -76,8 +76,8 @@ def row_blocks(offsets: np.ndarray, most: int):
         at = end
 
 
-def cut(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of bytes b with inside[b], never across rows: starts, ends, and each row's first run."""
+def cut(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes b with inside[b], never across rows nor breaks[i] (between i and i + 1): starts, ends, and each row's first run."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
@@ -86,6 +86,9 @@ def cut(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.n
     first[1:] &= ~in_word[:-1]
     last = in_word.copy()
     last[:-1] &= ~in_word[1:]
+    if breaks is not None:
+        first[1:] |= breaks
+        last[:-1] |= breaks
     edge = offsets[1:-1]
     edge = edge[(edge > 0) & (edge < n)]
     first[edge] = in_word[edge]

@@ -14,7 +14,7 @@ number, shifted, plus a counter.
 
 from __future__ import annotations
 
-import re
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +22,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, LOWER, cut, hash_runs, row_blocks, text_buffers
+from .common import ASCII_SPACE, LOWER, cut, hash_runs, row_blocks, table, text_buffers
 
 CAPACITY = 4096
 WINDOW = 1 << 20
 BLOCK = 4 << 20
-CACHED = 600_000
+CACHED = 2_000_000
+LETTER, STOP = table(b"abcdefghijklmnopqrstuvwxyz"), table(b".,")
 _TOKENIZERS: dict = {}
 
 
+def _byte_chars() -> dict[int, int]:
+    """The byte-level alphabet: bytes that print stand for themselves, the others for characters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in shown)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
 class ChunkTokenizer:
     """A word-level BPE tokenizer over whole texts, with the ids of chunks kept by hash.
 
@@ -55,9 +65,16 @@ class ChunkTokenizer:
         self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _encode(self, chunks: list[bytes]) -> list[list[int]]:
-        model, whole = self.tokenizer.model, self.tokenizer.encode
-        plain = re.compile(rb"[a-z]+").fullmatch
-        return [[t.id for t in model.tokenize(c.decode())] if plain(c) else whole(c.decode(), add_special_tokens=False).ids for c in chunks]
+        model, whole, out = self.tokenizer.model.tokenize, self.tokenizer.encode, []
+        for chunk in chunks:
+            word = chunk.decode()
+            if word.isascii() and word.isalpha():
+                out.append([t.id for t in model(word)])
+            elif word.isalpha() and word == word.lower() and is_normalized("NFC", word):  # a run of letters, as the model sees it
+                out.append([t.id for t in model(chunk.decode("latin-1").translate(BYTE_CHARS))])
+            else:
+                out.append(whole(word, add_special_tokens=False).ids)
+        return out
 
     def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows in a row, and where each row's ids begin and end."""
@@ -65,13 +82,8 @@ class ChunkTokenizer:
         if b"<|" not in raw:
             data = LOWER[data]
             raw = data.tobytes()
-        starts, ends, rows = cut(data, offsets, ~ASCII_SPACE)
-        letter = (data >= 97) & (data <= 122)
-        stop = (data == 46) | (data == 44)
-        inner = np.flatnonzero(letter[:-1] & stop[1:] | stop[:-1] & letter[1:]) + 1 if len(data) else starts
-        inner = np.setdiff1d(inner, offsets, assume_unique=False)
-        starts, ends = np.union1d(starts, inner), np.union1d(ends, inner)
-        rows = np.searchsorted(starts, offsets)
+        letter, stop = LETTER[data], STOP[data]
+        starts, ends, rows = cut(data, offsets, ~ASCII_SPACE, letter[:-1] & stop[1:] | stop[:-1] & letter[1:])
         hashes = hash_runs(data, starts, ends)
         found, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > CACHED:
