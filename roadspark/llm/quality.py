@@ -200,9 +200,34 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
 
+def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """All columns of docs with a column score, in one pass over the texts."""
+    own = docs.columns
+    names, at = [f"c{k}" for k in range(len(own))], own.index(text_col)
+    plain = docs.toDF(*names)
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(at))
+            parts = [model.score(statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in row_blocks(offsets, BLOCK_BYTES)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(np.concatenate([*parts, np.zeros(0)]), 9))], names=[*names, "score"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
+    return plain.mapInArrow(run, f"{kinds}, score double").toDF(*own, "score")
+
+
+def known(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """label and stats of the labelled documents that are not held out."""
+    marks = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).alias("label")).where(F.col("label").isNotNull())
+    return stats.where(~held_out(id_col)).join(marks, F.col(id_col) == F.col("label_id")).select("label", "stats")
+
+
+def learnt(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """The model of the labelled documents that are not held out."""
+    return fit(known(described(docs, text_col, [id_col]), labels, id_col, label_col))
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """id, held_out and score of every document, learnt from the labelled documents that are not held out."""
     stats = stored(described(docs, text_col, [id_col]), "statistics")
-    marks = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).alias("label")).where(F.col("label").isNotNull())
-    known = stats.where(~held_out(id_col)).join(marks, F.col(id_col) == F.col("label_id"))
-    return scored(stats, fit(known.select("label", "stats"))).select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score")
+    return scored(stats, fit(known(stats, labels, id_col, label_col))).select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score")

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language, neardup, packing, pii, quality, topk, warc
+from . import decontaminate, html_extract, language, neardup, packing, pii, quality, toolcalls, topk, warc
+
+
+#: Scores from here on count as label 1.
+PREDICTED = 0.3
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +43,19 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+REPLY_SCHEMA = [("reply", "prompt", "string", True), ("reply", "turn", "integer", True)]
+
+
+def op5_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.from_turns(read(spark, sf_dir, "conversations"))
+    schemas = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{n}', '{p}', '{k}', {str(r).lower()})" for n, p, k, r in REPLY_SCHEMA) + " AS t(name, param, kind, required)")
+    linked = toolcalls.link(calls, results, schemas)
+    return linked.select("conv_id", "call_id", "seq", "level", "status", "n_results", F.concat_ws(",", "violations").alias("violations"), "json")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    return found.withColumn("predicted", (F.col("score") >= PREDICTED).cast("int"))
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +78,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_warc, op3_html, op4_decontamination, op6_quality, op7_pii, op8_topk, op9_neardup, op10_language)}
+    return {f.__name__: f for f in (op1_packing, op2_warc, op3_html, op4_decontamination, op5_toolcalls, op6_quality, op7_pii, op8_topk, op9_neardup, op10_language)}
 
 
 OP2_SQL = """
@@ -95,6 +109,20 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
 
+OP5_SQL = """
+WITH RECURSIVE c AS (SELECT conv_id, turn, text, conv_id || '-' || turn AS call_id, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1 AS first FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn - 1 AS turn, count(*) AS n, min({'t': turn, 'x': text}).x AS content FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+l AS (SELECT conv_id, turn, 0 AS level FROM c x WHERE first AND NOT EXISTS (SELECT 1 FROM c y WHERE y.first AND y.conv_id = x.conv_id AND y.turn = x.turn - 2)
+      UNION ALL SELECT c.conv_id, c.turn, l.level + 1 FROM l JOIN c ON c.first AND c.conv_id = l.conv_id AND c.turn = l.turn + 2),
+r AS (SELECT c.*, level, CASE WHEN first THEN coalesce(n, 0) ELSE 0 END AS n_results, content,
+             CASE WHEN NOT first THEN 'duplicate' WHEN n IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+             CASE WHEN first AND c.turn >= 2 AND level = 0 THEN 'after:' || conv_id || '-' || (turn - 2) END AS lost
+      FROM c LEFT JOIN l USING (conv_id, turn) LEFT JOIN a USING (conv_id, turn))
+SELECT conv_id, call_id, turn AS seq, level, status, n_results, concat_ws(',', CASE WHEN text IS NULL THEN 'missing:prompt' END, lost) AS violations,
+       CAST(to_json({'arguments': {'prompt': text, 'turn': turn}, 'call_id': call_id, 'level': level, 'name': 'reply', 'result': CASE WHEN first THEN content END, 'status': status}) AS VARCHAR) AS json
+FROM r
+"""
+
 OP8_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -118,4 +146,4 @@ FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.a = w.doc_id GROUP BY w.doc_id, n
 
 
 def oracle_sql() -> dict:
-    return {"op9_neardup": OP9_SQL, "op2_warc": OP2_SQL, "op4_decontamination": OP4_SQL, "op8_topk": OP8_SQL}
+    return {"op9_neardup": OP9_SQL, "op2_warc": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_toolcalls": OP5_SQL, "op8_topk": OP8_SQL}
