@@ -7,9 +7,10 @@ made anew from the payload. A file is written under a temporary name of its atte
 so that a lost executor's files never count twice; the names, sizes and digests of a task's files are its
 manifest rows, written as a table beside the archives and read by the reader, which sees no other files.
 
-Responses of equal payloads are found without moving texts: digests are counted and joined back by key.
-Digests that hold a thousandth of all rows or more, at most 1000 of them, are broadcast instead, so that a
-hot payload lands in no single task.
+Responses of equal payloads are found without moving texts: digests are counted and joined back by key, and
+the marks so made meet their pages in the sort by range, which moves each payload once. Digests that hold a
+thousandth of all rows or more, at most 1000 of them, are broadcast instead, so that a hot payload lands in
+no single task.
 
 Null payloads count as empty; a null identifier sorts first, has no number in its headers and never becomes
 the response of a group that has numbered records; of rows that repeat the chosen identifier the first
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, stored
 
 ROLL_BYTES = 32 << 20
 LEAST_BYTES = 1000
@@ -37,22 +38,18 @@ RECORDS = "page_id long, url string, record_type string, payload_digest string,
 DATE = "1970-01-01T00:00:00Z"
 
 
-def marked(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, html, payload_digest, payload_bytes and response_id: the largest page_id of the equal payloads."""
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")
-    ).select("*", F.sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    digests = pages.select(F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"), F.col("page_id").cast("long").alias("page_id")).where(F.octet_length("payload") >= least)
-    groups = digests.groupBy(F.sha1("payload").alias("payload_digest")).agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1")
-    total = pages.count()
+def marks(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+    """page_id, payload_digest and response_id (the largest page_id of the equal payloads) of pages in groups of equal payloads."""
+    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    narrow = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least).select(F.col("page_id").cast("long").alias("page_id"), F.sha1(body).alias("payload_digest"))
+    narrow = stored(narrow, "digests")
+    groups = stored(narrow.groupBy("payload_digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1"), "groups")
+    total = narrow.count()
     hot = groups.where(F.col("n") * 1000 >= total).select("payload_digest", F.col("response_id").alias("hot_id"))  # 1000 rows at most
     rest = groups.where(F.col("n") * 1000 < total).select("payload_digest", "response_id")
-    rows = rows.join(F.broadcast(hot), "payload_digest", "left")
-    key = F.when(F.col("hot_id").isNull() & (F.col("payload_bytes") >= least), F.col("payload_digest"))
-    cold = rows.where(key.isNotNull()).join(rest, "payload_digest", "left")
-    others = rows.where(key.isNull()).withColumn("response_id", F.col("hot_id"))
-    names = ["page_id", "url", "payload", "payload_digest", "payload_bytes", "response_id"]
-    return cold.select(*names).unionByName(others.select(*names))
+    some = narrow.join(F.broadcast(hot), "payload_digest", "left")
+    found = some.where(F.col("hot_id").isNull()).drop("hot_id").join(rest, "payload_digest").where(F.col("response_id").isNotNull())
+    return stored(found.select("page_id", "payload_digest", "response_id").unionByName(some.where(F.col("hot_id").isNotNull()).withColumnRenamed("hot_id", "response_id").select("page_id", "payload_digest", "response_id")), "marks")
 
 
 def record(kind: str, page: int | None, url: str, digest: str, size: int, refers: int | None, payload: bytes) -> bytes:
@@ -103,18 +100,27 @@ class _File:
 def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least: int = LEAST_BYTES) -> DataFrame:
     """Writes the archives of pages(page_id, url, html) below folder and returns their manifest, read from its table."""
     spark = pages.sparkSession
-    ranged = marked(pages, least).repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "page_id").sortWithinPartitions("page_id", "payload_digest", "url")
+    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit(1).alias("is_page"), F.col("url").cast("string").alias("url"), body.alias("payload"), F.sha1(body).alias("payload_digest"), F.lit(None).cast("long").alias("response_id"))
+    first = marks(pages, least).select("page_id", F.lit(0).alias("is_page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "payload_digest", "response_id")
+    both = rows.unionByName(first)  # a page's marks stand before it, so that payloads move once
+    ranged = both.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "page_id").sortWithinPartitions("page_id", "is_page", "payload_digest", "url")
 
     def run(batches):
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        part, rolled, file, last, done = TaskContext.get().partitionId(), 0, None, None, []
+        part, rolled, file, last, done, of, known = TaskContext.get().partitionId(), 0, None, None, [], None, {}
         for batch in batches:
-            for i in range(batch.num_rows):
-                page, url, payload, digest, size, response = (batch.column(k)[i].as_py() for k in range(6))
+            for page, is_page, url, payload, digest, response in zip(*(c.to_pylist() for c in batch.columns)):
+                if not is_page:
+                    if of != (page,):
+                        of, known = (page,), {}
+                    known[digest] = response
+                    continue
+                response = known.get(digest) if of == (page,) and len(payload) >= least else None
                 first = response is None or page == response and last != (page, digest)
                 last = (page, digest)
-                member = record("response" if first else "revisit", page, url, digest, size, response, payload)
+                member = record("response" if first else "revisit", page, url, digest, len(payload), response, payload)
                 packer = zlib.compressobj(6, zlib.DEFLATED, 31)
                 member = packer.compress(member) + packer.flush()
                 if file is None:
