@@ -35,6 +35,6 @@ def house_key(number: Column) -> Column:
 
 def clean_house(number: Column) -> Column:
     """Lists joined by semicolons become a range of their first and last."""
-    parts = F.filter(F.transform(F.split(F.trim(number), ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.trim(number), ";"), lambda x: F.trim(x)), lambda x: x != "")
     first, last = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(-1))
     return F.when(~F.contains(number, F.lit(";")), F.trim(number)).when(F.size(parts) == 0, F.trim(number)).when(first == last, first).otherwise(F.concat(first, F.lit("–"), last))

@@ -30,7 +30,7 @@ def reached_cells(edges: DataFrame, nodes: DataFrame, sources: DataFrame, second
 
 
 def trace(cells: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Closed rings around sets of (row, column), cells on the left; where two cells touch at a corner the walk turns left, so that they stay apart."""
+    """Closed rings, corner by corner, around sets of (row, column); where two cells touch at a corner the walk turns left, so that they stay apart."""
     step: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for r, c in sorted(cells):
         for a, b, other in (((r, c), (r, c + 1), (r - 1, c)), ((r, c + 1), (r + 1, c + 1), (r, c + 1)), ((r + 1, c + 1), (r + 1, c), (r + 1, c)), ((r + 1, c), (r, c), (r, c - 1))):
@@ -45,18 +45,14 @@ def trace(cells: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
             if len(options) > 1 and way is not None:
                 turn = lambda b, at=at, way=way: way[0] * (b[1] - at[1]) - way[1] * (b[0] - at[0])
                 options.sort(key=turn)
-            b = options.pop()
+            b = options.pop(0)
             if not options:
                 del step[at]
             new = (b[0] - at[0], b[1] - at[1])
-            if new == way:
-                ring.pop()
             ring.append(b)
             at, way = b, new
             if at == start:
                 break
-        if len(ring) > 3 and (ring[1][0] - ring[0][0], ring[1][1] - ring[0][1]) == way:  # the start lies within an edge
-            ring = ring[1:-1] + [ring[1]]
         rings.append(ring)
     return rings
 

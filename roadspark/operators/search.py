@@ -145,6 +145,8 @@ def split(p: Problem, tour: list[int]) -> list[list[int]]:
     for j in range(1, len(tour) + 1):
         for i in range(j):
             c = best[i][0] + p.route_cost(tour[i:j])
+            if not np.isfinite(c):
+                continue
             if (c, best[i][1] + 1) < (best[j][0] - EPS, best[j][1]) or abs(c - best[j][0]) <= EPS and best[i][1] + 1 < best[j][1]:
                 best[j] = (c, best[i][1] + 1, i)
     if not np.isfinite(best[-1][0]):

@@ -47,8 +47,12 @@ def fold(old: tuple[float, int] | None, reports: list[tuple[int, float]]) -> tup
     return factor, at
 
 
-def averaged(stream: DataFrame) -> DataFrame:
-    """The stateful stream of factors by edge, from reports(src, dst, factor, ms)."""
+def averaged(stream: DataFrame, expire: bool = True) -> DataFrame:
+    """The stateful stream of factors by edge, from reports(src, dst, factor, ms).
+
+    Idle edges expire by the clock, for which the query keeps running batches; a run over what is there at its
+    start (trigger availableNow) ends only with expire=False.
+    """
 
     def step(key, frames, state):
         if state.hasTimedOut:
@@ -57,10 +61,11 @@ def averaged(stream: DataFrame) -> DataFrame:
         reports = [(int(m), float(f)) for pdf in frames for m, f in zip(pdf["ms"], pdf["factor"])]
         new = fold(tuple(state.get) if state.exists else None, reports)
         state.update(new)
-        state.setTimeoutDuration(HALF_LIFE_MS * TTL_HALF_LIVES)
+        if expire:
+            state.setTimeoutDuration(HALF_LIFE_MS * TTL_HALF_LIVES)
         yield pd.DataFrame([(*key, *new)], columns=["src", "dst", "factor", "updated_ms"])
 
-    return stream.groupBy("src", "dst").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("src", "dst").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def replayed(reports: DataFrame) -> DataFrame:
