@@ -68,7 +68,7 @@ class ChunkTokenizer:
         model, whole, out = self.tokenizer.model.tokenize, self.tokenizer.encode, []
         for chunk in chunks:
             word = chunk.decode()
-            if word.isascii() and word.isalpha():
+            if word.isascii() and word.isalpha() and word.islower():
                 out.append([t.id for t in model(word)])
             elif word.isalpha() and word == word.lower() and is_normalized("NFC", word):  # a run of letters, as the model sees it
                 out.append([t.id for t in model(chunk.decode("latin-1").translate(BYTE_CHARS))])
