@@ -4,9 +4,9 @@ Calls and results are hash-joined by conversation and call id; calls are ordered
 they come after, arguments are validated against schemas, and each call is written as canonical JSON: keys in
 order, no blanks, nulls kept.
 
-A call's level is the length of the longest chain of calls before it: edges whose source is itself behind
-another call stay for the next round, each round a table in the shared folder, until none or only circles are
-left. Calls in or behind a circle have no level. (level, seq, call_id) is an order of a conversation's calls.
+A call's level is the length of the longest chain of calls before it. Along calls that come after one other
+alone, pointers double their reach each round; calls that come after several are levelled once all before them
+are. Each round is a table in the shared folder. Calls in or behind a circle have no level. (level, seq, call_id) is an order of a conversation's calls.
 
 Of calls that repeat an id the first by seq (ties: by arguments) is the call, the others are `duplicate` and
 have no result. The first result by seq (ties: by content) counts. Status is `linked`, `unanswered`, `cyclic`
@@ -29,22 +29,41 @@ TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE
 
 
 def levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of edges(conv_id, call_id, dep): (conv_id, call_id, level) of calls behind others, and the calls without one."""
-    now = stored(edges.select("conv_id", "call_id", "dep").distinct(), "edges-0")
-    behind, count = [], now.count()
-    while count:
-        calls = now.select("conv_id", "call_id").distinct()
-        behind.append(calls.withColumn("level", F.lit(len(behind) + 1)))
-        after = calls.select("conv_id", F.col("call_id").alias("dep"))
-        now = stored(now.join(after, ["conv_id", "dep"], "left_semi").select("conv_id", "call_id", "dep"), f"edges-{len(behind)}")
-        left = now.count()
-        if left == count:
+    """Of edges(conv_id, call_id, dep): (conv_id, call_id, level) of calls behind others, and the calls in or behind circles."""
+    edges = stored(edges.select("conv_id", "call_id", "dep").distinct(), "edges")
+    degree = stored(edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("dep").alias("dep")), "degree")
+
+    # calls behind one other: pointers double their reach until they stand on a call behind none or several
+    chain = stored(degree.where("n = 1").select("conv_id", "call_id", F.col("dep").alias("top"), F.lit(1).cast("bigint").alias("steps"), F.lit(True).alias("moving")), "chain")
+    rounds = chain.count().bit_length() + 1
+    for _ in range(rounds):
+        ahead = chain.select("conv_id", F.col("call_id").alias("top"), F.col("top").alias("next"), F.col("steps").alias("more"))
+        step = chain.join(ahead, ["conv_id", "top"], "left")
+        chain = stored(step.select("conv_id", "call_id", F.coalesce("next", "top").alias("top"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moving")), "chain")
+        if chain.where("moving").isEmpty():
+            break
+
+    # calls behind several: a round for each of these on the longest way
+    several = degree.where("n > 1").select("conv_id", "call_id")
+    onto = chain.select("conv_id", F.col("call_id").alias("dep"), "top", "steps", "moving")
+    hops = edges.join(several, ["conv_id", "call_id"], "left_semi").join(onto, ["conv_id", "dep"], "left")
+    hops = hops.select("conv_id", "call_id", F.coalesce("top", "dep").alias("top"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), F.coalesce("moving", F.lit(False)).alias("lost"))
+    held = hops.join(several.select("conv_id", F.col("call_id").alias("top"), F.lit(True).alias("open")), ["conv_id", "top"], "left")
+    hops = stored(held.select("conv_id", "call_id", "top", "steps", "lost", F.col("open").isNotNull().alias("waits")), "hops")
+    known, count = stored(several.withColumn("level", F.lit(0).cast("bigint")).where("false"), "known"), 0
+    while not hops.isEmpty():
+        seen = hops.join(known.select("conv_id", F.col("call_id").alias("top"), "level"), ["conv_id", "top"], "left")
+        ready = seen.groupBy("conv_id", "call_id").agg(F.max(F.col("lost") | (F.col("waits") & F.col("level").isNull())).alias("blocked"), F.max(F.coalesce("level", F.lit(0)) + F.col("steps")).alias("level"))
+        known = stored(ready.where("NOT blocked").select("conv_id", "call_id", "level"), "known")
+        if (new := known.count()) == count:
             break
-        count = left
-    found = edges.select("conv_id", "call_id", F.lit(0).alias("level")).where("false")
-    for part in behind:
-        found = found.unionByName(part)
-    return found.groupBy("conv_id", "call_id").agg(F.max("level").alias("level")), now.select("conv_id", "call_id").distinct()
+        count = new
+
+    base = chain.join(known.select("conv_id", F.col("call_id").alias("top"), "level"), ["conv_id", "top"], "left").join(several.select("conv_id", F.col("call_id").alias("top"), F.lit(True).alias("open")), ["conv_id", "top"], "left")
+    lost = F.col("moving") | (F.col("open").isNotNull() & F.col("level").isNull())
+    single = base.select("conv_id", "call_id", F.when(~lost, F.coalesce("level", F.lit(0)) + F.col("steps")).alias("level"))
+    every = stored(single.unionByName(several.join(known, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "level")), "levels")
+    return every.where("level IS NOT NULL"), every.where("level IS NULL").select("conv_id", "call_id")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -84,7 +103,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     out = out.withColumns(
         {
             "status": status,
-            "level": F.when(F.col("first") & F.col("circle").isNull(), F.coalesce("level", F.lit(0))),
+            "level": F.when(F.col("first") & F.col("circle").isNull(), F.coalesce("level", F.lit(0)).cast("bigint")),
             "violations": F.concat(checked, F.when(F.col("first"), F.coalesce("lost", none)).otherwise(none)),
             "n_results": F.when(F.col("first"), F.coalesce("n_results", F.lit(0))).otherwise(0).cast("long"),
             "result": F.when(F.col("first"), F.col("answer.content")),
