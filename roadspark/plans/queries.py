@@ -734,3 +734,64 @@ def live_status(spark, d):
     delays = stored(live.replayed(observations(spark, d)), "delays")
     now = delays.agg(F.max("updated_ms")).head()[0] or 0
     return live.status(delays, now).withColumn("max_factor", r(F.col("max_factor")))
+
+
+# --- more sources, streets and live ------------------------------------------------------------------------
+
+
+@query(LEGS + "SELECT 1 AS plan, COUNT(*) AS routes, SUM(distance) AS distance FROM q", "stops", "depots")
+def solution_document(spark, d):
+    from ..sources import files
+
+    rows = stored(routes(spark, d), "walk")
+    m = evaluate.metrics(rows).select(F.lit(1).alias("plan"), "route_id", "cost", "travel_s", "distance")
+    steps = evaluate.rendered(rows).select(F.lit(1).alias("plan"), "route_id", "seq", "kind", "job", "arrival")
+    none = steps.where("false").select("plan", "job", F.lit("").alias("reason"))
+    # one plan of all customers is one document: its parts are read back out of it
+    doc = files.solution(m, steps, none).select("plan", F.from_json("document", "summary struct<routes:bigint,distance:bigint>").alias("d"))
+    return doc.select("plan", "d.summary.routes", "d.summary.distance")
+
+
+@query("SELECT s.street, ARG_MIN(s.node, " + HAV.format("r.", "n.") + " * 1000000 + s.node) AS node FROM street_nodes s JOIN nodes n USING (node), (SELECT 59.95e0 AS lat, 10.8e0 AS lon) r WHERE lower(s.street) = (SELECT MIN(lower(street)) FROM street_nodes) GROUP BY s.street", "street_nodes", "nodes")
+def street_near(spark, d):
+    s = fixture(spark, d, "street_nodes")
+    name = s.agg(F.min(F.lower("street"))).head()[0] or ""
+    return geocode.street_near(s, fixture(spark, d, "nodes"), name, 59.95, 10.8).select("street", "node")
+
+
+@query("SELECT a.node FROM street_nodes a JOIN street_nodes b USING (node) JOIN nodes n USING (node), (SELECT MIN(street) AS lo, MAX(street) AS hi FROM street_nodes) m WHERE a.street = m.lo AND b.street = m.hi", "street_nodes", "nodes")
+def crossing_near(spark, d):
+    s = fixture(spark, d, "street_nodes")
+    lo, hi = s.agg(F.min("street"), F.max("street")).head()
+    return geocode.crossing(s, fixture(spark, d, "nodes"), lo, hi, 59.95, 10.8).select("node")
+
+
+@query("SELECT node % 30 AS way, ROUND(AVG(lat), 9) AS lat, ROUND(AVG(lon), 9) AS lon FROM nodes GROUP BY node % 30", "nodes")
+def building_centroids(spark, d):
+    n = fixture(spark, d, "nodes").select((F.col("node") % 30).alias("way"), F.col("node").alias("seq"), "node", "lat", "lon")
+    return geocode.centroids(n).select("way", r(F.col("lat"), 9).alias("lat"), r(F.col("lon"), 9).alias("lon"))
+
+
+@query("WITH p AS (SELECT l_orderkey % 20 AS src, l_partkey % 20 AS dst, l_quantity - 2 AS seen, l_linenumber * 2e0 AS base, l_shipdate FROM lineitem) SELECT src, dst, ROUND(GREATEST(LEAST(seen / base, 5e0), 33e-2), 6) AS factor, COUNT(*) AS n FROM p WHERE seen > 5e-1 AND base > 5e-1 AND src <> dst GROUP BY ALL")
+def live_stretches(spark, d):
+    p = fixture(spark, d, "lineitem").select((F.col("l_orderkey") % 20).alias("src"), (F.col("l_partkey") % 20).alias("dst"), F.lit(0.0).alias("t0"), (F.col("l_quantity") - 2).alias("t1"), (F.col("l_linenumber") * 2.0).alias("base_s"))
+    return live.stretches(p).groupBy("src", "dst", r(F.col("factor")).alias("factor")).agg(F.count("*").alias("n"))
+
+
+@query("WITH " + LIVE + ", n AS (SELECT MAX(s.ms) AS now FROM z), y AS (SELECT src, dst, GREATEST(LEAST(1 + (s.f - 1) * POW(5e-1, GREATEST(now - s.ms, 0) / 600000e0), 8e0), 33e-2) AS f FROM z, n) SELECT e.src, e.dst, ROUND(e.dur * COALESCE(CASE WHEN ABS(f - 1) > 1e-2 THEN f ELSE 1e0 END, 1e0), 6) AS dur FROM edges e LEFT JOIN y USING (src, dst)", "edges")
+def live_applied(spark, d):
+    delays = stored(live.replayed(observations(spark, d)), "delays")
+    now = delays.agg(F.max("updated_ms")).head()[0] or 0
+    return live.applied(fixture(spark, d, "edges"), delays, now).select("src", "dst", r(F.col("dur")).alias("dur"))
+
+
+@query("WITH s AS (SELECT user_id % 100 AS j, COUNT(*) AS seen FROM events GROUP BY 1) SELECT c.i, c.j, c.dur FROM cells c LEFT JOIN s USING (j) WHERE c.dur < 900 OR COALESCE(seen, 0) >= 20", "cells")
+def rare_pruned(spark, d):
+    seen = fixture(spark, d, "events").groupBy((F.col("user_id") % 100).alias("place")).agg(F.count("*").alias("seen"))
+    return broker.rare_pruned(cells(spark, d), seen, 20, 900).select("i", "j", "dur")
+
+
+@query(LEGS + "SELECT route_id, ROUND(cost, 6) AS cost FROM q WHERE FALSE", "stops", "depots")
+def plan_verified(spark, d):
+    m = stored(evaluate.metrics(routes(spark, d)), "plan")
+    return evaluate.verify(m, evaluate.metrics(routes(spark, d))).select("route_id", F.col("found").alias("cost"))

@@ -87,7 +87,7 @@ def applied(edges: DataFrame, delays: DataFrame, now_ms: int) -> DataFrame:
     """edges with their durations times the decayed factor, within bounds, where it differs from 1 by more than a hundredth."""
     rows = edges.join(delays, ["src", "dst"], "left")
     factor = F.greatest(F.least(decayed(F.col("factor"), F.lit(now_ms) - F.col("updated_ms"), HALF_LIFE_MS), F.lit(APPLIED[1])), F.lit(APPLIED[0]))
-    use = F.when(F.abs(factor - 1) > 0.01, factor).otherwise(1.0)
+    use = F.when(F.col("factor").isNotNull() & (F.abs(factor - 1) > 0.01), factor).otherwise(1.0)  # bounds skip nulls
     return rows.select("src", "dst", (F.col("dur") * F.coalesce(use, F.lit(1.0))).alias("dur"), "dist", F.coalesce(use, F.lit(1.0)).alias("applied"))
 
 
