@@ -2,44 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: list[str] = []
-_U64 = np.uint64
+from pyspark.sql import SparkSession
 
+from ..plans.lineage import shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; in local tests without it, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.conf.get("spark.master", spark.sparkContext.master).startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="roadspark-"))
-        atexit.register(shutil.rmtree, _OWN[0], True)
-    return "file://" + _OWN[0]
+__all__ = ["ASCII_SPACE", "LOWER", "cut", "hash_runs", "mix", "row_blocks", "scratch", "stored", "table", "text_buffers"]
+_U64 = np.uint64
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
+    """A new path below the folder that all executors share."""
     return f"{shared_dir(spark)}/roadspark/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: its lineage ends, and lost executors cost nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(chars: bytes | str) -> np.ndarray:
     """256 booleans, true for the bytes given."""
     out = np.zeros(256, bool)
