@@ -17,7 +17,7 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle metres; null where a coordinate is null."""
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), 2)
     h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
-    return F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * (2 * EARTH_M)
+    return F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h))) * (2 * EARTH_M)  # least() would skip a null
 
 
 def planar2(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -266,3 +266,17 @@ def test_regression(spark):
     df = spark.createDataFrame(rows, "x double, y double, z double, w double")
     assert np.allclose(learn.weighted_regression(df, ["x", "y"], "z", "w"), [3, 2, -1], atol=1e-3)
     assert learn.weighted_regression(df.limit(5), ["x"], "z", "w") is None
+
+
+def test_distances_and_factors_of_nothing(spark):
+    df = spark.sql("SELECT cast(null as double) AS a, 59.91D AS la, 10.75D AS lo, 60.39D AS lb, 5.32D AS lp")
+    row = df.select(geo.haversine(F.col("a"), F.col("lo"), F.col("lb"), F.col("lp")).alias("none"), geo.haversine(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp")).alias("far"), geo.haversine(F.col("la"), F.col("lo"), F.col("la"), F.col("lo")).alias("zero")).head()
+    assert row.none is None and abs(row.far - 305_000) < 20_000 and row.zero == 0
+    edges = spark.createDataFrame([(1, 2, 10, 100)], SCHEMA)
+    delays = spark.createDataFrame([(3, 4, 2.0, 0)], "src bigint, dst bigint, factor double, updated_ms bigint")
+    assert live.applied(edges, delays, 0).head().dur == 10.0
+
+
+def test_soft_weight_bounds(spark):
+    w = lambda c: spark.range(1).select(evaluate.soft_weight(F.lit(c), F.lit(100.0), F.lit(100.0)).alias("w")).head().w
+    assert (w(0.0), w(200.0), w(1e9)) == (10.0, 1000.0, 1e5)
