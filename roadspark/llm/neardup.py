@@ -36,7 +36,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 EVIDENCE = 25.0
 TILE = 512
 COLUMNS = 8192
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 BROADCAST_ROWS = 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -180,7 +180,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the sides of tiles(tile, i, j, side, node, label, n, regs, shingles) whose labels differ."""
+    """Links (a, b) between the sides of tiles(tile, i, j, side, node, label, n, regs, shingles) whose labels differ: of each tile's links a spanning forest over labels, so that their number follows the nodes."""
 
     def run(group: pa.Table) -> pa.Table:
         side = group["side"].to_numpy()
@@ -190,6 +190,13 @@ def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
         out: tuple[list, list] = ([], [])
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         a, b = a[np.argsort(node[a])], b[np.argsort(node[b])]
+        roots: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := roots.get(x, x)) != x:
+                roots[x] = x = roots.get(up, up)
+            return x
+
         for lo in range(0, len(a), TILE):
             for to in range(0, len(b), TILE):
                 x, y = a[lo : lo + TILE], b[to : to + TILE]
@@ -201,8 +208,12 @@ def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
                 uj, j2 = np.unique(j, return_inverse=True)
                 shared = shared_counts([np.frombuffer(raw[x[k]], np.uint64) for k in ui], [np.frombuffer(raw[y[k]], np.uint64) for k in uj], (i2, j2))
                 good = 100 * shared >= percent * (n[x[i]] + n[y[j]] - shared)
-                out[0].extend(node[x[i[good]]].tolist())
-                out[1].extend(node[y[j[good]]].tolist())
+                for p, q in zip(x[i[good]].tolist(), y[j[good]].tolist()):
+                    u, v = root(int(label[p])), root(int(label[q]))
+                    if u != v:
+                        roots[u] = v
+                        out[0].append(int(node[p]))
+                        out[1].append(int(node[q]))
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return tiles.groupBy("tile", "i", "j").applyInArrow(run, "a long, b long")
