@@ -46,7 +46,8 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
 
 
 def row_blocks(offsets: np.ndarray, most: int):
-    """Ranges of rows of at most `most` bytes together; a longer row stands alone."""
+    """Ranges of rows of at most `most` bytes together; a longer row stands alone. Arrow's unused memory goes back first."""
+    pa.default_memory_pool().release_unused()
     at, n = 0, len(offsets) - 1
     while at < n:
         end = int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1
