@@ -12,7 +12,13 @@ from . import decontaminate, html_extract, language, neardup, packing, pii, qual
 PREDICTED = 0.3
 
 
+#: Rows of long texts that travel to Python at once: workers hold a few copies of a batch.
+BATCH_ROWS = 1000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; from now on the session sends rows to Python in batches of BATCH_ROWS."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
