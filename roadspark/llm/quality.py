@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, LOWER, cut, hash_runs, mix, row_blocks, stored, table, text_buffers
 
 BLOCK_BYTES = 1 << 20
+#: Bytes of a line that are hashed as one run.
+LINE_BLOCK = 128
 #: Character classes whose counts are statistics.
 CLASSES = (
     table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
@@ -53,6 +55,19 @@ def distinct(rows: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.bincount(r[at], minlength=n), most
 
 
+def hash_lines(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of whole lines: the hashes of a line's blocks, mixed with their place and summed."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    blocks = -(-(ends - starts) // LINE_BLOCK)
+    first = np.cumsum(blocks) - blocks
+    line = np.repeat(np.arange(len(starts)), blocks)
+    place = np.arange(len(line)) - first[line]
+    at = starts[line] + place * LINE_BLOCK
+    hashes = hash_runs(data, at, np.minimum(at + LINE_BLOCK, ends[line]))
+    return np.add.reduceat(mix(hashes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first)
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A matrix of FEATURES statistics for rows of text."""
     n = len(offsets) - 1
@@ -86,7 +101,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ls, le, lrows = cut(low, offsets, ~CLASSES[6])
     lof = np.repeat(np.arange(n), np.diff(lrows))
     lines = np.diff(lrows).astype(float)
-    line_kinds, _ = distinct(lof, hash_runs(low, ls, np.minimum(le, ls + 200)) if len(ls) else np.zeros(0, np.uint64), n)
+    line_kinds, _ = distinct(lof, hash_lines(low, ls, le), n)
     longest = np.zeros(n)
     np.maximum.at(longest, lof, (le - ls).astype(float))
     share = [np.sqrt(c / np.maximum(size, 1)) for c in counts]

@@ -175,6 +175,21 @@ def test_quality(spark, small):
     assert quality.classify(docs(spark, []), none).count() == 0
 
 
+def test_quality_tells_whole_lines_apart():
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    same_start, texts = "junk word " * 40, ["", "one line"]
+    for _ in range(40):
+        pool = [same_start[: rnd.choice([127, 128, 129, 200, 256, 400])] + rnd.choice(["", "a", "b", "ab" * 64, "ba" * 64]) for _ in range(4)]
+        texts.append("\n".join(rnd.choice(pool) for _ in range(9)))
+    texts.append("x" * 300 + "y" * 128 + "z" * 128 + "\n" + "x" * 300 + "z" * 128 + "y" * 128)
+    got = quality.statistics(*text_buffers(pa.array(texts, pa.string())))[:, 21]
+    for text, share in zip(texts, got):
+        lines = [line for line in text.split("\n") if line]
+        assert share == len(set(lines)) / max(len(lines), 1)
+
+
 def test_pii(spark):
     texts = [
         (1, "mail a.b+c@x-y.co.uk, or é@x.y @x.y a@b.c@d.e now"), (2, "ip 1.2.3.4 256.1.1.1 001.2.3.4.5.6.7.8 and 1.2.3"), (3, "card 4111 1111 1111 1111 and 4111-1111-1111-1112 or 378282246310005"),
