@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import spread
+
 EPS = 1e-9
 UNSERVED = 1e9
 PLAN = "problem long, seed long, cost double, unserved long, routes array<array<long>>"
@@ -195,7 +197,7 @@ def multi_start(problems: DataFrame, seeds: int, capacity: float, vehicles: int,
         out = [[names[k] for k in r] for r in routes]
         return pd.DataFrame([(pdf["problem"].iloc[0], seed, p.cost(routes), p.n - 1 - sum(map(len, routes)), out)], columns=["problem", "seed", "cost", "unserved", "routes"])
 
-    found = rows.groupBy("problem", "seed").applyInPandas(run, PLAN)
+    found = spread(rows, "problem", "seed").groupBy("problem", "seed").applyInPandas(run, PLAN)
     best = found.groupBy("problem").agg(F.min(F.struct("cost", "seed", "unserved", "routes")).alias("w"))
     return best.select("problem", "w.seed", "w.cost", "w.unserved", "w.routes")
 

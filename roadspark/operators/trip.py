@@ -24,14 +24,16 @@ def exact_order(d: np.ndarray, closed: bool) -> list[int]:
     inner = n - 1 if closed else n - 2
     cost = np.full((1 << inner, inner), np.inf)
     back = np.zeros((1 << inner, inner), np.int16)
-    for k in range(inner):
-        cost[1 << k, k] = d[0, k + 1]
-    for mask in range(1, 1 << inner):
-        for last in np.flatnonzero(np.isfinite(cost[mask])):
-            step = cost[mask, last] + d[last + 1, 1 : inner + 1]
-            for k in range(inner):
-                if not mask >> k & 1 and step[k] < cost[mask | 1 << k, k]:
-                    cost[mask | 1 << k, k], back[mask | 1 << k, k] = step[k], last
+    cost[1 << np.arange(inner), np.arange(inner)] = d[0, 1 : inner + 1]
+    masks = np.arange(1, 1 << inner)
+    sizes = sum(masks >> k & 1 for k in range(inner))
+    for size in range(1, inner):
+        layer = masks[sizes == size]
+        for k in range(inner):
+            own = layer[layer >> k & 1 == 0]
+            step = cost[own] + d[1 : inner + 1, k + 1]
+            last = step.argmin(axis=1)
+            cost[own | 1 << k, k], back[own | 1 << k, k] = step[np.arange(len(own)), last], last
     full = (1 << inner) - 1
     end = cost[full] + (d[1 : inner + 1, 0] if closed else d[1 : inner + 1, n - 1])
     last, mask, out = int(end.argmin()), full, []

@@ -27,6 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[0]
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as a shuffle has; for much work on few bytes, which Spark would merge into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/roadspark/{name}-{uuid.uuid4().hex}"

@@ -1,3 +1,4 @@
+import collections
 import heapq
 import itertools
 import math
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from roadspark.functions import arrays, expr, geo, polyline, text
 from roadspark.functions.profiles import CustomProfile
 from roadspark.operators import evaluate, graph_build, isochrone, learn, matching, nearest, paths, propagate, search, trip
+from roadspark.plans.queries import QUERIES
+from roadspark.plans.workload import fixture
 from roadspark.streaming import live
 
 
@@ -187,6 +190,53 @@ def test_trip_is_optimal():
     assert sorted(trip.best_order(d)) == list(range(20))
 
 
+def test_trip_order_takes_all_stops(spark, small):
+    stops, rows = collections.defaultdict(dict), collections.defaultdict(list)
+    for r in fixture(spark, small, "stops").collect():
+        stops[r.route_id][r.seq - 1] = (r.lat, r.lon)
+    for r in QUERIES["trip_order"](spark, small).orderBy("trip", "position").collect():
+        rows[r.trip].append(r)
+    assert max(map(len, stops.values())) > trip.EXACT and set(rows) == set(stops)
+    for k, own in stops.items():
+        order = [r.stop for r in rows[k]]
+        assert order[0] == 0 and sorted(order) == sorted(own)
+        lat, lon = np.radians([own[i] for i in range(len(own))]).T
+        a = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat)[:, None] * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+        d = np.round(12742000 * np.arcsin(np.sqrt(np.minimum(1, a))) * 1.3 / 13.9)
+        assert rows[k][0].total == trip.tour_cost(d, order, True)
+        if len(own) <= 7:
+            assert rows[k][0].total == min(trip.tour_cost(d, [0, *p], True) for p in itertools.permutations(range(1, len(own))))
+
+
+def test_multi_start_plans_take_all_routes(spark, small):
+    stops = collections.defaultdict(dict)
+    for r in fixture(spark, small, "stops").collect():
+        stops[r.route_id][r.seq] = ((r.lat - 59.9) * 1e4, (r.lon - 10.7) * 1e4, float(r.demand), float(r.service))
+    plans = QUERIES["multi_start_plans"](spark, small).collect()
+    assert sorted(r.problem for r in plans) == sorted(stops) and max(map(len, stops.values())) > 12
+    for r in plans:
+        own, served = stops[r.problem], [k for route in r.routes for k in route]
+        assert len(set(served)) == len(served) == len(own) - r.unserved and set(served) <= set(own) and len(r.routes) <= 6
+        x, y, demand, service = np.array([(0, 0, 0, 0), *(own[k] for k in sorted(own))], float).T
+        d = np.hypot(x[:, None] - x, y[:, None] - y)
+        p = search.Problem(d, demand, np.zeros(len(d)), np.array([1e9] + [1e6] * len(own)), service, 400.0, 6)
+        place = {k: i + 1 for i, k in enumerate(sorted(own))}
+        assert math.isclose(r.cost, p.cost([[place[k] for k in route] for route in r.routes]))
+        if len(own) <= 4 and sum(demand) <= 400:
+            best = min(sum(search.exact_route(p, list(part))[0] for part in parts) for parts in partitions(list(range(1, len(d)))))
+            assert math.isclose(r.cost, best)
+
+
+def partitions(left):
+    if not left:
+        yield []
+        return
+    for n in range(len(left)):
+        for more in itertools.combinations(left[1:], n):
+            for rest in partitions([k for k in left[1:] if k not in more]):
+                yield [[left[0], *more], *rest]
+
+
 def test_rings():
     assert [len(r) for r in isochrone.trace({(0, 0)})] == [5]
     assert len(isochrone.trace({(0, 0), (1, 1)})) == 2
