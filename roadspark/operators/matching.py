@@ -50,7 +50,7 @@ def viterbi(emissions: dict[int, list[tuple[int, float]]], moves: dict[tuple[int
         path.reverse()
         out.extend((s, n, m, k > 0 or not out_before) for k, (s, n, m) in enumerate(path))
 
-    out_before, last = [], None
+    out_before, last = False, None
     for seq in sorted(emissions):
         metres = dict(emissions[seq])
         own = {n: -0.5 * (m / sigma) ** 2 for n, m in metres.items()}
@@ -63,7 +63,7 @@ def viterbi(emissions: dict[int, list[tuple[int, float]]], moves: dict[tuple[int
                         best[to] = (v, node)
         if not best:
             close()
-            out_before = list(out)
+            out_before = bool(out)
             back, best = [], {n: (0.0, None) for n in own}
         score = {n: v + own[n] for n, (v, _) in best.items()}
         back.append((seq, {n: p for n, (_, p) in best.items()}, metres))

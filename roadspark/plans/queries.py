@@ -468,8 +468,8 @@ def trip_order(spark, d):
 
 @query()
 def map_match(spark, d):
-    pings = fixture(spark, d, "events").select((F.col("user_id") % 40).alias("trace_id"), F.row_number().over(Window.partitionBy(F.col("user_id") % 40).orderBy("ts", "event_id")).cast("bigint").alias("seq"), (59.9 + (F.col("event_id") % 60) * 0.001).alias("lat"), (10.7 + (F.col("event_id") % 60) * 0.002).alias("lon")).where("seq <= 30")
-    return matching.matched(pings, fixture(spark, d, "nodes").where("node < 60"), fixture(spark, d, "edges"), 3, 40.0)
+    pings = fixture(spark, d, "events").select((F.col("user_id") % 40).alias("trace_id"), F.row_number().over(Window.partitionBy(F.col("user_id") % 40).orderBy("ts", "event_id")).cast("bigint").alias("seq"), (59.9 + (F.col("event_id") % 60) * 0.001).alias("lat"), (10.7 + (F.col("event_id") % 60) * 0.002).alias("lon"))
+    return matching.matched(pings, fixture(spark, d, "nodes"), fixture(spark, d, "edges"), 3, 40.0)
 
 
 @query()

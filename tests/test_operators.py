@@ -254,6 +254,22 @@ def test_viterbi_stays_on_the_road():
     assert matching.viterbi({}, {}, 15.0) == []
 
 
+def test_map_match_takes_all_pings_and_nodes(spark, small):
+    nodes = {r.node: (r.lat, r.lon) for r in fixture(spark, small, "nodes").collect()}
+    names = np.array(sorted(nodes))
+    lat, lon = np.radians([nodes[n] for n in names]).T
+    traces = collections.defaultdict(list)
+    for r in fixture(spark, small, "events").orderBy("ts", "event_id").collect():
+        traces[r.user_id % 40].append(r.event_id)
+    got = {(r.trace_id, r.seq): r for r in QUERIES["map_match"](spark, small).collect()}
+    assert max(map(len, traces.values())) > 30 and set(got) == {(t, k + 1) for t, own in traces.items() for k in range(len(own))}
+    for (t, seq), r in got.items():
+        e = traces[t][seq - 1] % 60
+        a, o = math.radians(59.9 + e * 0.001), math.radians(10.7 + e * 0.002)
+        far = 12742000 * np.arcsin(np.sqrt(np.sin((lat - a) / 2) ** 2 + np.cos(a) * np.cos(lat) * np.sin((lon - o) / 2) ** 2))
+        assert r.metres <= np.sort(far)[2] + 1e-3 and abs(far[names == r.node][0] - r.metres) < 1e-3
+
+
 def test_ways(spark):
     nodes = spark.createDataFrame([(1, 59.0, 10.0), (2, 59.001, 10.0), (3, 59.002, 10.0)], "node bigint, lat double, lon double")
     ways = spark.createDataFrame([(1, [1, 2, 3], {"highway": "primary", "oneway": "yes", "name": "A"}), (2, [3, 1], {"highway": "footway"}), (3, [2], {"highway": "primary"}), (4, [1, 9, 2], {"highway": "residential"})], "way bigint, refs array<bigint>, tags map<string,string>")
