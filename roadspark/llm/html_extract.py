@@ -4,8 +4,9 @@ A page becomes a tree (tags that close others by implication, raw-text elements,
 handled). Elements that are never content by tag, role or name go first: menus, headers of the site, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments. Each paragraph-like block then passes points
 to its ancestors, for its length and its commas, halved at each level; a container's points are discounted by
-the share of its text that stands in links. The best container is kept, together with siblings that score near
-it or read like prose. All text of what is kept comes out block by block.
+the share of its text that stands in links. Where the best container lies in an article or main, all of that is
+kept but lists of links beside the container; elsewhere the best container is, with siblings that score near it
+or read like prose. All text of what is kept comes out block by block.
 
 Null or empty html, or a page without content, gives the empty string. Whole pages are read; nothing is
 capped. Repeated rows come out each for itself.
@@ -27,6 +28,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - frozenset("caption tbody td tfoot th thead tr html body li dd dt".split()) | {"p"}
+#: Containers that may be lists of links.
+LISTS = frozenset("div section ul ol dl table".split())
 #: A start tag closes these, up to the scopes named after them.
 IMPLIED = {
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
@@ -213,6 +216,21 @@ def score(root: Node) -> Node | None:
     return best
 
 
+def widened(best: Node) -> Node:
+    """The nearest article around the best container, else the nearest main, else the container; what is link-heavy beside the container goes."""
+    around, node = [], best
+    while node is not None:
+        around.append(node)
+        node = node.parent
+    top = next((x for tag in ("article", "main") for x in around if x.tag == tag), best)
+    inner = best
+    while inner is not top:
+        up = inner.parent
+        up.kids = [k for k in up.kids if k is inner or not isinstance(k, Node) or k.tag not in LISTS or 2 * k.links <= k.size]
+        inner = up
+    return top
+
+
 def kept(best: Node) -> list[Node]:
     """The best container and those of its siblings that score near it or read like prose, in page order."""
     if best.parent is None or best.tag in ("article", "main", "body") and not any(isinstance(k, Node) and k is not best and k.tag == best.tag for k in best.parent.kids):
@@ -266,7 +284,7 @@ def extract(html: str | None) -> str:
     root = parse(html)
     prune(root)
     best = score(root)
-    return "\n".join(blocks(kept(best))) if best is not None else ""
+    return "\n".join(blocks(kept(widened(best)))) if best is not None else ""
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -128,6 +128,17 @@ def brute_hits(text, items):
     return len(words), len(hit), sorted(names)
 
 
+@pytest.mark.parametrize("top, part", [("article", "section"), ("main", "div")])
+def test_html_keeps_short_parts_of_an_article(top, part):
+    long = [f"Paragraph {k}, with words, and more words, that go on for some time about one thing, {'and another ' * 12}end." for k in range(15)]
+    rest = "<h3>Small heading</h3><pre>x = 1</pre><figure><figcaption>A caption</figcaption></figure><p>No comma here</p>"
+    links = f"<{part}>" + "".join(f"<p><a href='/{k}'>Another page {k}</a></p>" for k in range(5)) + f"</{part}>"
+    body = f"<h1>Title</h1><{part}>{''.join(f'<p>{t}</p>' for t in long)}</{part}><{part}><p>One short paragraph.</p></{part}>{rest}{links}"
+    want = ["Title", *long, "One short paragraph.", "Small heading", "x = 1", "A caption", "No comma here"]
+    page = f"<html><body><div><p>Outside, of it</p></div><{top}>{body}</{top}><div>Below</div></body></html>"
+    assert html_extract.extract(page).split("\n") == want
+
+
 def test_decontamination(spark, monkeypatch):
     rnd = random.Random(9)
     vocab = [f"w{k}" for k in range(12)] + ["É1", "x_y"]
