@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import spread
+
 EXACT = 13
 GAIN = 1e-6
 
@@ -92,7 +94,7 @@ def trips(cells: DataFrame, closed: bool = True) -> DataFrame:
         total = tour_cost(d, order, closed)
         return pd.DataFrame({"trip": pdf["trip"].iloc[0], "position": range(n), "stop": order, "total": total if np.isfinite(total) else None}).astype({"total": "float64"})
 
-    return cells.groupBy("trip").applyInPandas(run, "trip long, position long, stop long, total double")
+    return spread(cells, "trip").groupBy("trip").applyInPandas(run, "trip long, position long, stop long, total double")
 
 
 def costs(orders: DataFrame, cells: DataFrame, closed: bool = True) -> DataFrame:
