@@ -1,15 +1,21 @@
 """Main text of HTML pages by tree scoring.
 
-A page becomes a tree (tags that close others by implication, raw-text elements, unclosed and stray tags are
-handled). Elements that are never content by tag, role or name go first: menus, headers of the site, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments. Each paragraph-like block then passes points
-to its ancestors, for its length and its commas, halved at each level; a container's points are discounted by
-the share of its text that stands in links. Where the best container lies in an article or main, all of that is
-kept but lists of links beside the container; elsewhere the best container is, with siblings that score near it
-or read like prose. All text of what is kept comes out block by block.
+A page becomes a tree, in time linear in its length: tags that close others by implication, raw-text elements,
+unclosed and stray tags, and quotes are read as browsers do (an attribute's unclosed quote runs to the next
+quote, and a tag that never ends is dropped). Elements that are never content by tag, role or name go first:
+menus, headers of the site, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+Names are judged part by part: in a container's name one structural part is enough, whatever else stands in it
+(`main-menu`, `post-comments`), while a text-level element goes only by a name made of such parts alone.
+
+Each paragraph-like block then passes points to its ancestors, for its length and its commas, halved at each
+level; a container's points are discounted by the share of its text that stands in links. Where the best
+container lies in an article or main, all of that is kept but lists of links beside the container, with articles
+beside it; elsewhere the best container is, with siblings that score near it or read like prose. All text of
+what is kept comes out block by block.
 
 Null or empty html, or a page without content, gives the empty string. Whole pages are read; nothing is
-capped. Repeated rows come out each for itself.
+capped. Of containers with equal points the first in page order is the best. Repeated rows come out each for
+itself; columns beside the three named are left out, so their names cannot clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,15 +48,28 @@ IMPLIED = {
     "option": (frozenset({"option"}), frozenset({"select"})),
     "body": (frozenset({"head"}), frozenset({"html"})),
 }
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar\w*|side|widget\w*|menu\w*|nav|navbar|navigation|breadcrumb\w*|footer|foot|masthead|topbar|site-header|"
-    r"cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|social\w*|related\w*|recommend\w*|comment|comments|commentlist|comment-\w+|respond|replies|disqus\w*|"
-    r"pager|pagination|skip\w*|toolbar|legal|copyright|tags|tagcloud|rss|search\w*|form)(?:$|[\s_-])",
+#: Text-level elements, which a name drops only if all its parts are structural.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 span a b i em strong small u code pre q cite blockquote figure figcaption td th tr tbody table caption dd dt time mark sub sup abbr address".split())
+#: Parts of names of what is no content wherever they stand.
+STRONG = re.compile(
+    r"ads?|advert\w*|adsense|adslot|adbox|sponsor\w*|promo\w*|sidebars?|\w+sidebar|navs?|navbar|\w+nav|navigation|menus?|menubar|\w+menu|breadcrumbs?|foot|footers?|\w+footer|masthead|topbar|"
+    r"cookies?|\w*cookie|consent|gdpr|popups?|modal|newsletters?|comments?|commentlist|\w+comments|commentform|respond|replies|disqus|pager|pagination|toolbar|tagcloud|related\w*|recommend\w*",
     re.I,
 )
-LIKELY = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|text|body|hentry)(?:$|[\s_-])", re.I)
+#: Parts that say so in class names and in ids but for those of sections, which may be anchors.
+WEAK = re.compile(r"banner\w*|side|widgets?|notices?|alerts?|overlay|subscri\w*|signup|signin|login|share|sharing|sharebar|social\w*|skip|skiplink|legal|copyright|tags|cloud|rss|search|searchform|form|disclaimer", re.I)
+#: A name with one of these tells about layout, one that begins with one of those about a post's kind.
+LAYOUT = frozenset("has no with without layout".split())
+KINDS = frozenset("category tag type status format lang is wp js".split())
+HEADERS = frozenset("header head headerbar".split())
+LIKELY = re.compile(r"article\w*|content|main|post|entry|story|text|body|hentry", re.I)
+PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])|[^\W_a-zA-Z0-9]+")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|\Z)", re.S)
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+(?:\"|\Z)|=\s*+'[^']*+(?:'|\Z)|=(?!\s*+[\"']))*+)(>|\Z)",
+    re.S,
+)
 ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 SPACE = re.compile(r"\s+")
 
@@ -63,116 +82,141 @@ class Node:
         self.size = self.links = self.commas = 0
 
 
+class Tree:
+    """The tree under construction: the open elements, and where on their stack each tag and each block stands."""
+
+    def __init__(self):
+        self.root = Node("html", {}, None)
+        self.stack, self.places, self.blocks = [self.root], {}, []
+
+    def open(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, at: int) -> None:
+        """Closes all from place `at` on."""
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """The innermost place of any of the tags; 0 where none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def implied(self, tag: str) -> None:
+        """Closes what a start tag ends."""
+        if tag in CLOSES_P and self.blocks and self.stack[self.blocks[-1]].tag == "p":
+            self.close(self.blocks[-1])
+        if tag in IMPLIED:
+            shut, scope = IMPLIED[tag]
+            outer = self.last(scope)
+            while (at := self.last(shut)) > outer:
+                self.close(at)
+
+
 def parse(html: str) -> Node:
     """The page's tree; texts are strings among the children, with references decoded."""
-    root = Node("html", {}, None)
-    at, node, n = 0, root, len(html)
+    tree = Tree()
+    at, n = 0, len(html)
     ends: dict[str, int] = {}
     while at < n:
+        kids = tree.stack[-1].kids
         lt = html.find("<", at)
         if lt < 0:
-            node.kids.append(unescape(html[at:]))
+            kids.append(unescape(html[at:]))
             break
         if lt > at:
-            node.kids.append(unescape(html[at:lt]))
+            kids.append(unescape(html[at:lt]))
         m = TOKEN.match(html, lt)
         if m is None:  # an angle bracket that opens nothing
-            node.kids.append("<")
+            kids.append("<")
             at = lt + 1
             continue
         at = m.end()
-        tag = m.group(2)
-        if tag is None:
+        if m.group(2) is None or not m.group(4):
             continue
-        tag = tag.lower()
+        tag = m.group(2).lower()
         if m.group(1):
-            if tag == "p" and not _open(node, "p"):
-                continue
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if place := tree.last((tag,)):
+                if tag != "p" or tree.blocks and tree.blocks[-1] == place:
+                    tree.close(place)
             continue
         if tag == "html":
             continue
-        if tag in CLOSES_P and (p := _open(node, "p")):
-            node = p.parent
-        if tag in IMPLIED:
-            shut, scope = IMPLIED[tag]
-            up = node
-            while up.parent is not None and up.tag not in scope:
-                if up.tag in shut:
-                    node = up.parent
-                up = up.parent
-        attrs = {a.lower(): unescape(x or y or z) for a, x, y, z in ATTR.findall(m.group(3))} if m.group(3) else {}
-        new = Node(tag, attrs, node)
-        node.kids.append(new)
+        tree.implied(tag)
+        attrs = {}
+        for name, x, y, z in ATTR.findall(m.group(3)):
+            attrs.setdefault(name.lower(), unescape(x or y or z))
+        node = Node(tag, attrs, tree.stack[-1])
+        node.parent.kids.append(node)
         if tag in RAW:
-            key = tag
-            found = ends.get(key, 0)
-            if found >= 0 and found < at:
+            found = ends.get(tag, 0)
+            if 0 <= found < at:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, at)
-                found = ends[key] = close.start() if close else -1
+                found = ends[tag] = close.start() if close else -1
+            if found < 0 and m.group(3).endswith("/"):  # XHTML's empty element
+                continue
             if found < 0:
                 found = n
-            new.kids.append(html[at:found])
-            if found >= n:
-                break
+            node.kids.append(html[at:found])
             gt = html.find(">", found)
             at = gt + 1 if gt >= 0 else n
-        elif tag not in VOID and not m.group(4):
-            node = new
-    return root
-
-
-def _open(node: Node, tag: str):
-    """The nearest open element of that tag within the innermost other block."""
-    while node is not None:
-        if node.tag == tag:
-            return node
-        if node.tag in BLOCK:
-            return None
-        node = node.parent
-    return None
+        elif tag not in VOID:
+            tree.open(node)
+    return tree.root
+
+
+def structural(node: Node, within: bool) -> bool:
+    """Whether an element's names are those of a menu, header, footer, sidebar, notice, advert, form or comments."""
+    textual, a = node.tag in TEXTUAL or node.tag == "article", node.attrs
+    for source in ("class", "id"):
+        for name in a.get(source, "").split():
+            parts = [x.lower() for x in PARTS.findall(name)]
+            if not parts or LAYOUT.intersection(parts) or parts[0] in KINDS and parts != ["tag", "cloud"]:
+                continue
+            weak = source == "class" or node.tag != "section"
+            marks = [bool(STRONG.fullmatch(x) or weak and WEAK.fullmatch(x)) for x in parts]
+            if node.tag == "article" and marks[0] and STRONG.fullmatch(parts[0]) and all(m or LIKELY.fullmatch(x) or x in ("item", "list") for m, x in zip(marks, parts)):
+                return True
+            if all(marks) if textual else any(marks):
+                return True
+            if not within and not textual and HEADERS.intersection(parts) and not any(LIKELY.fullmatch(x) and x != "main" or x == "section" for x in parts):
+                return True
+    return False
 
 
-def unlikely(node: Node) -> bool:
-    """Whether an element is no content by its tag, role or names."""
-    if node.tag in DROPPED:
+def unlikely(node: Node, within: bool) -> bool:
+    """Whether an element is no content by its tag, role or names; within: in an article or main."""
+    if node.tag in DROPPED or node.tag == "header" and not within:
         return True
     a = node.attrs
-    if not a or node.tag in ("body", "article", "main"):
+    if not a or node.tag in ("body", "main"):
         return False
     if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
         return True
-    names = f"{a.get('class', '')} {a.get('id', '')}"
-    return bool(UNLIKELY.search(names)) and not LIKELY.search(names)
+    return ("class" in a or "id" in a) and structural(node, within)
 
 
 def prune(root: Node) -> None:
-    """Removes what is no content; a header goes unless it stands in an article or holds its heading."""
-    stack = [root]
+    """Removes what is no content; a header goes unless it stands in an article or main."""
+    stack = [(root, False)]
     while stack:
-        node = stack.pop()
+        node, within = stack.pop()
         keep = []
         for k in node.kids:
             if isinstance(k, Node):
-                if unlikely(k) or k.tag == "header" and not _within(k, ("article", "main")):
+                inside = within or k.tag in ("article", "main")
+                if unlikely(k, inside):
                     continue
-                stack.append(k)
+                stack.append((k, inside))
             keep.append(k)
         node.kids = keep
 
 
-def _within(node: Node, tags: tuple) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
 def _order(root: Node) -> list[Node]:
     """Parents before children."""
     out, stack = [], [root]
@@ -208,7 +252,7 @@ def score(root: Node) -> Node | None:
     for node in nodes:
         if not node.size or node.tag in ("p", "a", "b", "i", "em", "strong", "span", "li", "td", "tr", "h1", "h2", "h3"):
             continue
-        value = (node.score + (25 if node.tag in ("article", "main") else 5 if LIKELY.search(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}") else 0)) * (1 - node.links / node.size)
+        value = (node.score + (25 if node.tag in ("article", "main") else 5 if any(LIKELY.fullmatch(x) for x in PARTS.findall(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}")) else 0)) * (1 - node.links / node.size)
         if node.score > 0 and value > most:
             best, most = node, value
     if best is None and root.size:
@@ -232,16 +276,22 @@ def widened(best: Node) -> Node:
 
 
 def kept(best: Node) -> list[Node]:
-    """The best container and those of its siblings that score near it or read like prose, in page order."""
-    if best.parent is None or best.tag in ("article", "main", "body") and not any(isinstance(k, Node) and k is not best and k.tag == best.tag for k in best.parent.kids):
+    """The best container and, in page order, what belongs to it: articles beside an article, headings before it in a main; beside other containers those that score near it or read like prose."""
+    if best.parent is None or best.tag in ("main", "body"):
         return [best]
-    limit, out = max(10.0, best.score * 0.2), []
+    limit, out, before = max(10.0, best.score * 0.2), [], True
     for k in best.parent.kids:
         if not isinstance(k, Node):
             continue
         density = k.links / k.size if k.size else 1.0
-        prose = k.tag == "p" and (k.size > 80 and density < 0.25 or 0 < k.size <= 80 and density == 0 and k.commas + 1 > 1)
-        if k is best or k.score * (1 - density) >= limit or prose or k.tag in ("h1", "h2") and k.size and density < 0.5:
+        heading = k.tag in ("h1", "h2") and k.size and density < 0.5
+        before = before and k is not best
+        if best.tag == "article":
+            take = k.tag == "article" and density < 0.5 or heading and before and best.parent.tag == "main"
+        else:
+            prose = k.tag == "p" and (k.size > 80 and density < 0.25 or 0 < k.size <= 80 and density == 0 and k.commas + 1 > 1)
+            take = k.score * (1 - density) >= limit or prose or heading
+        if k is best or take:
             out.append(k)
     return out
 

@@ -320,3 +320,54 @@ def test_pipeline(spark, small):
     assert left == sorted(left, reverse=True) and left[-1] > 0.5 * left[0]
     assert {r.doc_id for r in corpus_pipeline.run(spark, small).collect()} == {r.doc_id for r in now.collect()}
     assert json.dumps(left)
+
+
+BODY = "<h1>Title</h1>" + "".join(f"<p>Paragraph {k}, with words, and more of them, to be long enough.</p>" for k in range(4))
+
+
+@pytest.mark.parametrize("name", "main-menu main-nav post-comments article-comments content-sidebar post-footer text-ad content-ad story-related entry-share article-newsletter mainMenu topnav site-notice".split() + ["comment content"])
+def test_html_names_of_what_is_no_content(name):
+    assert "LEAK" not in html_extract.extract(f"<body><article>{BODY}<div class='{name}'><p>LEAK, leak, and more leaking text of some length.</p></div></article></body>")
+
+
+@pytest.mark.parametrize("part", ['<p class="search-results">KEEP</p>', '<section id="share"><p>KEEP</p></section>', '<div class="has-sidebar"><p>KEEP</p></div>', '<div class="post category-social tag-ads">KEEP</div>', "<div class=entry-header><h2>KEEP</h2></div>"])
+def test_html_names_of_content(part):
+    assert html_extract.extract(f"<body><article>{BODY}{part}</article></body>").endswith("\nKEEP")
+
+
+def test_html_sibling_articles_quotes_and_ties():
+    two = html_extract.extract(f"<body><div class=menu>M</div><article>{BODY}</article><article><p>Second one.</p></article></body>")
+    assert two.startswith("Title\n") and two.endswith("\nSecond one.")
+    assert html_extract.extract(f"<main><h1>Head</h1><article>{BODY}</article><p>After, it</p></main>").startswith("Head\nTitle\n")
+    assert html_extract.extract('<p>Before</p><a href="foo>text</a> more <p>end') == "Before"
+    assert html_extract.extract('<p>Before</p><a href="foo>text</a> <b class="x">bold</b> end') == "Before\nbold end"
+    assert html_extract.extract("<p>a<!-->b<!--->c<!-- d --!>e</ x>f</3>g") == "abcefg"
+    equal = "<div id=l>{0}</div>".format("<p>Left side, as long, as the right one is.</p>" * 3) + "<hr><div><div><p>x</p></div></div>"
+    assert html_extract.extract(f"<body>{equal}</body>").startswith("Left side")
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "</x>" * 100_000, "<div>" * 100_000 + "<li></li>" * 50_000 + "x", "<p>" + "<span>" * 100_000 + "<hr>" * 100_000, "<header>" * 100_000 + "x", "<" * 500_000, '<a ="' * 150_000, "x" * 1_000_000])
+def test_html_long_and_nested_pages_take_linear_time(page):
+    import time
+
+    began = time.time()
+    html_extract.extract(page)
+    assert time.time() - began < 20
+
+
+def simplest(page):
+    """The visible text of the article by plain regular expressions, for pages whose article is flat."""
+    import html as entities
+
+    article = re.search(r"<article>(.*)</article>", re.sub(r"(?s)<!--.*?-->|<(script|style|aside|form|footer|nav)\b.*?</\1>|<div class=\"(?:ad|menu|comments?|sidebar|notice)\">.*?</div>", "", page), re.S)
+    parts = re.split(r"</?(?:p|h[1-6]|ul|ol|li|blockquote|div|section|pre|table|tr|td)\b[^>]*>", article.group(1)) if article else []
+    lines = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br ?/?>", " ", x))).split()) for x in parts]
+    return "\n".join(x for x in lines if x)
+
+
+def test_html_against_plain_expressions_on_all_pages(spark, small):
+    pages = queries.read(spark, small, "pages")
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.op3_html(spark, small).collect()}
+    want = {r.page_id: simplest(r.html or "") for r in pages.collect()}
+    assert {k: t for k, (t, _) in got.items()} == want and all(n == len(t) for t, n in got.values())
+    assert html_extract.main_text(pages.where("false").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(1))).count() == 0
