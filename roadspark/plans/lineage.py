@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="roadspark-"))
@@ -32,8 +32,31 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/roadspark/{name}-{uuid.uuid4().hex}"
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(conf)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/roadspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = scratch(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more, such as a loop's earlier rounds."""
+    for df in tables:
+        path = getattr(df, "_stored_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
