@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.lineage import shared_dir, stored
+from ..plans.lineage import BROADCAST_ROWS, discarded, scratch, stored
 
-__all__ = ["ASCII_SPACE", "LOWER", "cut", "hash_runs", "mix", "row_blocks", "scratch", "stored", "table", "text_buffers"]
+__all__ = ["ASCII_SPACE", "BROADCAST_ROWS", "LOWER", "cut", "discarded", "hash_runs", "mix", "numbered", "row_blocks", "scratch", "stored", "table", "text_buffers"]
 _U64 = np.uint64
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors share."""
-    return f"{shared_dir(spark)}/roadspark/{name}-{uuid.uuid4().hex}"
+def numbered(df: DataFrame, added: list[str], named: str) -> tuple[DataFrame, list[str], int]:
+    """df under the names c0, c1, ... without columns that clash with added ones; the names left, and the place of the column named."""
+    taken = {x.lower() for x in added} - {named.lower()}
+    keep = [k for k, c in enumerate(df.columns) if c.lower() not in taken]
+    own = [df.columns[k] for k in keep]
+    rows = df.toDF(*[f"x{k}" for k in range(len(df.columns))]).select(*[f"x{k}" for k in keep])
+    return rows.toDF(*[f"c{k}" for k in range(len(keep))]), own, own.index(named)
 
 
 def table(chars: bytes | str) -> np.ndarray:

@@ -7,12 +7,14 @@ Cholesky factors are computed once; a score is the class log-density difference,
 by triangular solves, plus the log prior odds, through the logistic function.
 
 Class counts, sums and products of statistics are summed by Spark over all labelled rows; the driver gets one
-matrix a class. Statistics are computed once and kept as a table in the shared folder, which both fitting and
-scoring read. Documents are joined with labels on narrow rows.
+matrix a class. `classify` computes statistics once and keeps them as a table in the shared folder, which both
+fitting and scoring read; `learnt` describes labelled documents only. Labels are broadcast up to BROADCAST_ROWS
+rows, else documents are shuffled.
 
 Null and empty texts have the statistics of an empty text and a score as any other. Rows without an id are
 scored and never fitted; repeated labels count each. With labels of fewer than two classes the score is the
-share of label 1 (0.5 without labels). An empty table gives no rows.
+share of label 1 (0.5 without labels). An empty table gives no rows. `score_texts` keeps all columns of the
+documents; one that is called score gives way to the operator's.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, LOWER, cut, hash_runs, mix, row_blocks, stored, table, text_buffers
+from .common import ASCII_SPACE, BROADCAST_ROWS, LOWER, cut, hash_runs, mix, numbered, row_blocks, stored, table, text_buffers
 
 BLOCK_BYTES = 1 << 20
 #: Bytes of a line that are hashed as one run.
@@ -217,9 +219,8 @@ def held_out(id_col: str = "doc_id"):
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of docs with a column score, in one pass over the texts."""
-    own = docs.columns
-    names, at = [f"c{k}" for k in range(len(own))], own.index(text_col)
-    plain = docs.toDF(*names)
+    plain, own, at = numbered(docs, ["score"], text_col)
+    names = plain.columns
 
     def run(batches):
         for batch in batches:
@@ -231,18 +232,27 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     return plain.mapInArrow(run, f"{kinds}, score double").toDF(*own, "score")
 
 
-def known(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
-    """label and stats of the labelled documents that are not held out."""
-    marks = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).alias("label")).where(F.col("label").isNotNull())
-    return stats.where(~held_out(id_col)).join(marks, F.col(id_col) == F.col("label_id")).select("label", "stats")
+def marks(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """label_id and label of the labels that teach something: 0 or 1, of an id that is not held out."""
+    own = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label"))
+    return own.where(F.col("label").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out("label_id"))
+
+
+def bounded(marked: DataFrame) -> DataFrame:
+    """marked, to be broadcast if it is small."""
+    return F.broadcast(marked) if marked.count() <= BROADCAST_ROWS else marked
 
 
 def learnt(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """The model of the labelled documents that are not held out."""
-    return fit(known(described(docs, text_col, [id_col]), labels, id_col, label_col))
+    """The model of the labelled documents that are not held out; other texts are not looked at."""
+    marked = bounded(marks(labels, id_col, label_col))
+    narrow = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("body"))
+    return fit(described(narrow.join(marked, F.col("own_id") == F.col("label_id")), "body", ["label"]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """id, held_out and score of every document, learnt from the labelled documents that are not held out."""
     stats = stored(described(docs, text_col, [id_col]), "statistics")
-    return scored(stats, fit(known(stats, labels, id_col, label_col))).select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score")
+    marked = bounded(marks(labels, id_col, label_col))
+    model = fit(stats.join(marked, F.col(id_col) == F.col("label_id")).select("label", "stats"))
+    return scored(stats, model).select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score")
