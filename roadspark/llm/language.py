@@ -6,7 +6,8 @@ size does not grow with the corpus. Inference: each word of a document has a lik
 expectation-maximisation estimates the document's proportions, all documents of a block at once. Language sets
 are nested by proportion: one language more is taken as long as the refitted likelihood grows by more than a
 penalty of PENALTY times the logarithm of the number of words. The prediction is the language with the largest
-proportion of the set chosen, its score that proportion.
+proportion of the set chosen, its score that proportion. Equal words of a document have equal likelihoods, so
+they are one row with a count.
 
 Null, empty and letterless texts are `und` with score 0, as are all texts where nothing could be learnt. Rows
 whose lang is null teach nothing; documents without an id are neither learnt from nor held out. Ties go to the
@@ -83,19 +84,19 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tu
     return names, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def proportions(like: np.ndarray, of: np.ndarray, allowed: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation: each row's proportions of its allowed languages, and its log-likelihood (of scaled likelihoods)."""
+def proportions(like: np.ndarray, of: np.ndarray, times: np.ndarray, allowed: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation: each row's proportions of its allowed languages, and its log-likelihood (of scaled likelihoods). Word k of row of[k] occurs times[k] times."""
     n = len(allowed)
     share = allowed / allowed.sum(axis=1, keepdims=True)
-    words = np.maximum(np.bincount(of, minlength=n), 1)[:, None]
+    words = np.maximum(np.bincount(of, times, n), 1)[:, None]
     for step in range(steps + 1):
         mixed = like * share[of]
         total = np.maximum(mixed.sum(axis=1), 1e-300)
         if step == steps:
             break
-        mixed /= total[:, None]
+        mixed *= (times / total)[:, None]
         share = np.column_stack([np.bincount(of, mixed[:, k], n) for k in range(like.shape[1])]) / words
-    return share, np.bincount(of, np.log(total), n)
+    return share, np.bincount(of, times * np.log(total), n)
 
 
 def infer(data: np.ndarray, offsets: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,22 +107,24 @@ def infer(data: np.ndarray, offsets: np.ndarray, tables: np.ndarray) -> tuple[np
     if not len(of):
         return best, score
     word = np.column_stack([np.add.reduceat(t[codes], at[:-1]) for t in tables.astype(np.float64)])
+    kinds, times = np.unique(of * np.int64(len(at)) + number, return_counts=True)
+    of, number, times = kinds // len(at), kinds % len(at), times.astype(float)
     like = np.exp(np.maximum(word - word.max(axis=1, keepdims=True), -40.0))[number]
     rows, own = np.unique(of, return_inverse=True)
-    count = np.bincount(own)
-    share, _ = proportions(like, own, np.ones((len(rows), len(tables))))
+    count = np.bincount(own, times)
+    share, _ = proportions(like, own, times, np.ones((len(rows), len(tables))))
     order = np.argsort(-share, axis=1, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(len(tables))[None, :].repeat(len(rows), 0), axis=1)
-    chosen, value = proportions(like, own, (rank < 1).astype(float), 0)
+    chosen, value = proportions(like, own, times, (rank < 1).astype(float), 0)
     value = value - PENALTY * np.log(count + 1)
     live = np.arange(len(rows))
     for size in range(2, len(tables) + 1):  # a language more, for the rows that gained by the last
         keep = np.zeros(len(rows), bool)
         keep[live] = True
-        tokens = keep[own]
+        some = keep[own]
         local = np.cumsum(keep) - 1
-        part, got = proportions(like[tokens], local[own[tokens]], (rank[live] < size).astype(float))
+        part, got = proportions(like[some], local[own[some]], times[some], (rank[live] < size).astype(float))
         got = got - PENALTY * size * np.log(count[live] + 1)
         better = got > value[live]
         chosen[live[better]], value[live[better]] = part[better], got[better]
