@@ -186,6 +186,38 @@ def test_quality(spark, small):
     assert quality.classify(docs(spark, []), none).count() == 0
 
 
+def test_quality_against_plain_formula(spark):
+    """classify() against the discriminant written out with numpy's own covariance, determinant and solver."""
+    import pyarrow as pa
+
+    source = "/root/testdata/sf0.001"
+    texts = queries.read(spark, source, "documents").select("doc_id", "text").collect()
+    label = {r.doc_id: r.quality for r in queries.read(spark, source, "labels").collect()}
+    stats = {r.doc_id: quality.statistics(*text_buffers(pa.array([r.text or ""], pa.string())))[0] for r in texts}
+    learn = {i: label[i] for i in stats if label.get(i) in (0, 1) and zlib.crc32(str(i).encode()) % 5}
+    x, y = np.array([stats[i] for i in learn]), np.array(list(learn.values()))
+    centre, scale = x.mean(axis=0), np.sqrt(np.maximum(x.var(axis=0), 1e-12))
+    z = (x - centre) / scale
+    n, d = [int((y == c).sum()) for c in (0, 1)], quality.FEATURES
+    assert min(n) >= 2
+    own = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = (n[0] * own[0] + n[1] * own[1]) / sum(n)
+    spread = []
+    for c in (0, 1):
+        lean = max(quality.POOL, d / (n[c] + d))
+        mixed = (1 - lean) * own[c] + lean * pooled
+        spread.append((1 - quality.DIAGONAL) * mixed + quality.DIAGONAL * np.diag(np.diag(pooled)) + quality.RIDGE * np.eye(d))
+    for r in quality.classify(queries.read(spark, source, "documents"), queries.read(spark, source, "labels")).collect():
+        v = (stats[r.doc_id] - centre) / scale
+        logs = [-0.5 * ((v - z[y == c].mean(axis=0)) @ np.linalg.solve(spread[c], v - z[y == c].mean(axis=0)) + np.linalg.slogdet(spread[c])[1]) + np.log(n[c] / sum(n)) for c in (0, 1)]
+        assert abs(r.score - 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))) < 1e-5
+    model = quality.learnt(queries.read(spark, source, "documents"), queries.read(spark, source, "labels"))
+    clash = queries.read(spark, source, "documents").withColumn("score", F.lit("x")).withColumn("c0", F.lit(1))
+    out = quality.score_texts(clash, model)
+    assert sorted(out.columns) == sorted(clash.columns) and out.schema["score"].dataType.simpleString() == "double" and out.count() == len(texts)
+    assert quality.score_texts(clash.where("false"), model).count() == 0
+
+
 def test_quality_tells_whole_lines_apart():
     import pyarrow as pa
 
@@ -253,6 +285,32 @@ def test_topk_edges(spark):
     assert topk.search(df, df.where("false"), 10).count() == 0
     huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, -1.0])], "vec_id bigint, embedding array<double>")
     assert topk.search(huge, huge, 10).count() == 2
+    assert topk.search(df.where("false"), df, 10).count() == 0 and topk.search(df.withColumn("score", F.lit("x")).withColumn("id", F.lit(1)), df.where("vec_id = 100"), 3).count() == 6
+
+
+def test_topk_waves_and_large_rows(spark, monkeypatch):
+    import time
+
+    rng = np.random.default_rng(8)
+    rows = [(k, [float(x) for x in rng.normal(size=12) * rng.choice([0.1, 1, 5])]) for k in range(900)] + [(1000 + k, [1e6 + k, *[0.5] * 11]) for k in range(3)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    asked = df.where("vec_id % 100 = 0")
+    want = {tuple(r) for r in topk.search(df, asked, 7).collect()}
+    ints = {i: [int(np.floor(x * 1024)) for x in v] for i, v in rows}
+    brute = set()
+    for q in (i for i in ints if i % 100 == 0):
+        top = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:7]
+        brute |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(top)}
+    assert want == brute
+    monkeypatch.setattr(topk, "SEED_ROWS", 20)
+    monkeypatch.setattr(topk, "STEP", 4)
+    monkeypatch.setattr(topk, "CHUNK", 64)
+    assert {tuple(r) for r in topk.search(df, asked, 7).collect()} == brute
+    x = rng.integers(-1000, 1000, (16384, 64)).astype(float)
+    x[7, 3] = 1e15
+    began = time.time()
+    topk.survivors(x[:128], x, np.full(128, 1e7))
+    assert time.time() - began < 10  # one large component does not slow the others
 
 
 def components_by_hand(texts, k, percent):
@@ -296,6 +354,48 @@ def test_near_duplicates_of_nothing(spark):
     assert neardup.grouped(docs(spark, [])).count() == 0
 
 
+def test_language_against_plain_expectation_maximisation():
+    """infer() against the same model written word by word: every token counted, languages in plain loops."""
+    import math
+
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    words = {0: "the and of cat dog house there".split(), 1: "der und die Katze Hund Haus dort".split(), 2: "le et de chat chien maison".split()}
+    texts = [" ".join(rnd.choice(words[rnd.choice(mix)]) for _ in range(rnd.randint(1, 60))) for mix in ([0], [1], [2], [0, 0, 0, 1], [1, 2], [0, 1, 2]) for _ in range(12)] + ["", "12 €"]
+    tables = np.random.default_rng(1).normal(-8, 2, (3, language.BUCKETS)).astype(np.float32)
+    best, score = language.infer(*text_buffers(pa.array(texts, pa.string())), tables)
+    for text, got, share in zip(texts, best, score):
+        tokens = re.findall(r"[a-z\x80-\U0010ffff]+", text.lower())
+        if not tokens:
+            assert got == -1 and share == 0
+            continue
+        like = []
+        for w in tokens:
+            _, _, codes, at = language.block_words(*text_buffers(pa.array([w], pa.string())))
+            logs = [sum(float(t[c]) for c in codes) for t in tables]
+            like.append([math.exp(max(x - max(logs), -40)) for x in logs])
+
+        def em(allowed, steps):
+            p = [1 / len(allowed) if k in allowed else 0.0 for k in range(3)]
+            for _ in range(steps):
+                post = [[a * b / max(sum(x * y for x, y in zip(row, p)), 1e-300) for a, b in zip(row, p)] for row in like]
+                p = [sum(row[k] for row in post) / len(like) for k in range(3)]
+            return p, sum(math.log(max(sum(a * b for a, b in zip(row, p)), 1e-300)) for row in like)
+
+        first = em({0, 1, 2}, language.STEPS)[0]
+        order = sorted(range(3), key=lambda k: (-first[k], k))
+        chosen, value = em(set(order[:1]), 0)
+        value -= language.PENALTY * math.log(len(tokens) + 1)
+        for size in (2, 3):
+            p, v = em(set(order[:size]), language.STEPS)
+            v -= language.PENALTY * size * math.log(len(tokens) + 1)
+            if v <= value:
+                break
+            chosen, value = p, v
+        assert got == max(range(3), key=lambda k: chosen[k]) and abs(share - max(chosen)) < 1e-6
+
+
 def test_language(spark):
     rows = language.identify(queries.read(spark, "/root/testdata/sf0.01", "documents")).where("held_out").join(queries.read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL").collect()
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97 and all(0 <= r.score <= 1 for r in rows)
