@@ -6,18 +6,23 @@ minimum over its set of exponentially distributed values, truncated to integers
 registers are as likely as the sets are similar, and sketches merge by maxima. Bands of registers are bucket
 keys. Candidates are compared in two steps, both in tiles of bounded size: every class of a bucket with the
 bucket's hub (its smallest class), and, in clusters of classes that buckets hold together but whose links
-so far leave apart, the classes outside the cluster's largest component with all of the cluster. In a tile a
-pair's registers are compared jointly by likelihood: pairs whose likelihood at the threshold or above lies
-EVIDENCE below the best are not tried further; all others are confirmed on full sets. So no pair becomes a row
-unless it is a link, no group meets in one task, and there is no cap on a bucket. Pairs at the threshold
-or above share a band but for a chance below 3e-8 at a similarity of 0.85, and 4e-6 at 0.8.
+so far leave apart, the classes outside the cluster's largest component with the others: with all of the
+cluster where it is small, else with all of the cluster or with all of each of their buckets, whichever is fewer
+pairs. In a tile a pair's registers are compared jointly by likelihood: pairs whose likelihood at the threshold
+or above lies EVIDENCE below the best are not tried further (nor are those that agree in fewer registers than
+LEAST_SAME of what the threshold expects, which for a linked pair is ten deviations off); all others are
+confirmed on full sets. So no pair becomes a row unless it is a link, no group meets in one task, and there is
+no cap on a bucket. Pairs at the threshold or above share a band but for a chance below 3e-8 at a similarity of
+0.85, and 4e-6 at 0.8.
 
 Components come from min-label propagation with pointer jumping over links, each round a table in the shared
-folder. Hot keys are joined after a broadcast of those keys that hold a thousandth of all rows (1000 at most).
+folder that replaces the last. Hot keys are joined after a broadcast of those keys that hold a HOT-th of all
+rows (HOT at most).
 
 Null and empty texts have the empty set and stay alone. Documents without an id take part, and a component of
 such documents alone has no id. Repeated rows come out each for itself; rows of one id need not have one text.
-An empty table gives no rows.
+An empty table gives no rows. `deduplicated` judges row by row and keeps all columns, whatever their names: of
+each component one row stays, of the smallest id (rows without an id come last), and of rows that repeat it one.
 """
 
 from __future__ import annotations
@@ -28,16 +33,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, LOWER, cut, hash_runs, mix, row_blocks, stored, text_buffers
+from .common import ASCII_SPACE, BROADCAST_ROWS, LOWER, cut, discarded, hash_runs, mix, numbered, row_blocks, stored, text_buffers
 
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
 EVIDENCE = 25.0
+LEAST_SAME = 0.4
 TILE = 512
 COLUMNS = 8192
 BLOCK_BYTES = 1 << 20
-BROADCAST_ROWS = 1_000_000
+HOT = 1000
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64)
@@ -101,35 +107,37 @@ def sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def likely(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Of all pairs of sketches in a and b, those that may reach the threshold by their joint likelihood."""
-    more = np.empty((len(a), len(b)), np.int16)
-    less = np.empty_like(more)
+def likely(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, asked: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of sketches in a and b that are asked for (a matrix), those that may reach the threshold by their joint likelihood."""
+    most = np.minimum(na[:, None] / nb[None, :], nb[None, :] / na[:, None])
+    asked = asked & (most * 100 >= percent - 1e-9)
+    same = np.empty(asked.shape, np.int16)
     for lo in range(0, len(a), 32):
-        x, y = a[lo : lo + 32, None, :], b[None, :, :]
-        more[lo : lo + 32] = (x > y).sum(axis=2)
-        less[lo : lo + 32] = (x < y).sum(axis=2)
-    same = REGISTERS - more - less
-    total = (na[:, None] + nb[None, :]).astype(float)
-    u, v = na[:, None] / total, nb[None, :] / total
-    most = np.minimum(u / v, v / u)
-
-    def chance(x):
-        return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
-
-    def value(j):
-        up, down = chance(u - v * j), chance(v - u * j)
-        tiny = 1e-12
-        return more * np.log(up + tiny) + less * np.log(down + tiny) + same * np.log(np.maximum(1 - up - down, tiny))
-
-    best, near = np.full(total.shape, -np.inf), np.full(total.shape, -np.inf)
-    for step in np.linspace(0, 1, 21):
-        j = step * np.minimum(most, 1)
-        best = np.maximum(best, value(j))
-    least = percent / 100
-    for step in np.linspace(0, 1, 6):
-        near = np.maximum(near, value(np.minimum(least + step * np.maximum(most - least, 0), most)))
-    return (most * 100 >= percent - 1e-9) & (near >= best - EVIDENCE)
+        same[lo : lo + 32] = (a[lo : lo + 32, None, :] == b[None, :, :]).sum(axis=2)
+    i, j = np.nonzero(asked & (same >= LEAST_SAME * REGISTERS * percent / 100))
+    good = np.zeros(len(i), bool)
+    for lo in range(0, len(i), 16384):
+        p, q = i[lo : lo + 16384], j[lo : lo + 16384]
+        more = (a[p] > b[q]).sum(axis=1)
+        equal = same[p, q].astype(np.int64)
+        less = REGISTERS - more - equal
+        total = (na[p] + nb[q]).astype(float)
+        u, v, top = na[p] / total, nb[q] / total, most[p, q]
+
+        def chance(x):
+            return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
+
+        def value(x):
+            up, down, tiny = chance(u - v * x), chance(v - u * x), 1e-12
+            return more * np.log(up + tiny) + less * np.log(down + tiny) + equal * np.log(np.maximum(1 - up - down, tiny))
+
+        best, near, least = np.full(len(p), -np.inf), np.full(len(p), -np.inf), percent / 100
+        for step in np.linspace(0, 1, 21):
+            best = np.maximum(best, value(step * np.minimum(top, 1)))
+        for step in np.linspace(0, 1, 6):
+            near = np.maximum(near, value(np.minimum(least + step * np.maximum(top - least, 0), top)))
+        good[lo : lo + 16384] = near >= best - EVIDENCE
+    return i[good], j[good]
 
 
 def shared_counts(sets_a: list[np.ndarray], sets_b: list[np.ndarray], pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -154,9 +162,9 @@ def shared_counts(sets_a: list[np.ndarray], sets_b: list[np.ndarray], pairs: tup
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, columns: list[str]) -> DataFrame:
-    """left inner-joined with right, which has one row a key, its count n and columns; keys of a thousandth of total rows of left are broadcast."""
-    hot = right.where(F.col("n") * 1000 >= total).select(key, *[F.col(c).alias(f"hot_{c}") for c in columns])  # 1000 rows at most
-    rest = right.where(F.col("n") * 1000 < total).select(F.col(key).alias("rest_key"), *columns)
+    """left inner-joined with right, which has one row a key, its count n and columns; keys of a HOT-th of total rows of left are broadcast."""
+    hot = right.where(F.col("n") * HOT >= total).select(key, *[F.col(c).alias(f"hot_{c}") for c in columns])  # HOT rows at most
+    rest = right.where(F.col("n") * HOT < total).select(F.col(key).alias("rest_key"), *columns)
     both = left.join(F.broadcast(hot), key, "left")
     # rows that have found theirs spread by a hash of their own, which can match nothing in effect: what is broadcast comes first
     own = F.when(F.col(f"hot_{columns[0]}").isNull(), F.xxhash64(key)).otherwise(F.xxhash64(*left.columns))
@@ -167,16 +175,21 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, columns
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node and label (the smallest node reachable) of all nodes of edges(a, b), for long nodes."""
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), f"{name}-0")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label"), F.count("*").alias("n")), f"{name}-0")
+    total = both.count()
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
-        lower = stored(labels.join(seen, "node").select("node", F.least("label", "l").alias("label"), (F.col("l") < F.col("label")).alias("changed")), f"{name}-lower")
+        about = labels.select(F.col("node").alias("b"), F.col("label").alias("l"), "n")
+        seen = spread_join(both, about, "b", total, ["l"]).groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
+        lower = stored(labels.join(seen, "node").select("node", "n", F.least("label", "l").alias("label"), (F.col("l") < F.col("label")).alias("changed")), f"{name}-lower")
+        discarded(labels)
         if lower.where("changed").isEmpty():
+            discarded(both)
             return lower.select("node", "label")
         top = lower.select(F.col("node").alias("at"), F.col("label").alias("top"))
         tops = lower.groupBy(F.col("label").alias("at")).agg(F.count("*").alias("n")).join(top, "at")
         size = lower.count()
-        labels = stored(spread_join(lower.select("node", "label").withColumn("at", F.col("label")), tops, "at", size, ["top"]).select("node", F.least("label", "top").alias("label")), name)
+        labels = stored(spread_join(lower.select("node", F.col("n").alias("degree"), F.col("label").alias("at")), tops, "at", size, ["top"]).select("node", F.least("at", "top").alias("label"), F.col("degree").alias("n")), name)
+        discarded(lower)
 
 
 def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
@@ -200,8 +213,7 @@ def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
         for lo in range(0, len(a), TILE):
             for to in range(0, len(b), TILE):
                 x, y = a[lo : lo + TILE], b[to : to + TILE]
-                may = likely(regs[x], n[x], regs[y], n[y], percent) & (label[x][:, None] != label[y][None, :])
-                i, j = np.nonzero(may)
+                i, j = likely(regs[x], n[x], regs[y], n[y], label[x][:, None] != label[y][None, :], percent)
                 if not len(i):
                     continue
                 ui, i2 = np.unique(i, return_inverse=True)
@@ -219,8 +231,8 @@ def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
     return tiles.groupBy("tile", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _sets(rows: DataFrame, k: int, with_sets: bool) -> DataFrame:
-    """doc_id, n, key1, key2 of rows(doc_id, text, ...) and uid and registers, or the sets of those whose key is wanted."""
+def _sketched(rows: DataFrame, k: int) -> DataFrame:
+    """uid, doc_id, n, key1, key2 and registers of rows(doc_id, text)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -229,20 +241,29 @@ def _sets(rows: DataFrame, k: int, with_sets: bool) -> DataFrame:
             data, offsets = text_buffers(batch.column(1))
             for a, b in row_blocks(offsets, BLOCK_BYTES):
                 h, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
-                n, (key1, key2) = np.diff(at), set_keys(h, at)
-                regs = sketches(h, at)
-                if with_sets:
-                    want1, want2 = (batch.column(c).to_numpy(zero_copy_only=False)[a:b] for c in (2, 3))
-                    take = np.flatnonzero((key1 == want1) & (key2 == want2))
-                    sets = pa.array([h[at[r] : at[r + 1]].tobytes() for r in take.tolist()], pa.binary())
-                    cols = [batch.column(4).slice(a, b - a).take(pa.array(take)), pa.array(n[take]), pa.array([x.tobytes() for x in regs[take]], pa.binary()), sets]
-                    yield pa.RecordBatch.from_arrays(cols, names=["node", "n", "regs", "shingles"])
-                else:
-                    cols = [pa.array(np.arange(uid, uid + b - a)), batch.column(0).slice(a, b - a), pa.array(n), pa.array(key1), pa.array(key2), pa.array([x.tobytes() for x in regs], pa.binary())]
-                    uid += b - a
-                    yield pa.RecordBatch.from_arrays(cols, names=["uid", "doc_id", "n", "key1", "key2", "regs"])
-
-    return rows.mapInArrow(run, "node long, n long, regs binary, shingles binary" if with_sets else f"uid long, doc_id {kind}, n long, key1 long, key2 long, regs binary")
+                key1, key2 = set_keys(h, at)
+                cols = [pa.array(np.arange(uid, uid + b - a)), batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(key1), pa.array(key2), pa.array([x.tobytes() for x in sketches(h, at)], pa.binary())]
+                uid += b - a
+                yield pa.RecordBatch.from_arrays(cols, names=["uid", "doc_id", "n", "key1", "key2", "regs"])
+
+    return rows.mapInArrow(run, f"uid long, doc_id {kind}, n long, key1 long, key2 long, regs binary")
+
+
+def _full_sets(texts: DataFrame, k: int) -> DataFrame:
+    """n, key1, key2, registers and shingles of texts(text), without those of empty sets."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            for a, b in row_blocks(offsets, BLOCK_BYTES):
+                h, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
+                key1, key2 = set_keys(h, at)
+                full = np.flatnonzero(np.diff(at))
+                sets = pa.array([h[at[r] : at[r + 1]].tobytes() for r in full.tolist()], pa.binary())
+                cols = [pa.array(np.diff(at)[full]), pa.array(key1[full]), pa.array(key2[full]), pa.array([x.tobytes() for x in sketches(h, at)[full]], pa.binary()), sets]
+                yield pa.RecordBatch.from_arrays(cols, names=["n", "key1", "key2", "regs", "shingles"])
+
+    return texts.mapInArrow(run, "n long, key1 long, key2 long, regs binary, shingles binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -269,12 +290,46 @@ def _block(blocks):
     return F.pmod(F.xxhash64("node"), blocks)
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id reachable over links) of every document."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = stored(_sets(docs, k, False), "sketches")
+def _small(table: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _tiles(rows: DataFrame, tile: str, label) -> DataFrame:
+    """Tiles of rows (tile column, node, label, n, regs, shingles, all and out: numbers of blocks): those whose label is another than `label` against all."""
+    index = lambda c: F.explode(F.sequence(F.lit(0), (F.col(c) - 1).cast("int")))
+    left = _side(rows.where(F.col("label") != label).withColumn("j", index("all")), tile, 0, _block(F.col("out")), F.col("j"))
+    right = _side(rows.withColumn("i", index("out")), tile, 1, F.col("i"), _block(F.col("all")))
+    return left.unionByName(right)
+
+
+def _mixed_tiles(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The tiles of the second step: of placed(node, cluster, label) the clusters of several labels."""
+    blocks = lambda c: F.ceil(F.col(c) / TILE)
+    parts = placed.groupBy("cluster", "label").agg(F.count("*").alias("m"))
+    mixed = parts.groupBy("cluster").agg(F.max(F.struct("m", F.col("label").alias("main"))).alias("top"), F.count("*").alias("parts"), F.sum("m").alias("n")).where("parts > 1 AND n > 2")
+    mixed = mixed.select("cluster", "n", F.struct(F.col("top.main").alias("main"), blocks("n").alias("all"), F.ceil((F.col("n") - F.col("top.m")) / TILE).alias("out"), "n", (F.col("n") - F.col("top.m")).alias("lone")).alias("about"))
+    rest = stored(spread_join(placed, mixed, "cluster", max(1, placed.count()), ["about"]).select("node", "cluster", "label", "about.*"), "mixed")
+    # clusters of several tiles: would their buckets have fewer pairs?
+    large = rest.where(F.col("n") > TILE)
+    if large.isEmpty():
+        return _tiles(rest.drop("n").join(sets, "node"), "cluster", F.col("main"))
+    inside = stored(_bands(sets.join(large.select("node"), "node", "left_semi")).join(large.select("node", "cluster", "label", "main", "n", "lone"), "node"), "inside")
+    sizes = inside.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if(F.col("label") != F.col("main")).alias("outs"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("cluster").alias("cluster"), F.first("n").alias("n"), F.first("lone").alias("lone")).where("lo < hi")
+    sizes = stored(sizes.select("bucket", "cluster", "size", "outs", (F.col("size") * F.col("outs")).alias("pairs"), (F.col("n") * F.col("lone")).alias("whole")), "sizes")
+    by_bucket = stored(sizes.groupBy("cluster").agg(F.sum("pairs").alias("pairs"), F.first("whole").alias("whole")).where("pairs < whole").select("cluster"), "by-bucket")
+    whole = rest.drop("n").join(_small(by_bucket), "cluster", "left_anti")
+    about = sizes.join(_small(by_bucket), "cluster", "left_semi").select("bucket", F.col("size").alias("n"), F.struct(blocks("size").alias("all"), blocks("outs").alias("out")).alias("blocks"))
+    some = spread_join(inside.select("bucket", "node", "label", "main"), about, "bucket", max(1, inside.count()), ["blocks"]).select("bucket", "node", "label", "main", "blocks.*")
+    return _tiles(whole.join(sets, "node"), "cluster", F.col("main")).unionByName(_tiles(some.join(sets, "node"), "bucket", F.col("main")))
+
+
+def _resolved(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of docs(doc_id, text): key (key1, key2), doc_id, n_shingles and found (component_id, keeper: the class that stays), null for empty sets."""
+    sketched = stored(_sketched(docs, k), "sketches")
+    some = F.struct(F.col("doc_id").isNull().alias("unnamed"), "uid")
     classes = stored(
-        sketched.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("uid").alias("node"), F.min("doc_id").alias("doc"), F.min_by("doc_id", "uid").alias("at"), F.first("regs").alias("regs")), "classes"
+        sketched.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("uid").alias("node"), F.min("doc_id").alias("doc"), F.min_by("doc_id", some).alias("at"), F.first("regs").alias("regs")), "classes"
     )
     bands = _bands(classes)
     buckets = bands.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
@@ -282,12 +337,10 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     stars = stored(spread_join(bands, buckets, "bucket", total, ["hub"]).where("node <> hub").select("node", "hub").distinct(), "stars")
     clusters = components(stars.select(F.col("node").alias("a"), F.col("hub").alias("b")), "clusters")
 
-    needed = clusters.join(classes.select("node", "at", "key1", "key2"), "node").select(F.col("at").alias("want"), "key1", "key2", "node")
-    needed = stored(needed, "needed")
-    if needed.count() <= BROADCAST_ROWS:  # else the documents are shuffled
-        needed = F.broadcast(needed)
-    texts = docs.join(needed, F.col("doc_id").eqNullSafe(F.col("want"))).select("doc_id", "text", "key1", "key2", "node")
-    sets = stored(_sets(texts, k, True).dropDuplicates(["node"]), "sets")
+    needed = stored(clusters.join(classes.select("node", "at", "key1", "key2"), "node").select("at", "key1", "key2", "node"), "needed")
+    wanted = _small(stored(needed.select(F.col("at").alias("want")).distinct(), "wanted"))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("text")
+    sets = stored(_full_sets(texts, k).dropDuplicates(["key1", "key2"]).join(_small(needed.drop("at")), ["key1", "key2"]).select("node", "n", "regs", "shingles"), "sets")
 
     degree = stars.groupBy("hub").agg(F.count("*").alias("n"))
     hubs = degree.select("hub", F.ceil(F.col("n") / TILE).alias("blocks"))
@@ -299,39 +352,61 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     first = components(links, "first")
     placed = stored(clusters.withColumnRenamed("label", "cluster").join(first, "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("label")), "placed")
-    parts = placed.groupBy("cluster", "label").agg(F.count("*").alias("m"))
-    mixed = parts.groupBy("cluster").agg(F.max(F.struct("m", F.col("label").alias("main"))).alias("top"), F.count("*").alias("parts"), F.sum("m").alias("n")).where("parts > 1 AND n > 2")
-    mixed = mixed.select("cluster", "n", F.struct(F.col("top.main").alias("main"), F.ceil(F.col("n") / TILE).alias("all"), F.ceil((F.col("n") - F.col("top.m")) / TILE).alias("out")).alias("about"))
-    rest = spread_join(placed, mixed, "cluster", max(1, placed.count()), ["about"]).join(sets, "node")
-    outside = rest.where("label <> about.main")
-    index = lambda c: F.explode(F.sequence(F.lit(0), (F.col(f"about.{c}") - 1).cast("int")))
-    left = _side(outside.withColumn("j", index("all")), "cluster", 0, _block(F.col("about.out")), F.col("j"))
-    right = _side(rest.withColumn("i", index("out")), "cluster", 1, F.col("i"), _block(F.col("about.all")))
-    more = stored(tile_links(left.unionByName(right), percent), "links-2")
+    more = stored(tile_links(_mixed_tiles(placed, sets), percent), "links-2")
+    discarded(sets)
 
     labels = components(links.union(more), "final")
     named = classes.join(labels, "node", "left").select("key1", "key2", F.col("n").alias("size"), "doc", F.coalesce("label", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min("doc").alias("component_id"), F.count("*").alias("n"))
-    ids = spread_join(named, least.withColumn("component_id", F.struct("component_id")), "label", max(1, classes.count()), ["component_id"])
-    ids = ids.select("key1", "key2", F.col("size").alias("n_shingles"), F.col("component_id.component_id").alias("component_id"))
-    # the class of a document: hot classes are broadcast, as 1000 at most hold a thousandth of all rows
+    keeper = F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "key1", "key2")).alias("keeper")
+    least = named.groupBy("label").agg(F.min("doc").alias("component_id"), keeper, F.count("*").alias("n")).select("label", F.struct("component_id", "keeper").alias("found"), "n")
+    ids = spread_join(named, least, "label", max(1, classes.count()), ["found"])
+    # the class of a document: hot classes are broadcast, as HOT at most hold a HOT-th of all rows
     copies = sketched.where("n > 0").groupBy("key1", "key2").agg(F.count("*").alias("n"))
-    about = ids.join(copies, ["key1", "key2"]).select(F.struct("key1", "key2").alias("key"), F.struct("component_id").alias("found"), "n")
+    about = ids.join(copies, ["key1", "key2"]).select(F.struct("key1", "key2").alias("key"), "found", "n")
     rows = sketched.select(F.struct("key1", "key2").alias("key"), "uid", "doc_id", F.col("n").alias("n_shingles"))
     full = spread_join(rows.where("n_shingles > 0"), about, "key", max(1, sketched.count()), ["found"])
-    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.select("doc_id", "n_shingles", F.col("found.component_id").alias("component_id")).unionByName(empty)
+    empty = rows.where("n_shingles = 0").withColumn("found", F.lit(None).cast(about.schema["found"].dataType))
+    return full.unionByName(empty)
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id reachable over links) of every document."""
+    found = _resolved(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), k, percent)
+    return found.select("doc_id", "n_shingles", F.when(F.col("found").isNull(), F.col("doc_id")).otherwise(F.col("found.component_id")).alias("component_id"))
+
+
+def _keyed(rows: DataFrame, at: int, k: int) -> DataFrame:
+    """rows with the key of their sets and their sizes."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(at))
+            parts = [np.zeros((3, 0), np.int64)]
+            for a, b in row_blocks(offsets, BLOCK_BYTES):
+                h, ends = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
+                parts.append(np.array([*set_keys(h, ends), np.diff(ends)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, np.concatenate(parts, axis=1))], names=[*batch.schema.names, "key1", "key2", "size"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{kinds}, key1 long, key2 long, size long")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group, that with the smallest id; documents without an id stay."""
-    found = stored(grouped(docs, id_col, text_col, k, percent), "groups")
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    twice = stored(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")), "twice")
-    if gone.count() <= BROADCAST_ROWS:  # else the documents are shuffled
-        gone = F.broadcast(gone)
-    out = docs.join(gone, docs[id_col] == F.col("gone"), "left_anti")
-    if twice.isEmpty():
-        return out
-    several = out.join(twice, out[id_col] == F.col("twice"), "left_semi").dropDuplicates([id_col])
-    return out.join(twice, out[id_col] == F.col("twice"), "left_anti").unionByName(several)
+    """docs with one row of each component, of the smallest id; rows of empty sets stay."""
+    rows, own, at = numbered(docs, [], text_col)
+    ident = F.col(f"c{own.index(id_col)}")
+    found = _resolved(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), k, percent)
+    stays = (F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("found.keeper.doc")) & (F.col("key.key1") == F.col("found.keeper.key1")) & (F.col("key.key2") == F.col("found.keeper.key2"))
+    found = stored(found.select("doc_id", "key.key1", "key.key2", "n_shingles", stays.alias("stays")), "decisions")
+    # by id, but for ids of rows that go and rows that stay, and of rows that stay and are repeated
+    fates = found.groupBy("doc_id", "key1", "key2", "stays").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size"))
+    fates = stored(fates.groupBy("doc_id").agg(F.max(~F.col("stays")).alias("goes"), (F.max("stays") & F.max(~F.col("stays")) | F.max(F.col("stays") & (F.col("n") > 1) & (F.col("size") > 0))).alias("several")).where("goes OR several"), "fates")
+    out = rows.join(_small(stored(fates.select("doc_id"), "gone")), ident.eqNullSafe(F.col("doc_id")), "left_anti")
+    several = stored(fates.where("several").select("doc_id"), "several")
+    if not several.isEmpty():
+        keyed = _keyed(rows.join(_small(several), ident.eqNullSafe(F.col("doc_id")), "left_semi"), at, k)
+        keep = found.where("stays AND n_shingles > 0").join(several.withColumnRenamed("doc_id", "same"), F.col("doc_id").eqNullSafe(F.col("same")), "left_semi").select("doc_id", F.col("key1").alias("k1"), F.col("key2").alias("k2")).distinct()
+        kept = keyed.where("size > 0").join(_small(stored(keep, "keep")), ident.eqNullSafe(F.col("doc_id")) & (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")), "left_semi")
+        kept = kept.dropDuplicates([f"c{own.index(id_col)}", "key1", "key2"]).unionByName(keyed.where("size = 0"))
+        out = out.unionByName(kept.select(*rows.columns))
+    return out.toDF(*own)

@@ -313,7 +313,7 @@ def test_topk_waves_and_large_rows(spark, monkeypatch):
     assert time.time() - began < 10  # one large component does not slow the others
 
 
-def components_by_hand(texts, k, percent):
+def components_by_hand(texts, k, percent, raw=False):
     sets = []
     for _, t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
@@ -325,15 +325,18 @@ def components_by_hand(texts, k, percent):
             if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 old, new = label[a], label[b]
                 label = [new if x == old else x for x in label]
+    if raw:
+        return label
     ids = collections.defaultdict(list)
     for x, (i, _) in zip(label, texts):
         ids[x].append(i)
     return sorted(str((i, len(s), min((y for y in ids[x] if y is not None), default=None))) for x, (i, _), s in zip(label, texts, sets))
 
 
-@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
-def test_near_duplicates(spark, k, percent, monkeypatch):
+@pytest.mark.parametrize("k,percent,hot", [(3, 85, 1000), (5, 80, 1)])
+def test_near_duplicates(spark, k, percent, hot, monkeypatch):
     monkeypatch.setattr(neardup, "TILE", 16)
+    monkeypatch.setattr(neardup, "HOT", hot)  # 1000: all keys are hot, 1: next to none
     rnd = random.Random(k)
     word = lambda: "w" + str(rnd.randint(0, 400))
     base = [[word() for _ in range(120)] for _ in range(4)]
@@ -344,10 +347,33 @@ def test_near_duplicates(spark, k, percent, monkeypatch):
             w[rnd.randrange(120)] = word()
         texts.append((n, " ".join(w)))
     texts += [(200, None), (201, ""), (202, "one two"), (203, "ONE  two"), (204, "two one"), (None, texts[5][1]), (7, "x y z a b c"), (7, "x y z a b c"), (205, "lonely " * 50)]
-    got = sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in neardup.grouped(docs(spark, texts), k=k, percent=percent).collect())
+    texts += [(None, "no id but twice here"), (None, "no id but twice here"), (None, ""), (300, "p q r s t u v"), (206, "p q r s t u v"), (300, "another text of one id"), (None, "alone without any id"), (207, "long " * 200_000 + "end")]
+    frame = docs(spark, texts).withColumns({"gone": F.lit(1), "doc": F.lit(2), "key1": F.lit(3), "n_shingles": F.lit("x"), "c1": F.lit(4)})
+    got = sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in neardup.grouped(frame, k=k, percent=percent).collect())
+    labels = components_by_hand(texts, k, percent, raw=True)
     assert got == components_by_hand(texts, k, percent)
-    kept = neardup.deduplicated(docs(spark, texts), k=k, percent=percent).collect()
-    assert sum(r.doc_id == 7 for r in kept) <= 1 and {200, 201} <= {r.doc_id for r in kept}
+    kept = neardup.deduplicated(frame, k=k, percent=percent)
+    assert kept.columns == frame.columns
+    best = {}
+    for x, (i, t) in zip(labels, texts):
+        if (t or "").split():
+            best[x] = min(best.get(x, (True, 0)), (i is None, i or 0))
+    stay = collections.Counter(None if none else i for none, i in best.values()) + collections.Counter(i for i, t in texts if not (t or "").split())
+    assert collections.Counter(r.doc_id for r in kept.collect()) == stay
+    by = {(r.doc_id, r.text) for r in kept.collect()}
+    assert (300, "another text of one id") in by and (300, "p q r s t u v") not in by and (206, "p q r s t u v") in by
+    assert neardup.deduplicated(frame.where("false")).count() == 0
+
+
+def test_near_duplicates_in_a_large_cluster(spark, monkeypatch):
+    """A chain of texts, each much like the next only: a cluster of many tiles whose buckets are small, so that these are compared instead."""
+    monkeypatch.setattr(neardup, "TILE", 8)
+    rnd = random.Random(2)
+    stream = [f"w{rnd.randint(0, 10**6)}" for _ in range(2000)]
+    texts = [(n, " ".join(stream[n * step : n * step + 150])) for step in (4, 12) for n in range(120)]
+    texts = list(enumerate(t for _, t in texts))
+    got = sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in neardup.grouped(docs(spark, texts), k=3, percent=85).collect())
+    assert got == components_by_hand(texts, 3, 85)
 
 
 def test_near_duplicates_of_nothing(spark):
