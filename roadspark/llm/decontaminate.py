@@ -8,28 +8,37 @@ and suffix positions sampled at every 16th place and at each segment's start. Pa
 all at once, by the tree's ranks; occurrences are located by steps back to the next sample; overlapping spans
 of a document are merged. Segments shorter than the shortest pattern are left out, as nothing can lie in them.
 
-Patterns go to the executors in blocks of a bounded number of words, one pass over the documents for each, so
-that what is broadcast does not grow with the benchmark; a pass adds to the spans of those before it. No row
-is shuffled. A shard is bounded by its words; a longer segment is cut with an overlap of 12 words.
+Items are dealt by hash to blocks of about PATTERN_CHARS characters; a block's patterns are built by one task
+and written to the shared folder. Every task reads its documents in shards and searches a shard's index for one
+block of patterns after another, so that neither the driver nor a task ever holds the benchmark, and nothing is
+broadcast. No row of documents is shuffled. A shard is bounded by its words; a longer segment is cut with an
+overlap of 12 words.
 
 Null or empty documents have no words and no hits; null or empty items have no window. Item ids are compared
 as strings; a repeated item counts once, and one without an id hits words but is not listed. An empty
-benchmark leaves every document clean. Repeated rows and ties are judged each for itself.
+benchmark leaves every document clean. Repeated rows and ties are judged each for itself. All columns of the
+documents are kept, but one called n_words, spans, n_hit or items gives way to the operator's.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, hash_runs, row_blocks, table, text_buffers
+from .common import LOWER, cut, hash_runs, numbered, row_blocks, scratch, table, text_buffers
 
 WINDOW = 13
 SHARD_WORDS = 1 << 19
 BLOCK_BYTES = 4 << 20
-PATTERN_WORDS = 4 << 20
+PATTERN_CHARS = 4 << 20
+#: Bytes of documents that are searched for one block of patterns after another.
+HELD_BYTES = 16 << 20
 SAMPLE = 16
 WORD = table(b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256)))
 
@@ -192,12 +201,11 @@ def shard_hits(p: Patterns, segments: list[np.ndarray], at: np.ndarray) -> tuple
     return at[segment] + place - begin[segment], pattern
 
 
-def block_hits(p: Patterns, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of text: each row's first word, and the occurrences' first words and patterns."""
-    hashes, rows, _, _ = words(data, offsets)
+def block_hits(p: Patterns, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The occurrences' first words and patterns in rows of words, given by their hashes and each row's first word."""
     none = np.zeros(0, np.int64)
     if not len(p.sizes) or not len(hashes):
-        return rows, none, none
+        return none, none
     found = np.minimum(np.searchsorted(p.vocabulary, hashes), len(p.vocabulary) - 1)
     ids = np.where(p.vocabulary[found] == hashes, found + 1, 0)
     known = ids > 0
@@ -229,7 +237,7 @@ def block_hits(p: Patterns, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
                 flush()
                 segments, at, held = [], [], 0
     flush()
-    return rows, np.concatenate(places), np.concatenate(patterns)
+    return np.concatenate(places), np.concatenate(patterns)
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -243,56 +251,92 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def pattern_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int):
-    """The items in blocks of about `most` bytes of text at most, one held at a time."""
-    block, size = [], 0
-    for row in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull()).toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1])
-        if size >= most:
-            yield block
-            block, size = [], 0
-    yield block
+def pattern_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> str:
+    """Writes the items' patterns in blocks (pickled Patterns, a row each) and returns their path."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).head()[0]
+    count = int(size // PATTERN_CHARS) + 1
+
+    def build(group: pa.Table) -> pa.Table:
+        block = Patterns(list(zip(group["name"].to_pylist(), group["text"].to_pylist())))
+        return pa.table({"block": pa.array([pickle.dumps(block)], pa.binary())})
+
+    path = scratch(benchmark.sparkSession, "patterns")
+    dealt = items.distinct().withColumn("at", F.pmod(F.xxhash64("name", "text"), F.lit(count)))
+    dealt.groupBy("at").applyInArrow(build, "block binary").write.mode("overwrite").parquet(path)
+    return path
+
+
+class Blocks:
+    """The blocks of a path, read one at a time; a single one is kept."""
+
+    def __init__(self, path: str):
+        fs, base = pafs.FileSystem.from_uri(path)
+        self.files, self.single = pads.dataset(base, filesystem=fs, format="parquet"), None
+
+    def __iter__(self):
+        if self.single is not None:
+            yield self.single
+            return
+        count, last = 0, None
+        for batch in self.files.to_batches(columns=["block"], batch_size=1, batch_readahead=1, fragment_readahead=1) if self.files.files else ():
+            for raw in batch.column(0):
+                last, count = pickle.loads(raw.as_buffer()), count + 1
+                yield last
+        if count == 1:
+            self.single = last
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """All columns of docs, with n_words, spans (disjoint half-open word spans to remove), n_hit and items (sorted ids)."""
-    spark, own = docs.sparkSession, docs.columns
-    added = "n_words long, spans array<struct<a:long,b:long>>, items array<string>"
-    names = [f"c{k}" for k in range(len(own))]
-    out = docs.toDF(*names)
-    text = own.index(text_col)
-    out = out.select("*", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<a:long,b:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    for block in pattern_blocks(benchmark, item_col, item_text, PATTERN_WORDS):
-        shared = spark.sparkContext.broadcast(Patterns(block))
-
-        def run(batches, shared=shared):
-            p = shared.value
-            for batch in batches:
-                data, offsets = text_buffers(batch.column(text))
-                spans, items = batch.column(len(names) + 1).to_pylist(), batch.column(len(names) + 2).to_pylist()
-                counts = np.zeros(batch.num_rows, np.int64)
-                for a, b in row_blocks(offsets, BLOCK_BYTES):
-                    rows, place, pattern = block_hits(p, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    counts[a:b] = np.diff(rows)
-                    doc = np.searchsorted(rows, place, "right") - 1
-                    order = np.argsort(doc, kind="stable")
-                    doc, place, pattern = doc[order], place[order], pattern[order]
-                    edges = np.flatnonzero(np.diff(doc, prepend=-1))
-                    for s, e in zip(edges, [*edges[1:], len(doc)]):
-                        d, base = a + int(doc[s]), int(rows[doc[s]])
-                        new = [(int(x) - base, int(x) - base + int(n)) for x, n in zip(place[s:e], p.sizes[pattern[s:e]])]
-                        spans[d] = merge([(x["a"], x["b"]) for x in spans[d]] + new)
-                        spans[d] = [{"a": x, "b": y} for x, y in spans[d]]
-                        got = {p.names[k] for w in set(pattern[s:e].tolist()) for k in p.items[w].tolist()}
-                        items[d] = sorted(got.union(items[d]))
-                new = [pa.array(counts), pa.array(spans, batch.schema.field(len(names) + 1).type), pa.array(items, batch.schema.field(len(names) + 2).type)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *new], names=batch.schema.names)
-
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields[: len(names)])
-        out = out.mapInArrow(run, f"{kinds}, {added}")
+    rows, own, at = numbered(docs, ["n_words", "spans", "n_hit", "items"], text_col)
+    names, path = rows.columns, pattern_blocks(benchmark, item_col, item_text)
+    span_type, item_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())
+
+    def searched(batches: list, blocks: Blocks):
+        """The batches with their columns; all of them are searched for a block before the next is read."""
+        counts = [np.zeros(batch.num_rows, np.int64) for batch in batches]
+        spans: list[dict] = [{} for _ in batches]
+        items: list[dict] = [{} for _ in batches]
+        parts = []
+        for n, batch in enumerate(batches):
+            data, offsets = text_buffers(batch.column(at))
+            for a, b in row_blocks(offsets, BLOCK_BYTES):
+                hashes, first, _, _ = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                counts[n][a:b] = np.diff(first)
+                parts.append((n, a, hashes, first))
+        for p in blocks:
+            for n, a, hashes, first in parts:
+                place, pattern = block_hits(p, hashes, first)
+                doc = np.searchsorted(first, place, "right") - 1
+                order = np.argsort(doc, kind="stable")
+                doc, place, pattern = doc[order], place[order], pattern[order]
+                edges = np.flatnonzero(np.diff(doc, prepend=-1))
+                for s, e in zip(edges, [*edges[1:], len(doc)]):
+                    d, base = a + int(doc[s]), int(first[doc[s]])
+                    new = [(int(x) - base, int(x) - base + int(m)) for x, m in zip(place[s:e], p.sizes[pattern[s:e]])]
+                    spans[n][d] = merge(spans[n].get(d, []) + new)
+                    items[n].setdefault(d, set()).update(p.names[k] for w in set(pattern[s:e].tolist()) for k in p.items[w].tolist())
+        for n, batch in enumerate(batches):
+            found = [[{"a": x, "b": y} for x, y in spans[n].get(d, ())] for d in range(batch.num_rows)]
+            listed = [sorted(items[n].get(d, ())) for d in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts[n]), pa.array(found, span_type), pa.array(listed, item_type)], names=[*names, "n_words", "spans", "items"])
+
+    def run(batches):
+        blocks, held, size = Blocks(path), [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= HELD_BYTES:
+                yield from searched(held, blocks)
+                held, size = [], 0
+        if held:
+            yield from searched(held, blocks)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    out = rows.mapInArrow(run, f"{kinds}, n_words long, spans array<struct<a:long,b:long>>, items array<string>")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["b"] - x["a"])
-    return out.select(*[F.col(n).alias(o) for n, o in zip(names, own)], "n_words", "spans", hit.alias("n_hit"), "items")
+    return out.select(*[F.col(n) for n in names], "n_words", "spans", hit.alias("n_hit"), "items").toDF(*own, "n_words", "spans", "n_hit", "items")
 
 
 def contaminated():
