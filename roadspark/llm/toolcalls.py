@@ -13,15 +13,20 @@ have no result. The first result by seq (ties: by content) counts. Status is `li
 or `duplicate`. Violations list arguments that are no JSON object (`not an object`), `missing:x`, `type:x` and
 `unknown:x`, sorted, and `after:x` for named calls that do not exist; a tool without schema is
 `unknown tool`. Nulls: calls without conversation or call id link with nothing; null arguments are no object.
-Results without a call are left out. Empty tables give no rows.
+Results without a call are left out. Empty tables give no rows; extra columns are not read, so their names
+cannot clash.
+
+Only the first calls of an id are joined by it, so that both sides of every such join have one row a key;
+repeats of an id, and calls without one, pass beside the joins. Which call is the first comes from a partial
+aggregate and is joined back by row, so that an id that holds a third of all rows lands in no single task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discarded, stored
 
 BROADCAST_SCHEMAS = 10_000
 #: Variant types by JSON schema type.
@@ -39,7 +44,8 @@ def levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     for _ in range(rounds):
         ahead = chain.select("conv_id", F.col("call_id").alias("top"), F.col("top").alias("next"), F.col("steps").alias("more"))
         step = chain.join(ahead, ["conv_id", "top"], "left")
-        chain = stored(step.select("conv_id", "call_id", F.coalesce("next", "top").alias("top"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moving")), "chain")
+        chain, last = stored(step.select("conv_id", "call_id", F.coalesce("next", "top").alias("top"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moving")), "chain"), chain
+        discarded(last)
         if chain.where("moving").isEmpty():
             break
 
@@ -54,7 +60,8 @@ def levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     while not hops.isEmpty():
         seen = hops.join(known.select("conv_id", F.col("call_id").alias("top"), "level"), ["conv_id", "top"], "left")
         ready = seen.groupBy("conv_id", "call_id").agg(F.max(F.col("lost") | (F.col("waits") & F.col("level").isNull())).alias("blocked"), F.max(F.coalesce("level", F.lit(0)) + F.col("steps")).alias("level"))
-        known = stored(ready.where("NOT blocked").select("conv_id", "call_id", "level"), "known")
+        known, last = stored(ready.where("NOT blocked").select("conv_id", "call_id", "level"), "known"), known
+        discarded(last)
         if (new := known.count()) == count:
             break
         count = new
@@ -74,22 +81,29 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     violations and json.
     """
     key = ["conv_id", "call_id"]
-    same = Window.partitionBy(*key).orderBy("seq", "arguments")
-    calls = calls.select("conv_id", "call_id", "seq", "name", "arguments", "after")
-    calls = stored(calls.withColumn("first", F.when(F.col("conv_id").isNull() | F.col("call_id").isNull(), True).otherwise(F.row_number().over(same) == 1)), "calls")
+    named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    calls = stored(calls.select("conv_id", "call_id", "seq", "name", "arguments", "after").withColumn("row", F.monotonically_increasing_id()), "calls")
+    first = calls.where(named).groupBy(*key).agg(F.min(F.struct("seq", "arguments", "row")).alias("w")).select(F.col("w.row").alias("row"), F.lit(True).alias("first"))
+    calls = stored(calls.join(first, "row", "left").withColumn("first", F.when(named, F.coalesce("first", F.lit(False))).otherwise(True)), "calls")
     answers = results.groupBy(*key).agg(F.count("*").alias("n_results"), F.min(F.struct("seq", "content")).alias("answer"))
-    wanted = calls.where("first").select("conv_id", "call_id", F.explode("after").alias("dep")).where("dep IS NOT NULL")
-    known = calls.where("first").select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("known"))
+    wanted = calls.where(F.col("first") & named).select("conv_id", "call_id", F.explode("after").alias("dep")).where("dep IS NOT NULL")
+    known = calls.where(F.col("first") & named).select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("known"))
     wanted = stored(wanted.join(known, ["conv_id", "dep"], "left"), "after")
     level, circles = levels(wanted.where("known"))
     lost = wanted.where("known IS NULL").groupBy(*key).agg(F.sort_array(F.collect_set(F.concat(F.lit("after:"), "dep"))).alias("lost"))
     params = schemas.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("param", "kind", "required"))).alias("params"))
     if schemas.count() <= BROADCAST_SCHEMAS:  # else a shuffled join
         params = F.broadcast(params)
-    out = calls.withColumn("args", F.try_parse_json("arguments")).withColumn("given", F.expr("try_variant_get(args, '$', 'map<string,variant>')"))
+    found = calls.where(F.col("first") & named).select("row", *key)
+    sides = (answers, level, circles.withColumn("circle", F.lit(True)), lost)
+    for side in sides:
+        found = found.join(side.hint("shuffle_hash"), key, "left")
+    alone = calls.where(~(F.col("first") & named))
+    out = calls.where(F.col("first") & named).join(found.drop(*key), "row")
+    for f in out.schema.fields[len(calls.columns) :]:
+        alone = alone.withColumn(f.name, F.lit(None).cast(f.dataType))
+    out = out.unionByName(alone).withColumn("args", F.try_parse_json("arguments")).withColumn("given", F.expr("try_variant_get(args, '$', 'map<string,variant>')"))
     out = out.join(params, "name", "left")
-    for side in (answers, level, circles.withColumn("circle", F.lit(True)), lost):
-        out = out.join(side.hint("shuffle_hash"), key, "left")
     kind = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
     missing = F.transform(F.filter("params", lambda p: F.coalesce(p["required"], F.lit(False)) & ~F.map_contains_key("given", p["param"])), lambda p: F.concat(F.lit("missing:"), p["param"]))
     wrong = F.filter("params", lambda p: F.map_contains_key("given", p["param"]) & ~F.coalesce(F.rlike(F.schema_of_variant(F.element_at("given", p["param"])), F.coalesce(F.element_at(kind, p["kind"]), F.lit("."))), F.lit(False)))

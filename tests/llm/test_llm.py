@@ -146,14 +146,20 @@ def test_decontamination(spark, monkeypatch):
     items = [(k, say(rnd.choice([3, 5, 20, 30]))) for k in range(12)] + [(50, None), (51, ""), (None, say(6)), (1, say(14))]
     texts = [(k, say(rnd.randint(0, 200)) + " " + (rnd.choice(items)[1] or "")) for k in range(40)] + [(90, None), (91, ""), (92, " ".join(["w1"] * 400)), (None, items[0][1])]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    frame = docs(spark, texts).withColumn("n_hit", F.lit(7))
+    frame = docs(spark, texts).withColumns({"n_hit": F.lit(7), "Items": F.lit("x"), "c0": F.lit(1), "block": F.lit(2)})
     want = sorted(str(brute_hits(t, items)) for _, t in texts)
-    for words, block in ((1 << 19, 4 << 20), (64, 100)):
+    for words, block, held in ((1 << 19, 4 << 20, 16 << 20), (64, 100, 1000)):
         monkeypatch.setattr(decontaminate, "SHARD_WORDS", words)
-        monkeypatch.setattr(decontaminate, "PATTERN_WORDS", block)
-        got = decontaminate.scan(frame.drop("n_hit"), bench).collect()
-        assert sorted(str((r.n_words, r.n_hit, list(r["items"]))) for r in got) == want
+        monkeypatch.setattr(decontaminate, "PATTERN_CHARS", block)
+        monkeypatch.setattr(decontaminate, "HELD_BYTES", held)
+        out = decontaminate.scan(frame, bench)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "c0", "block", "n_words", "spans", "n_hit", "items"]
+        assert sorted(str((r.n_words, r.n_hit, list(r["items"]))) for r in out.collect()) == want
+        assert str(out._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1  # one pass, whatever the blocks
     assert decontaminate.scan(docs(spark, texts), bench.where("false")).where("n_hit > 0").count() == 0
+    assert decontaminate.scan(frame.where("false"), bench).count() == 0
+    long = docs(spark, [(1, "w1 " * 300_000 + items[4][1] + " w2" * 300_000)])
+    assert decontaminate.scan(long, spark.createDataFrame([(1, "zz " + items[4][1])], "item_id bigint, text string")).head().n_hit == 0
 
 
 def test_tool_calls(spark):
@@ -161,11 +167,16 @@ def test_tool_calls(spark):
         (1, "a", 1, "add", '{"y": 2, "x": 1}', None), (1, "b", 2, "add", '{"x": "1"}', ["a"]), (1, "c", 3, "add", "not json", ["b", "z"]), (1, "c", 4, "add", "{}", None),
         (2, "p", 1, "fly", "{}", ["q"]), (2, "q", 2, "add", '{"x": 1, "y": 2, "w": 3}', ["p"]), (2, "r", 3, "add", '{"x":1,"y":1.5}', ["q"]), (None, None, 1, "add", None, None),
     ]
+    calls += [(3, "d", 5, "add", '{"x": 1, "y": 1}', None)] * 3 + [(None, "n", 1, "add", "{}", ["a"]), (4, None, 1, "add", "{}", None), (5, "u", 1, "add", '{"x": 1, "y": 1, "z": "%s"}' % ("long " * 200_000), None)]
     schemas = spark.createDataFrame([("add", "x", "integer", True), ("add", "y", "number", True)], "name string, param string, kind string, required boolean")
     results = spark.createDataFrame([(1, "a", 9, "late"), (1, "a", 5, "three"), (9, "a", 1, "lost")], "conv_id bigint, call_id string, seq bigint, content string")
-    out = toolcalls.link(spark.createDataFrame(calls, "conv_id bigint, call_id string, seq bigint, name string, arguments string, after array<string>"), results, schemas)
+    frame = spark.createDataFrame(calls, "conv_id bigint, call_id string, seq bigint, name string, arguments string, after array<string>").withColumns({"row": F.lit(1), "first": F.lit(2), "level": F.lit(3), "args": F.lit(4)})
+    out = toolcalls.link(frame, results.withColumn("n_results", F.lit("x")), schemas)
     got = {(r.conv_id, r.call_id, r.seq): r for r in out.collect()}
-    assert len(got) == 8 and got[1, "a", 1].status == "linked" and got[1, "a", 1].result == "three" and got[1, "a", 1].n_results == 2
+    assert out.count() == len(calls) and sorted(r.status for r in out.collect() if r.call_id == "d") == ["duplicate", "duplicate", "unanswered"]
+    assert {r.status for r in out.collect() if r.conv_id is None or r.call_id is None} == {"unanswered"} and got[5, "u", 1].violations == ["unknown:z"] and len(got[5, "u", 1].json) > 10**6
+    assert toolcalls.link(frame.where("false"), results, schemas).count() == 0 and toolcalls.link(frame, results.where("false"), schemas.where("false")).count() == len(calls)
+    assert got[1, "a", 1].status == "linked" and got[1, "a", 1].result == "three" and got[1, "a", 1].n_results == 2
     assert [got[1, x, n].level for x, n in (("a", 1), ("b", 2), ("c", 3))] == [0, 1, 2] and got[1, "c", 4].status == "duplicate"
     assert got[1, "b", 2].violations == ["missing:y", "type:x"] and got[1, "c", 3].violations == ["not an object", "after:z"]
     assert got[2, "p", 1].status == "cyclic" and got[2, "p", 1].violations == ["unknown tool"] and got[2, "q", 2].violations == ["unknown:w"] and got[2, "r", 3].violations == []
