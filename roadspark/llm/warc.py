@@ -1,20 +1,25 @@
 """A deterministic sharded WARC writer and its reader.
 
-Writing: payload digests name one record of each group of equal payloads the response and the others
-revisits; records are sorted by range of their identifier, and each task writes its range as gzip members,
-one a record, rolling to a new file once a file's compressed size reaches the limit. Headers and digests are
-made anew from the payload. A file is written under a temporary name of its attempt and renamed when closed,
-so that a lost executor's files never count twice; the names, sizes and digests of a task's files are its
-manifest rows, written as a table beside the archives and read by the reader, which sees no other files.
+Writing: payload digests name one record of each group of equal payloads the response and the others revisits.
+Records are sorted by range of their identifier: identifiers fall into RANGES ranges of equal width at most, the
+bytes of each are summed, and the ranges are dealt, in order, to parts of about equal bytes. A range that would
+be a part by itself and more (an identifier, or none, that a large share of rows has) is dealt on by hashes of
+its rows. So the parts follow from the rows alone, not from samples or tasks. A part is written as gzip members,
+one a record, rolling to a new file once a file's compressed size reaches the limit; a file's name is its part
+and number. Headers and digests are made anew from the payload. A file is written under a temporary name of its
+attempt and renamed when closed, so that a lost executor's files never count twice; the names, sizes and digests
+of a task's files are its manifest rows, written as a table beside the archives and read by the reader, which
+sees no other files. Once the manifest stands, what attempts have left under temporary names is deleted.
 
 Responses of equal payloads are found without moving texts: digests are counted and joined back by key, and
 the marks so made meet their pages in the sort by range, which moves each payload once. Digests that hold a
-thousandth of all rows or more, at most 1000 of them, are broadcast instead, so that a hot payload lands in
-no single task.
+HOT-th of all rows or more, at most HOT of them, are broadcast instead, so that a hot payload lands in no single
+task.
 
 Null payloads count as empty; a null identifier sorts first, has no number in its headers and never becomes
 the response of a group that has numbered records; of rows that repeat the chosen identifier the first
-written is the response. An empty table gives no file and an empty manifest.
+written is the response. An empty table gives no file and an empty manifest. Other columns are not read, so
+their names cannot clash. Ties between records of one identifier go to the digest, then the url.
 """
 
 from __future__ import annotations
@@ -31,25 +36,52 @@ from pyspark.sql import functions as F
 
 from .common import scratch, stored
 
+HOT = 1000
+RANGES = 1 << 16
+SPREAD = 64
 ROLL_BYTES = 32 << 20
 LEAST_BYTES = 1000
 MANIFEST = "path string, first_id long, records long, bytes long, sha1 string"
 RECORDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 DATE = "1970-01-01T00:00:00Z"
+TEMPORARY = "_temporary"
 
 
-def marks(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """page_id, payload_digest and response_id (the largest page_id of the equal payloads) of pages in groups of equal payloads."""
+def marks(pages: DataFrame, least: int = LEAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Of pages in groups of equal payloads: payload_digest and response_id (the largest page_id) of hot groups, and page_id, payload_digest and response_id of the pages of all others."""
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     narrow = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least).select(F.col("page_id").cast("long").alias("page_id"), F.sha1(body).alias("payload_digest"))
     narrow = stored(narrow, "digests")
-    groups = stored(narrow.groupBy("payload_digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1"), "groups")
+    groups = stored(narrow.groupBy("payload_digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1 AND response_id IS NOT NULL"), "groups")
     total = narrow.count()
-    hot = groups.where(F.col("n") * 1000 >= total).select("payload_digest", F.col("response_id").alias("hot_id"))  # 1000 rows at most
-    rest = groups.where(F.col("n") * 1000 < total).select("payload_digest", "response_id")
-    some = narrow.join(F.broadcast(hot), "payload_digest", "left")
-    found = some.where(F.col("hot_id").isNull()).drop("hot_id").join(rest, "payload_digest").where(F.col("response_id").isNotNull())
-    return stored(found.select("page_id", "payload_digest", "response_id").unionByName(some.where(F.col("hot_id").isNotNull()).withColumnRenamed("hot_id", "response_id").select("page_id", "payload_digest", "response_id")), "marks")
+    hot = groups.where(F.col("n") * HOT >= total).select("payload_digest", "response_id")  # HOT rows at most
+    rest = groups.where(F.col("n") * HOT < total).select("payload_digest", "response_id")
+    some = narrow.join(F.broadcast(hot.select("payload_digest")), "payload_digest", "left_anti").join(rest, "payload_digest")
+    return hot, stored(some.select("page_id", "payload_digest", "response_id").distinct(), "marks")
+
+
+def parts(rows: DataFrame, sizes: DataFrame, count: int) -> DataFrame:
+    """rows(page_id, payload_digest, url, spread) with their part, of about `count` by sizes(page_id, bytes); equal (page_id, payload_digest) meet but for those to spread."""
+    low, high = sizes.agg(F.min("page_id"), F.max("page_id")).head()
+    shift = 0
+    while low is not None and (high >> shift) - (low >> shift) >= RANGES:
+        shift += 1
+    at = F.coalesce(F.shiftright("page_id", shift), F.lit(None if low is None else (low >> shift) - 1).cast("long"), F.lit(0).cast("long"))
+    rows = rows.withColumn("range", at)
+    found = sorted(tuple(r) for r in sizes.groupBy(at.alias("range")).agg(F.sum("bytes")).collect())  # RANGES + 1 rows at most
+    each, dealt, part, held = max(1, sum(s for _, s in found) // count), [], 0, 0
+    for place, size in found:
+        wide = size > 2 * each
+        if held and (wide or held + size > each):
+            part, held = part + 1, 0
+        dealt.append((place, part, wide))
+        held += size
+        if wide:
+            part, held = part + SPREAD, 0
+    shares = rows.sparkSession.createDataFrame(dealt, "range long, part long, wide boolean")
+    own = F.when(F.col("spread"), F.xxhash64("payload_digest", "url")).otherwise(F.xxhash64("payload_digest"))
+    rows = rows.join(F.broadcast(shares), "range")
+    return rows.withColumn("part", F.col("part") + F.when(F.col("wide"), F.pmod(own, F.lit(SPREAD))).otherwise(0)).drop("range", "wide")
 
 
 def record(kind: str, page: int | None, url: str, digest: str, size: int, refers: int | None, payload: bytes) -> bytes:
@@ -80,7 +112,7 @@ class _File:
 
     def __init__(self, fs, folder: str, name: str):
         self.fs, self.final = fs, f"{folder}/{name}"
-        self.temp = f"{folder}/.{name}.{uuid4().hex}"
+        self.temp = f"{folder}/{TEMPORARY}/{name}.{uuid4().hex}"
         self.out, self.bytes, self.records, self.sha, self.first = fs.open_output_stream(self.temp, compression=None), 0, 0, hashlib.sha1(), None
 
     def write(self, member: bytes, page: int | None) -> None:
@@ -93,6 +125,8 @@ class _File:
 
     def close(self) -> tuple:
         self.out.close()
+        if self.fs.get_file_info(self.final).type != pafs.FileType.NotFound:  # of an attempt that was lost later
+            self.fs.delete_file(self.final)
         self.fs.move(self.temp, self.final)
         return self.final, self.first, self.records, self.bytes, self.sha.hexdigest()
 
@@ -101,26 +135,35 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least: in
     """Writes the archives of pages(page_id, url, html) below folder and returns their manifest, read from its table."""
     spark = pages.sparkSession
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit(1).alias("is_page"), F.col("url").cast("string").alias("url"), body.alias("payload"), F.sha1(body).alias("payload_digest"), F.lit(None).cast("long").alias("response_id"))
-    first = marks(pages, least).select("page_id", F.lit(0).alias("is_page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "payload_digest", "response_id")
-    both = rows.unionByName(first)  # a page's marks stand before it, so that payloads move once
-    ranged = both.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "page_id").sortWithinPartitions("page_id", "is_page", "payload_digest", "url")
+    hot, rest = marks(pages, least)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit(1).alias("is_page"), F.col("url").cast("string").alias("url"), body.alias("payload"), F.sha1(body).alias("payload_digest"))
+    rows = rows.join(F.broadcast(hot), "payload_digest", "left").withColumn("response_id", F.when(F.octet_length("payload") >= least, F.col("response_id")))
+    rows = rows.select("page_id", "is_page", "url", "payload", "payload_digest", "response_id", (F.col("response_id").isNotNull() & ~F.col("response_id").eqNullSafe(F.col("page_id"))).alias("spread"))
+    first = rest.select("page_id", F.lit(0).alias("is_page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "payload_digest", "response_id", F.lit(False).alias("spread"))
+    sizes = pages.select(F.col("page_id").cast("long").alias("page_id"), (F.octet_length(F.coalesce("html", F.lit(""))) + 100).alias("bytes"))
+    count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    both = parts(rows.unionByName(first), sizes, count).drop("spread")  # a page's marks stand before it, so that payloads move once
+    ranged = both.repartitionByRange(count, "part").sortWithinPartitions("part", "page_id", "payload_digest", "is_page", "url")
+    ranged = ranged.select("part", "page_id", "is_page", "url", "payload", "payload_digest", "response_id")
 
     def run(batches):
         fs, base = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(base, recursive=True)
-        part, rolled, file, last, done, of, known = TaskContext.get().partitionId(), 0, None, None, [], None, {}
+        fs.create_dir(f"{base}/{TEMPORARY}", recursive=True)
+        own, rolled, file, last, done, mark = None, 0, None, None, [], (None, None)
         for batch in batches:
-            for page, is_page, url, payload, digest, response in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, page, is_page, url, payload, digest, response in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != own:
+                    if file is not None:
+                        done.append(file.close())
+                    own, rolled, file = part, 0, None
                 if not is_page:
-                    if of != (page,):
-                        of, known = (page,), {}
-                    known[digest] = response
+                    mark = ((page, digest), response)
                     continue
-                response = known.get(digest) if of == (page,) and len(payload) >= least else None
-                first = response is None or page == response and last != (page, digest)
+                if response is None and mark[0] == (page, digest) and len(payload) >= least:
+                    response = mark[1]
+                leads = response is None or page == response and last != (page, digest)
                 last = (page, digest)
-                member = record("response" if first else "revisit", page, url, digest, len(payload), response, payload)
+                member = record("response" if leads else "revisit", page, url, digest, len(payload), response, payload)
                 packer = zlib.compressobj(6, zlib.DEFLATED, 31)
                 member = packer.compress(member) + packer.flush()
                 if file is None:
@@ -136,6 +179,8 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least: in
 
     manifest = f"{folder}/_manifest"
     ranged.mapInArrow(run, MANIFEST).write.parquet(manifest)  # its commit is the archives' commit
+    left = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{TEMPORARY}")
+    left.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(left, True)
     return spark.read.schema(MANIFEST).parquet(manifest)
 
 

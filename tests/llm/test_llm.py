@@ -92,10 +92,18 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
-def test_warc_is_deterministic(spark, tmp_path):
-    pages = spark.createDataFrame([(k, f"u{k}", f"<p>{k % 5}" + "z" * 1200) for k in range(50)], "page_id bigint, url string, html string")
-    names = lambda d: sorted((r.path.rsplit("/", 1)[1], r.sha1) for r in warc.write(pages, f"file://{tmp_path}/{d}", 500).collect())
-    assert names("a") == names("b")
+def test_warc_is_deterministic(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(k, f"u{k}", f"<p>{k % 5}" + "z" * 1200) for k in range(50)] + [(None, f"n{k}", "<p>" + "y" * (900 + k)) for k in range(60)] + [(7, "same", "x" * 5000)] * 30, "page_id bigint, url string, html string")
+    names = lambda d: sorted((r.path.rsplit("/", 1)[1], r.sha1) for r in warc.write(pages.repartition(3 + len(d)).withColumn("part", F.lit(1)), f"file://{tmp_path}/{d}", 500).collect())
+    assert names("a") == names("bb") and len(names("c")) > 20
+    assert sorted(x.name for x in (tmp_path / "a").iterdir() if not x.name.endswith(".gz")) == ["_manifest"]  # no temporary names are left
+    monkeypatch.setattr(warc, "HOT", 1)  # next to no digest is hot
+    monkeypatch.setattr(warc, "RANGES", 8)
+    rest = {(r.page_id, r.record_type, r.refers_to) for r in warc.read(warc.write(pages, f"file://{tmp_path}/r", 500), f"file://{tmp_path}/r").collect()}
+    assert rest == {(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages, 500).collect()}
+    assert {x for x in rest if x[0] is not None and x[0] < 50 and x[0] != 7} == {(k, "response" if k >= 45 else "revisit", None if k >= 45 else 45 + k % 5) for k in range(50) if k != 7}
+    long = spark.createDataFrame([(-(2**63), "u", "é" * 3_000_000), (2**63 - 1, "v", "é" * 3_000_000), (0, None, None)], "page_id bigint, url string, html string")
+    assert {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(long).collect()} == {(-(2**63), 6_000_000, "revisit", 2**63 - 1), (2**63 - 1, 6_000_000, "response", None), (0, 0, "response", None)}
 
 
 PAGE = """<html><head><title>x</title><script>var a = "</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
