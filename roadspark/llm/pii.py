@@ -1,17 +1,19 @@
 """Personal data: checked patterns, and a linear-chain conditional random field over word shapes.
 
 The patterns find e-mail addresses, IP addresses, card numbers and phone numbers with a plus; matches that
-fail their check are dropped. The field adds what patterns miss, such as numbers without a plus or addresses
-with a written-out at sign. It is trained by gradient ascent on the likelihood (forward-backward, all
-sentences at once) from a small labelled table, whose marked sentences are given below and may be replaced.
-Documents are decoded by Viterbi in numpy batches.
+fail their check are dropped. The field adds what patterns miss: phone numbers without a plus, addresses with a
+written-out at sign or without a dot, IP addresses of the sixth version. It is trained by gradient ascent on the
+likelihood (forward-backward, all sentences at once) from a small labelled table: phrases around a slot, each
+met with several forms of numbers, where the same forms stand in phrases that ask for them and in phrases about
+orders, pages or dates. The table may be replaced. Documents are decoded by Viterbi in numpy batches.
 
-Only words with a digit or an at sign, and CONTEXT words on either side, are decoded. This is exact: a word
-without these whose neighbours have none either has one and the same emission, whose margin for `outside` is
-checked, after training, to exceed anything transitions can give; such a word is outside in any best path.
+Only signal words (with a digit, an at sign or a written-out one), and CONTEXT words on either side, are decoded.
+This is exact: a word that is none and has none beside it is outside by a hard constraint of the field, as an
+inside label follows its own kind only by another.
 
 Null and empty texts have no spans. Offsets count code points; whole texts are read. A span of the field that
-meets a pattern's match, kept or dropped, is left out. Repeated rows come out each for itself.
+meets a pattern's match, kept or dropped, is left out. Repeated rows come out each for itself; an empty table
+gives no rows. All columns of the documents are kept, but one called as one that is added gives way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_buffers
+from .common import numbered, table, text_buffers
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,67 +37,48 @@ SIGNAL = table(b"0123456789@")
 CONTEXT = 3
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 
-#: The labelled table: personal data stands in {kind|...}; each digit 5 to 9 is varied when the table is expanded.
-SENTENCES = """
-call me at {phone|(555) 555-7788} tomorrow
-please phone {phone|555-678-9955} for the details
-Tel. {phone|0555 6677889} or write to us
-his number is {phone|555.678.5599} he said
-fax: {phone|(089) 5566-7788}
-reach {phone|555 567 8899} after noon
-mobile {phone|07557 667788} any time
-you may ring {phone|00 55 6677 8899} today
-telefon {phone|0555/667788} bitte
-write to {email|anna (at) mail.example.org} soon
-contact {email|bob [at] site.example.com} for help
-mail {email|carla @ firm.example.net} please
-the address is {email|dora.k (at) example.com}.
-my e-mail {email|evan@localhost} works
-server {ip|fe85::5a6b:77ff:fe88:9955} is down
-connect to {ip|2555:db8::8a5e:0:7556} now
-the order of 1999 was for 56 items
-in 2015 and 2016 we sold 7,500 units
-version 4.0 of the licence
-chapter 5.6.7 explains section 8.9
-it costs $59.95 or 60 % less
-between 10:55 and 11:30 on 5 May 2019
-dated 2019-05-06 and 07/08/2019
-the id 556677 was removed from row 89
-token = "5a6b7c8d9e5f6a7b8c9d" in the file
-password=5a6b7c8d9e5f6a7b8c was changed
-key AKIA55Q6EXAMPLE7 and code ABC-567
-see page 56, line 789 and note 5
-about 55 million people in 1 555 667 homes
-follow @anna and @bob on the site
-born on 5.6.1978 in room 55b
-pages 155-168 and 55-56 of volume 7
-isbn 978-5-566-77889-5 was printed
-at 5 pm the 6th train left platform 7
-sector 7 grid 8 level 9 zone 5
-values 0.556 and 1.789 and -5.5
-model X5-600 weighs 55kg and 6.5cm
-the ratio 5:6 or 7/8 was used
-score 55-68 in game 7
-""".strip().split("\n")
-TRIGGERS = frozenset("call phone tel tel. telephone telefon mobile fax fax: ring number reach mail e-mail email contact address server host ip isbn page pages version token chapter order id row score at".split())
+#: Phrases of the labelled table: {} is a slot for the forms of its list; several phrases share a line.
+PHONE_PHRASES = "call me at {} tomorrow|please phone {} for the details|Tel. {} or write|his number is {} he said|reach us on {} after noon|mobile: {} any time|you may ring {} today|Telefon {} bitte|dial {} now|text me on {} please|Phone: {}|fax {} to the office|my cell is {} and|call {}|téléphone {} le matin|teléfono {} hoy|Office: {}|ruf mich unter {} an|hotline {} is open|or by phone at {} until five|whatsapp {} anytime|contact number {} only|desk {} extension 7|Fax: {}|Tel: {}|you can reach him at {} every day|ring her on {} at home".split("|")
+OTHER_PHRASES = "order {} shipped|invoice number {} is due|the order of {} was paid|ticket {} was closed|account {} was opened|isbn {} was printed|pages {} of the book|serial number {} failed|see case {} for more|tracking code {} arrived|reference {} applies|article {} says|item {} is sold out|model {} weighs more|Rechnung {} vom Mai|facture {} du mois|pedido {} enviado|batch {} passed the test|part no. {} fits|the sum of {} was counted|Order number {} today|room {} on floor 2|policy {} expired|the code {} was removed|bill {} from last year|parcel {} is late|flight {} landed|id {} in the table|version {} is out|total {} units".split("|")
+MAIL_PHRASES = "write to {} soon|contact {} for help|mail {} please|the address is {} now|my e-mail {} works|email: {}|send it to {} today|reach me under {} or|from {} to all|E-Mail {} bitte|courriel {} merci|user {} wrote".split("|")
+HOST_PHRASES = "server {} is down|connect to {} now|the address {} answers|ping {} first|host {} was seen|from {} to the gateway|dns {} resolves|ip {} was blocked|a request of {} came|route via {} only|login from {} failed".split("|")
+NOT_MAIL = "follow {} on the site|thanks to {} for this|as {} said|by {} today".split("|")
+NOT_HOST = "between {} and noon|at {} sharp|the ratio {} was used|mac {} joined|duration {} in all|device {} was paired|verse {} reads".split("|")
+PHONES = "(555) 555-7788|555-678-9955|0555 6677889|555.678.5599|(089) 5566-7788|555 567 8899|07557 667788|00 55 6677 8899|0555/667788|5556789955|020 5567 8899|(0555) 667 788|01 55 66 77 88|555-5678".split("|")
+MAILS = "anna (at) mail.example.org|bob [at] site.example.com|carla @ firm.example.net|dora.k(at)example.com|eva[at]mail.example.net|evan@localhost|f.g@intern|hal (AT) example.org|ida [at] mail.example.com".split("|")
+HOSTS = "fe85::5a6b:77ff:fe88:9955|2555:db8::8a5e:0:7556|2555:0db8:85a5::8a5e:0575:7556|::5|2a55:45::55|fd55:6:7::8|2555:db8:5:6:7:8:9:5".split("|")
+NAMES = "@anna|@bob_7|@|@the|@c5".split("|")
+TIMES = "10:55|11:30:55|5:6|00:5A:6B:7C:8D:9E|55:66:77:88:99:aa|3:16|1:25:55".split("|")
+NUMBERS = "1999|56|7,500|4.0|5.6.7|$59.95|2019-05-06|07/08/2019|556677|89|ABC-567|155-168|978-5-566-77889-5|6th|0.556|-5.5|X5-600|55kg|55-68|55 million|1 555 667|5a6b7c8d9e5f6a7b8c|60 %|10-12|1,555,667.50".split("|")
+PLAIN = "in {} and 2016 we sold more|about {} people came|chapter {} explains it|it costs {} or less|born on {} in town|between {} and 60|in game {} of the year|dated {} and signed|see line {} and note 5|the {} train left|weighs {} at most|key {} was changed|since {} it grew|values of {} were seen".split("|")
+#: Words whose company tells what a number is.
+COMPANY = {
+    "phone": "call phone tel telephone telefon téléphone teléfono mobile cell handy fax ring dial reach text sms whatsapp hotline helpline office desk appelez llame ruf rufen anrufen",
+    "other": "order invoice ticket account isbn issn page pages serial case tracking reference ref article item model rechnung bestellung facture commande pedido factura batch part sum room policy code bill parcel flight id version total row score token chapter line section volume no nr sku lot zip",
+    "mail": "mail e-mail email courriel write contact send",
+    "host": "server host ip ping dns connect gateway router route login request node resolver",
+    "count": "about between since in chapter costs born dated weighs",
+    "unit": "people units items million percent euro dollars kg years shipped",
+}
+CLASS_OF = {w: k for k, ws in COMPANY.items() for w in ws.split()}
+WRITTEN_AT = re.compile(r"[(\[{<]at[)\]}>]", re.I)
+WRITTEN_AT_BYTES = re.compile(WRITTEN_AT.pattern.encode(), re.I)
+EDGES = ".,;:!?\"'#"
 
 
 def labelled_table() -> list[tuple[list[str], list[str]]]:
-    """The sentences as words and labels, each with five variants of its digits."""
+    """Sentences as words and labels: each phrase with two forms of its slot's list, dealt in turn."""
     out = []
-    for n, sentence in enumerate(SENTENCES):
-        parts = re.split(r"\{(\w+)\|([^}]*)\}", sentence)
-        for v in range(5):
-            words, labels = [], []
-            for k in range(0, len(parts), 3):
-                words += (w := parts[k].split())
-                labels += ["O"] * len(w)
-                if k + 1 < len(parts):
-                    own = parts[k + 2].split()
-                    words += own
-                    labels += [("B-" if i == 0 else "I-") + parts[k + 1] for i in range(len(own))]
-            vary = lambda m, v=v, n=n: str((int(m.group()) + 3 * v + n + m.start()) % 10)
-            out.append(([w if v == 0 else re.sub(r"[5-9]", vary, w) for w in words], labels))
+    lists = [(PHONE_PHRASES, PHONES, "phone"), (OTHER_PHRASES, PHONES, None), (OTHER_PHRASES, NUMBERS, None), (PLAIN, NUMBERS, None), (PHONE_PHRASES, ["five", "once", "2019"], None)]
+    lists += [(MAIL_PHRASES, MAILS, "email"), (NOT_MAIL, NAMES, None), (HOST_PHRASES, HOSTS, "ip"), (NOT_HOST, TIMES, None), (PHONE_PHRASES, PHONES, "phone"), (OTHER_PHRASES, PHONES, None), (PLAIN, PHONES[:7], None)]
+    for at, (phrases, forms, kind) in enumerate(lists):
+        for n, phrase in enumerate(phrases):
+            for v in range(2):
+                own = forms[(2 * n + v + at) % len(forms)].split()
+                left, right = phrase.split("{}")
+                ending = right.split() if not right or right[0] == " " else [right]
+                labels = ["O"] * len(own) if kind is None else [("B-" if i == 0 else "I-") + kind for i in range(len(own))]
+                out.append((left.split() + own + ending, ["O"] * len(left.split()) + labels + ["O"] * len(ending)))
     return out
 
 
@@ -106,35 +89,54 @@ def shape(word: str) -> str:
 
 
 def plain(word: str) -> bool:
-    return not any(c in "0123456789@" for c in word) and word.lower() not in ("(at)", "[at]")
+    """Whether a word is no signal."""
+    return not any(c in "0123456789@" for c in word) and not WRITTEN_AT.search(word)
+
+
+def company(word: str) -> str:
+    return CLASS_OF.get(word.strip(EDGES + "()").lower(), "w")
 
 
 def rough(word: str) -> str:
-    """The shape of a neighbour: words without signals are all alike but for triggers."""
-    if plain(word):
-        low = word.lower()
-        return f"t:{low}" if low in TRIGGERS else "w"
-    return re.sub(r"d[0-9]", "d", shape(word)) if len(word) < 40 else "long"
+    """The shape of a neighbour; words that are no signals are all alike."""
+    return "w" if plain(word) else re.sub(r"d[0-9]", "d", shape(word.strip(EDGES))) if len(word) < 40 else "long"
+
+
+def numeric(word: str) -> bool:
+    word = word.strip(EDGES)
+    return any(c in "0123456789" for c in word) and all(c in "0123456789()./-+" for c in word)
 
 
 def features(words: list[str], i: int) -> list[str]:
     word = words[i]
     before = rough(words[i - 1]) if i else "w"
     after = rough(words[i + 1]) if i + 1 < len(words) else "w"
-    own = rough(word)
     if plain(word):
-        own = "w"
-    digits = sum(c in "0123456789" for c in word)
-    out = ["bias", f"own={own}", f"before={before}", f"after={after}", f"pair={before}|{own}", f"next={own}|{after}"]
-    if not plain(word):
-        out += [f"shape={shape(word) if len(word) < 40 else 'long'}", f"digits={min(digits, 12)}", f"first={word[0] if not word[0].isalnum() else 'a'}", f"at={'@' in word}", f"colons={word.count(':') > 2}", f"letters={any(c.isalpha() for c in word)}"]
+        return ["quiet"] if before == after == "w" else ["bias", "own=w", f"before={before}", f"after={after}"]
+    bare = word.strip(EDGES) if len(word) < 64 else "long"
+    a = b = i
+    if numeric(word):  # the run of numbers it stands in
+        while a and i - a < 8 and numeric(words[a - 1]):
+            a -= 1
+        while b + 1 < len(words) and b - i < 8 and numeric(words[b + 1]):
+            b += 1
+    digits = sum(c in "0123456789" for w in words[a : b + 1] for c in w[:64])
+    size = "few" if digits < 7 else "some" if digits <= 15 else "many"
+    left = {company(w) for w in words[max(0, a - 4) : a] if plain(w)} - {"w"}
+    near = next((company(w) for w in reversed(words[max(0, a - 4) : a]) if plain(w) and company(w) != "w"), "none")
+    out = ["bias", f"own={rough(word)}", f"before={before}", f"after={after}", f"pair={before}|{rough(word)}", f"shape={shape(bare)}", f"size={size}"]
+    out += [f"near={near}", f"near={near}|{size}", f"near={near}|{size}|{i > a}", f"first={a == i}|{size}", f"next={company(words[b + 1]) if b + 1 < len(words) and plain(words[b + 1]) else 'none'}", f"begins={bare[:1] if not bare[:1].isalnum() else 'a'}"]
+    out += [f"left={c}" for c in sorted(left)]
+    colons = bare.count(":")
+    six = bool(re.fullmatch(r"[0-9a-fA-F:]+", bare)) and ("::" in bare or colons == 7)
+    out += [f"at={'@' in word}|{bool(WRITTEN_AT.search(word))}|{len(word) > 4}", f"dot={'.' in bare}", f"six={six}", f"mac={colons == 5}", f"letters={any(c.isalpha() for c in bare)}", f"money={any(c in '$%€£' for c in word)}"]
     return out
 
 
 class Field:
     """The trained field: weights by feature, and transitions."""
 
-    def __init__(self, sentences: list[tuple[list[str], list[str]]], steps: int = 300, rate: float = 0.2, decay: float = 2e-3):
+    def __init__(self, sentences: list[tuple[list[str], list[str]]], steps: int = 110, rate: float = 0.4, decay: float = 2e-4):
         names: dict[str, int] = {}
         rows = [[[names.setdefault(f, len(names)) for f in features(w, i)] for i in range(len(w))] for w, _ in sentences]
         n, most, k = len(sentences), max(len(w) for w, _ in sentences), len(LABELS)
@@ -181,11 +183,9 @@ class Field:
             for b, right in enumerate(LABELS):
                 if right[0] == "I" and left[2:] != right[2:]:
                     moves[a, b] = -1e3
+        if "quiet" in names:
+            weights[names["quiet"], 1:] = -1e3
         self.names, self.weights, self.moves, self.cache = names, weights, moves, {}
-        quiet = self.emission(["w"] * 3, 1)
-        # what a label other than O could gain by its neighbours over O
-        gain = max((moves[:, y].max() + moves[y].max()) - (moves[:, 0].min() + moves[0, [0, *range(1, k, 2)]].min()) for y in range(1, k))
-        self.exact = bool(quiet[0] - quiet[1:].max() > gain)
 
     def emission(self, words: list[str], i: int) -> np.ndarray:
         key = tuple(features(words, i))
@@ -273,7 +273,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
 def plausible(kind: int, text: str) -> bool:
     digits = sum(c in "0123456789" for c in text)
     if kind == 0:
-        return "@" in text or "at" in text
+        return "@" in text[1:] or bool(WRITTEN_AT.search(text))
     if kind == 1:
         return text.count(":") >= 2
     return 13 <= digits <= 19 if kind == 2 else 7 <= digits <= 15
@@ -305,8 +305,6 @@ class Finder:
                     b = marks[k]
                     k += 1
                 a, b = max(0, a - CONTEXT), min(len(words), b + CONTEXT + 1)
-                if not self.model.exact:
-                    a, b, k = 0, len(words), len(marks)
                 chains.append([self.model.emission(names, i) for i in range(a, b)])
                 about.append((n, words[a:b], taken))
         for (n, words, taken), path in zip(about, self.model.decode(chains)):
@@ -322,7 +320,7 @@ class Finder:
                 text = texts[n]
                 while end > start and text[end - 1] in ".,;:!?\"'":
                     end -= 1
-                while start < end and text[start] in "\"'<":
+                while start < end and text[start] in "\"'<" and not WRITTEN_AT.match(text, start):
                     start += 1
                 number = KINDS.index(kind)
                 if plausible(number, text[start:end]) and not any(s < end and start < e for s, e in taken):
@@ -354,13 +352,11 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, text_col: str = "text", sentences=None) -> DataFrame:
     """All columns of docs, with n_email, n_ip, n_card, n_phone, base (written spans of the patterns), spans (all) and redacted."""
-    own = docs.columns
-    names = [f"c{k}" for k in range(len(own))]
-    at = own.index(text_col)
+    added = [*(f"n_{k}" for k in KINDS), "base", "spans", "redacted"]
+    rows, own, at = numbered(docs, added, text_col)
+    names = rows.columns
     model = docs.sparkSession.sparkContext.broadcast(field(sentences))
-    rows = docs.toDF(*names)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    added = [*(f"n_{k}" for k in KINDS), "base", "spans", "redacted"]
 
     def run(batches):
         finder = Finder(model.value)
@@ -372,9 +368,8 @@ def scan(docs: DataFrame, text_col: str = "text", sentences=None) -> DataFrame:
             more = np.zeros(batch.num_rows, bool)
             more[hit] = True
             raw = data.tobytes()
-            if b"(at)" in raw or b"[at]" in raw:
-                for i in range(batch.num_rows):
-                    more[i] |= any(x in raw[offsets[i] : offsets[i + 1]] for x in (b"(at)", b"[at]"))
+            for m in WRITTEN_AT_BYTES.finditer(raw):
+                more[np.searchsorted(offsets, m.start(), "right") - 1] = True
             hit = np.flatnonzero(more)
             counts = np.zeros((4, batch.num_rows), np.int64)
             base, spans = [""] * batch.num_rows, [""] * batch.num_rows

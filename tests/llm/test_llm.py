@@ -277,17 +277,126 @@ def test_pii(spark):
     assert got[5].redacted is None and got[8].redacted == "ééé <IP>"
 
 
-def test_pii_shortcut_is_exact():
+#: Phrases that are not in the labelled table; personal data stands in {kind|...}.
+HELD_OUT = """
+Office: {phone|415-555-2671}
+mail {email|joe[at]x.org} today
+seen at {ip|2001:0db8:85a3::8a2e:0370:7334} last week
+order 555-123-4567 shipped
+Invoice number 020 7946 0958
+Give us a call on {phone|020 7946 0958} before six.
+Phone number: {phone|(212) 555-0147}
+Her mobile is {phone|07700 900123} I think
+Ring the helpline, {phone|0800 555 1234}, at once
+telephone {phone|212.555.0199} for a table
+Please text {phone|617 555 0102} when there
+Fax {phone|030/1234567}
+write {email|mary.ann (at) corp.example.com} about it
+contact: {email|sales [at] shop.example.de}
+send mail to {email|root@localhost}
+the host {ip|fe80::1ff:fe23:4567:890a} replied
+server at {ip|2001:db8::ff00:42:8329}
+tracking number 123-456-7890 was scanned
+your account 5551234567 has been charged
+pages 100-200 and 300-400
+the year 1984 and 2001 were good
+about 3 000 000 people live here
+isbn 978-3-16-148410-0
+built between 1066 and 1485
+version 10.4.2 build 20190412
+it was 12:30:45 when he came
+device 00:1B:44:11:3A:B7 was lost
+thanks @someone for the help
+at 5 pm on 12 May 2020
+serial 0800 123 4567
+ticket 415-555-2671 is closed
+score 21-14 and 7-3
+sum of 1 234 567 euro
+https://example.com/a/2019/05/12345678
+ratio 16:9 or 4:3
+item 0555 123456 is out
+price 1,234,567.89 dollars
+call in 2015 or 2016
+he was born 12.05.1978
+room 415 in building 7
+Reception desk: {phone|(020) 7946-0123}
+If lost, call {phone|555 0148 221} now
+Our fax is {phone|01632 960 983}
+cell {phone|404.555.0163} works best
+mi teléfono es {phone|0612 345 678} gracias
+Sie erreichen mich am Telefon {phone|089/1234567} immer
+Phone {phone|4045550163} or visit
+contact us: {email|info(at)firm.example.org}
+E-mail: {email|jo [at] example.com}
+mail me, {email|x.y@intranet} works
+dns {ip|2606:4700:4700::1111} is fast
+ip {ip|fe80::1} answered
+Order no 404-555-0163 cancelled
+Invoice 0612 345 678 paid
+batch 4045550163 tested
+the years 1914-1918 were hard
+lot 12 34 56 78 90 sold
+a total of 404 555 016 units
+ran 10:15:30 in all
+Psalm 23:4 and 5:6
+Follow @nasa today
+the @ sign alone
+version 2001.12.5 of it
+the code 123 456 7890 expired
+flight 555 0148 221 is late
+temperature -5.5 to 12.75
+from 1 234 567 to 7 654 321 people
+chapter 4 page 1234567
+model 404.555.0163 weighs 5 kg
+"""
+
+
+def test_pii_field_on_held_out_phrases():
+    finder = pii.Finder(pii.field())
+    hits = wrong = missed = 0
+    for line in HELD_OUT.strip().split("\n"):
+        parts, text, gold = re.split(r"\{(\w+)\|([^}]*)\}", line), "", set()
+        for k in range(0, len(parts), 3):
+            text += parts[k]
+            if k + 1 < len(parts):
+                gold.add((pii.KINDS.index(parts[k + 1]), len(text), len(text) + len(parts[k + 2])))
+                text += parts[k + 2]
+        got = set(finder.find([text])[0][1])
+        hits, wrong, missed = hits + len(got & gold), wrong + len(got - gold), missed + len(gold - got)
+    assert hits / (hits + wrong) >= 0.9 and hits / (hits + missed) >= 0.9, (hits, wrong, missed)
+    trained = {" ".join(w) for w, _ in pii.labelled_table()}
+    assert not trained & set(re.sub(r"\{\w+\|([^}]*)\}", r"\1", HELD_OUT).split("\n"))
+
+
+def test_pii_viterbi_against_all_paths():
+    """Of all label sequences of short sentences the decoded one scores best, with words far from signals left out or not."""
+    import itertools
+
     model = pii.field()
-    assert model.exact
-    text = "we said call me at (988) 555-2485 and then wrote many words in a row before 2019 came by and ended"
-    words = text.split()
+    score = lambda node, path: sum(node[i][y] for i, y in enumerate(path)) + sum(model.moves[a, b] for a, b in zip((0, *path), (*path, 0)))
+    for text in ("call 555 0148", "we met", "mail a (at) b", "order 555-0148 now"):
+        node = [model.emission(text.split(), i) for i in range(len(text.split()))]
+        best = max(itertools.product(range(len(pii.LABELS)), repeat=len(node)), key=lambda path: score(node, path))
+        assert abs(score(node, model.decode([node])[0]) - score(node, best)) < 1e-9
+    words = "we said call me at (988) 555-2485 and then wrote many words in a row before 2019 came by and ended".split()
     full = model.decode([[model.emission(words, i) for i in range(len(words))]])[0]
     marks = [i for i, w in enumerate(words) if not pii.plain(w)]
-    a, b = max(0, marks[0] - 3), min(len(words), marks[-1] + 4)
+    a, b = max(0, marks[0] - pii.CONTEXT), min(len(words), marks[-1] + pii.CONTEXT + 1)
     assert model.decode([[model.emission(words, i) for i in range(a, b)]])[0] == full[a:b] and not any(full[:a]) and not any(full[b:])
 
 
+def test_pii_edges(spark):
+    rows = [(1, None), (2, ""), (3, "call me at (988) 555-2485"), (3, "call me at (988) 555-2485"), (None, "a@b.cd"), (4, "words " * 300_000 + "mail x@y.zz now"), (5, "x [AT] é.org bob[AT]mail.org")]
+    frame = docs(spark, rows).withColumns({"n_email": F.lit("x"), "Spans": F.lit(1), "c0": F.lit(2)})
+    out = pii.scan(frame)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "c0", "n_email", "n_ip", "n_card", "n_phone", "base", "spans", "redacted"]
+    got = sorted(str((r.doc_id, r.n_email, r.spans)) for r in out.collect())
+    end = len("words " * 300_000)
+    assert got[:4] == sorted(str(x) for x in [(1, 0, ""), (2, 0, ""), (3, 0, "phone:11:25"), (3, 0, "phone:11:25")])
+    assert str((4, 1, f"email:{end + 5}:{end + 11}")) in got and str((None, 1, "email:0:6")) in got
+    assert pii.scan(frame.where("false")).count() == 0
+
+
 def test_topk_edges(spark):
     rnd = np.random.default_rng(3)
     rows = [(k, [float(x) for x in rnd.normal(size=20)]) for k in range(150)] + [(100, [0.0] * 20), (300, [1.0] * 20), (301, None), (302, [float("nan")] * 20), (303, [None] + [1.0] * 19), (304, [1.0, 2.0]), (None, [1.0] * 20), (305, [0.5] * 20), (306, [0.5] * 20)]
