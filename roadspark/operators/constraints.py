@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluate import HARD
+from .walk import FOREVER
 
 
 def plan_totals(routes: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -84,3 +85,37 @@ def parse_objective(given: dict | str | None) -> tuple[str, list[str]]:
     if unknown or not levels:
         raise ValueError(f"unknown objective: {unknown or given}")
     return "lexicographic", [MEASURES[x] for x in levels]
+
+
+def unassigned_cost(unassigned: DataFrame, penalty: float = 0.0, cap: int | None = None) -> DataFrame:
+    """What single jobs left out cost: penalty each, and a hard penalty above the cap; shipments are not counted. unassigned(plan_id, job, kind)."""
+    n = F.count_if(F.coalesce("kind", F.lit("job")) == "job")
+    hard = F.greatest(n - cap, F.lit(0)) * HARD if cap is not None else F.lit(0.0)
+    return unassigned.groupBy("plan_id").agg(n.alias("jobs"), (n * penalty + hard).cast("double").alias("penalty"))
+
+
+def soft_by_default(jobs: DataFrame) -> DataFrame:
+    """Whether soft windows are on where nobody says: if any job has a window that ends."""
+    ends = F.exists("windows", lambda w: (w["start"] > 0) | (w["end"] < FOREVER))
+    return jobs.agg(F.coalesce(F.max(ends), F.lit(False)).alias("soft"))
+
+
+#: What a dimension may be given, with defaults.
+DIMENSION = {"name": None, "start": 0, "min": None, "max": None, "soft_min": None, "soft_max": None, "penalty": 0.0, "transit": None}
+
+
+def parse_dimensions(given: list[dict] | None) -> list[dict]:
+    """Dimensions as problems name them, with defaults; unknown options, missing names and bounds that cross are errors."""
+    out = []
+    for one in given or []:
+        unknown = set(one) - set(DIMENSION)
+        if unknown or not one.get("name"):
+            raise ValueError(f"a dimension has a name and no {sorted(unknown)}")
+        full = DIMENSION | one
+        for lo, hi in (("min", "max"), ("soft_min", "soft_max")):
+            if full[lo] is not None and full[hi] is not None and full[lo] > full[hi]:
+                raise ValueError(f"{full['name']}: {lo} is above {hi}")
+        out.append(full)
+    if len({x["name"] for x in out}) < len(out):
+        raise ValueError("two dimensions have one name")
+    return out

@@ -10,13 +10,41 @@ from ..functions.text import house_key, house_number
 from .nearest import nearest
 
 
+GRAM = 3
+
+
+def grams(text: Column, size: int) -> Column:
+    """The different stretches of `size` characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda k: F.substr(text, k, F.lit(size))))
+
+
 def find_street(streets: DataFrame, queries: DataFrame) -> DataFrame:
-    """For queries(query) the street (name_id, street): equal but for case first, else the first id that contains it."""
-    q = F.lower(F.trim("query"))
-    found = queries.join(streets, F.contains(F.lower("street"), q)).withColumn("inexact", F.lower("street") != q)
+    """For queries(query) the street (name_id, street): equal but for case first, else the first id that contains it.
+
+    Streets and queries meet by equal stretches of GRAM characters (fewer, where the query is shorter), which
+    are then compared whole; empty queries find nothing.
+    """
+    low = F.lower("street")
+    every = F.concat(*[grams(low, n) for n in range(1, GRAM + 1)])
+    keyed = streets.select("name_id", "street", F.explode(F.array_distinct(every)).alias("gram"))
+    asked = queries.withColumn("q", F.lower(F.trim("query"))).where("q <> ''").withColumn("gram", F.substr("q", F.lit(1), F.lit(GRAM)))
+    found = asked.join(keyed, "gram").where(F.contains(low, F.col("q"))).withColumn("inexact", low != F.col("q"))
     return found.groupBy("query").agg(F.min(F.struct("inexact", "name_id", "street")).alias("best")).select("query", "best.name_id", "best.street")
 
 
+def locate_street(streets: DataFrame, street_nodes: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """For queries(query) the street found and a node of it that stands for it (that of the smallest number), with its place."""
+    first = street_nodes.groupBy("street").agg(F.min("node").alias("node"))
+    return find_street(streets, queries).join(first, "street").join(nodes.select("node", "lat", "lon"), "node").select("query", "street", "node", "lat", "lon")
+
+
+def street_reverse(points: DataFrame, street_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The street of the nearest node that has one (the first by name), for points(point, lat, lon): point, street, node, metres."""
+    named = street_nodes.groupBy("node").agg(F.min("street").alias("street"))
+    sites = nodes.join(named.select("node"), "node").select(F.col("node").alias("site"), "lat", "lon")
+    return nearest(points, sites, 1).join(named.withColumnRenamed("node", "site"), "site").select("point", "street", F.col("site").alias("node"), "metres")
+
+
 def suggest(streets: DataFrame, text: str, limit: int = 10) -> DataFrame:
     """Streets for typed text: prefixes first, then the others that contain it, by id."""
     low = F.lower(F.lit(text))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MST_SAMPLE = 200
@@ -37,12 +37,13 @@ def utilisation(demand: DataFrame, vehicles: DataFrame) -> DataFrame:
 
 
 def tree_kurtosis(points: DataFrame, by: str) -> DataFrame:
-    """Excess kurtosis of the edges of a minimum spanning tree over MST_SAMPLE points at most, evenly strided by id."""
+    """Excess kurtosis of the edges of a minimum spanning tree over MST_SAMPLE points at most, evenly strided by id before they meet."""
+    order = Window.partitionBy(by).orderBy("id")
+    sizes = points.groupBy(by).agg(F.ceil(F.count("*") / MST_SAMPLE).alias("stride"))
+    points = points.select(by, "id", "x", "y", (F.row_number().over(order) - 1).alias("place")).join(sizes, by).where("place % stride = 0")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        stride = -(-len(pdf) // MST_SAMPLE)
-        xy = pdf[["x", "y"]].to_numpy()[::stride]
+        xy = pdf.sort_values("id")[["x", "y"]].to_numpy()
         far, left, edges = np.full(len(xy), np.inf), np.ones(len(xy), bool), []
         at = 0
         left[0] = False
@@ -74,9 +75,11 @@ def neighbours(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """The upper median: the element at half the count, from 0."""
-    ordered = F.sort_array(F.collect_list(value))
-    return rows.groupBy(by).agg(F.element_at(ordered, (F.floor(F.count(value) / 2) + 1).cast("int")).alias("median"))
+    """The value in the middle of each group, the upper of two; by a sort that spills, not in memory."""
+    order = Window.partitionBy(by).orderBy(value)
+    sizes = rows.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n"))
+    ranked = rows.where(F.col(value).isNotNull()).select(by, value, F.row_number().over(order).alias("k")).join(sizes, by)
+    return ranked.where(F.expr("k = n div 2 + 1")).select(by, F.col(value).alias("median"))
 
 
 def weighted_regression(rows: DataFrame, features: list[str], target: str, weight: str, ridge: float = 1e-6) -> np.ndarray | None:

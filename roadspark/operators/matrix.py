@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine, road_metres, road_seconds
-from ..plans.lineage import stored
+from ..plans.lineage import discarded, stored
 
 
 def straight_line(sites: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -98,16 +100,46 @@ def block_residuals(parts: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def farthest_landmarks(cells: DataFrame, count: int) -> DataFrame:
-    """Landmarks by farthest point on symmetrised durations, from one end of the widest pair; ties to the smaller id. `count` rounds."""
-    back = cells.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("dur").alias("back"))
-    both = stored(cells.join(back, ["i", "j"]).select("i", "j", F.greatest("dur", "back").alias("far")), "far")
-    first = both.agg(F.max(F.struct("far", (-F.col("i")).alias("n"))).alias("w")).select((-F.col("w.n")).alias("l"))
-    chosen = stored(first.withColumn("rank", F.lit(1)), "landmarks")
+    """Landmarks by farthest point on symmetrised durations, from one end of the widest pair; ties to the smaller id: block, l, rank. `count` rounds.
+
+    cells(block, i, j, dur): blocks are matrices of their own, and all of them take a landmark a round.
+    """
+    back = cells.select("block", F.col("i").alias("j"), F.col("j").alias("i"), F.col("dur").alias("back"))
+    both = stored(cells.join(back, ["block", "i", "j"]).select("block", "i", "j", F.greatest("dur", "back").alias("far")), "far")
+    widest = lambda rows, far: rows.groupBy("block").agg(F.max(F.struct(far, (-F.col("i")).alias("n"))).alias("w")).select("block", (-F.col("w.n")).alias("l"))
+    chosen = stored(widest(both, "far").withColumn("rank", F.lit(1)), "landmarks")
     for rank in range(2, count + 1):
-        near = both.join(F.broadcast(chosen.select(F.col("l").alias("j"))), "j", "left_semi").groupBy("i").agg(F.min("far").alias("near"))
-        near = near.join(F.broadcast(chosen.select(F.col("l").alias("i"))), "i", "left_anti")
-        more = near.agg(F.max(F.struct("near", (-F.col("i")).alias("n"))).alias("w")).where("w IS NOT NULL").select((-F.col("w.n")).alias("l"), F.lit(rank).alias("rank"))
-        chosen = stored(chosen.unionByName(more), "landmarks")
+        near = both.join(chosen.select("block", F.col("l").alias("j")), ["block", "j"], "left_semi").groupBy("block", "i").agg(F.min("far").alias("near"))
+        near = near.join(chosen.select("block", F.col("l").alias("i")), ["block", "i"], "left_anti")
+        chosen, last = stored(chosen.unionByName(widest(near, "near").withColumn("rank", F.lit(rank))), "landmarks"), chosen
+        discarded(last)
+    return chosen
+
+
+def max_min_landmarks(prior: DataFrame, count: int) -> DataFrame:
+    """Landmarks of a broker by block: the place with the largest mean of both ways first, then greedily the farthest from those chosen; ties to the smaller id: block, l, rank."""
+    back = prior.select("block", F.col("i").alias("j"), F.col("j").alias("i"), F.col("dur").alias("back"))
+    mean = prior.join(back, ["block", "i", "j"]).select("block", "i", "j", F.floor((F.col("dur") + F.col("back")) / 2).alias("dur"))
+    return farthest_landmarks(mean, count)
+
+
+def pivot_landmarks(cells: DataFrame, count: int, pairs: int | None = None) -> DataFrame:
+    """Landmarks that bridge best, by block: greedily the place that lowers the summed min-plus bases of sampled pairs most; the first of equals wins: block, l, rank.
+
+    The sample is by hash, of about clamp(4n, 512, 4096) pairs of each block (all of a smaller one), so that a
+    round is one aggregate of pairs times places.
+    """
+    cells = cells.select("block", "i", "j", "dur")
+    n = cells.groupBy("block").agg(F.approx_count_distinct("i").alias("n"), F.count("*").alias("total"))
+    most = F.lit(pairs) if pairs else F.greatest(F.least(4 * F.col("n"), F.lit(4096)), F.lit(512))
+    sample = cells.where("i <> j").join(F.broadcast(n), "block").where(F.pmod(F.xxhash64("i", "j"), F.lit(1 << 20)) * F.col("total") < most.cast("bigint") * (1 << 20)).select("block", "i", "j")
+    legs = stored(sample.join(cells.select("block", "i", F.col("j").alias("l"), F.col("dur").alias("il")), ["block", "i"]).join(cells.select("block", F.col("i").alias("l"), "j", F.col("dur").alias("lj")), ["block", "l", "j"]).select("block", "i", "j", "l", (F.col("il") + F.col("lj")).alias("via")), "vias")
+    chosen = legs.where("false").select("block", "l", F.lit(0).alias("rank"))
+    for rank in range(1, count + 1):
+        best = legs.join(chosen.select("block", "l"), ["block", "l"], "left_semi").groupBy("block", "i", "j").agg(F.min("via").alias("best"))
+        costs = legs.join(best, ["block", "i", "j"], "left").groupBy("block", "l").agg(F.sum(F.least("via", F.coalesce("best", "via"))).alias("cost")).join(chosen.select("block", "l"), ["block", "l"], "left_anti")
+        more = costs.groupBy("block").agg(F.min(F.struct("cost", "l")).alias("w")).select("block", "w.l", F.lit(rank).alias("rank"))
+        chosen = stored(chosen.unionByName(more), "pivots")
     return chosen
 
 
@@ -138,3 +170,54 @@ def rank_one(cells: DataFrame, regions: DataFrame) -> DataFrame:
 
 def default_landmarks(n: int) -> int:
     return max(2, min(64, n // 40))
+
+
+def window_proximity(cells: DataFrame, places: DataFrame, wait_weight: float = 0.2, warp_weight: float = 1.0) -> DataFrame:
+    """How well two places follow each other: travel plus weighted forced waiting and lateness, the better of both ways: i, j, near.
+
+    places(place, ready, due, service).
+    """
+    a = places.select(F.col("place").alias("i"), F.col("ready").alias("ri"), F.col("due").alias("di"), F.col("service").alias("si"))
+    b = places.select(F.col("place").alias("j"), F.col("ready").alias("rj"), F.col("due").alias("dj"))
+    rows = cells.where("i <> j").join(a, "i").join(b, "j")
+    wait = F.greatest(F.col("rj") - F.col("si") - F.col("dur") - F.col("di"), F.lit(0))
+    warp = F.greatest(F.col("ri") + F.col("si") + F.col("dur") - F.col("dj"), F.lit(0))
+    one = rows.select("i", "j", (F.col("dur") + wait_weight * wait + warp_weight * warp).alias("way"))
+    back = one.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("way").alias("back"))
+    return one.join(back, ["i", "j"]).select("i", "j", F.least("way", "back").alias("near"))
+
+
+#: Forms that `compressed` tries: rank-one blocks of regions, and so many landmarks.
+REGIONS, BRIDGES = 8, (8, 16, 32, 64)
+
+
+def encoded_bytes(residual: Column) -> Column:
+    """Bytes of a whole number in zigzag and 7-bit groups."""
+    z = F.when(residual >= 0, residual * 2).otherwise(-residual * 2 - 1)
+    return F.when(z <= 0, 1).otherwise(F.floor(F.log2(z.cast("double")) / 7) + 1).cast("bigint")
+
+
+def compressed(cells: DataFrame, bridges: tuple = BRIDGES, regions: int = REGIONS) -> tuple[DataFrame, DataFrame]:
+    """The smallest form of each block of cells(block, i, j, dur), lossless: (parts, forms).
+
+    parts(block, form, i, j, base, residual) restore a cell as base + residual; forms(block, form, bytes) has
+    the size of every form tried, the form chosen first. Forms are `bridge-L` (min-plus through L landmarks by
+    farthest point) and `cluster` (first column plus first row less corner, of blocks between regions).
+    """
+    cells = stored(cells.select("block", "i", "j", "dur"), "cells")
+    tried = []
+    marks = stored(farthest_landmarks(cells, max(bridges)), "landmarks")
+    for count in bridges:
+        some = marks.where(F.col("rank") <= count)
+        to = cells.join(some.select("block", F.col("l").alias("j")), ["block", "j"], "left_semi").select("block", "i", F.col("j").alias("l"), F.col("dur").alias("il"))
+        off = cells.join(some.select("block", F.col("l").alias("i")), ["block", "i"], "left_semi").select("block", F.col("i").alias("l"), "j", F.col("dur").alias("lj"))
+        base = to.join(off, ["block", "l"]).groupBy("block", "i", "j").agg(F.min(F.col("il") + F.col("lj")).alias("base"))
+        tried.append(cells.join(base, ["block", "i", "j"]).select("block", F.lit(f"bridge-{count}").alias("form"), "i", "j", "base", (F.col("dur") - F.col("base")).alias("residual")))
+    near = cells.join(marks.where(F.col("rank") <= regions).select("block", F.col("l").alias("i")), ["block", "i"], "left_semi")
+    own = near.groupBy("block", F.col("j").alias("place")).agg(F.min(F.struct("dur", "i")).alias("w")).select("place", F.col("w.i").alias("cluster"))
+    tried.append(rank_one(cells.select("i", "j", "dur"), own).join(cells.select("block", "i", "j"), ["i", "j"]).select("block", F.lit("cluster").alias("form"), "i", "j", (F.col("dur") - F.col("residual")).alias("base"), "residual"))
+    every = stored(reduce(DataFrame.unionByName, tried), "forms")
+    forms = every.groupBy("block", "form").agg(F.sum(encoded_bytes(F.col("residual"))).alias("bytes"))
+    best = forms.groupBy("block").agg(F.min(F.struct("bytes", "form")).alias("w")).select("block", F.col("w.form").alias("chosen"))
+    parts = every.join(best, "block").where("form = chosen").drop("chosen")
+    return parts, forms.join(best, "block").select("block", "form", "bytes", (F.col("form") == F.col("chosen")).alias("is_best"))

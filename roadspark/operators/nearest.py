@@ -1,13 +1,15 @@
-"""Nearest neighbours of points by grid cells and rings.
+"""Nearest neighbours of points by grid cells.
 
-A point looks into its own cell and the rings around it, as an equi-join on cells. Its k-th neighbour is final
-once it lies no farther than the ring it has looked into is wide; points that are not final look again with
-doubled rings. So no pair beyond the rings is ever made. Ties go to the smaller id. Null coordinates match
-nothing.
+A point looks into its own cell and the eight around it, as an equi-join on cells. Its k-th neighbour is final
+once it lies no farther than a cell is wide; points that are not final look again in cells four times as wide,
+up to cells as wide as the globe. So a point never makes more than nine keys a round, and no pair beyond the
+cells around it is ever made. Ties go to the smaller id. Null coordinates match nothing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,33 +17,31 @@ from ..functions.geo import EARTH_M, cell, haversine
 from ..plans.lineage import stored
 
 CELL = 0.005
-MOST_RINGS = 1 << 16
+GROWTH = 4
 
 
 def nearest(points: DataFrame, sites: DataFrame, k: int = 1, size: float = CELL) -> DataFrame:
     """For points(point, lat, lon) the k nearest of sites(site, lat, lon): point, site, rank, metres."""
     good = "lat IS NOT NULL AND lon IS NOT NULL"
-    sites = stored(sites.where(good).select("site", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), cell(F.col("lat"), size).alias("r"), cell(F.col("lon"), size).alias("c")), "sites")
+    sites = stored(sites.where(good).select("site", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")), "sites")
     ask = stored(points.where(good).select("point", "lat", "lon"), "points")
     total = sites.count()
     order = Window.partitionBy("point").orderBy("metres", "site")
-    parts, ring = [], 1
+    around = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    parts = []
     while total and not ask.isEmpty():
-        span = F.sequence(F.lit(-ring), F.lit(ring))
-        near = ask.withColumns({"r": cell(F.col("lat"), size), "c": cell(F.col("lon"), size)}).withColumn("dr", F.explode(span)).withColumn("dc", F.explode(span))
-        near = near.select("point", "lat", "lon", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c")).join(sites, ["r", "c"])
+        near = ask.withColumn("at", F.explode(around))
+        near = near.select("point", "lat", "lon", (cell(F.col("lat"), size) + F.col("at.dr")).alias("r"), (cell(F.col("lon"), size) + F.col("at.dc")).alias("c"))
+        near = near.join(sites.withColumns({"r": cell(F.col("s_lat"), size), "c": cell(F.col("s_lon"), size)}), ["r", "c"])
         near = near.withColumn("metres", haversine(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")))
         best = stored(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("point", "lat", "site", "rank", "metres"), "near")
-        # a site outside the rings is at least this far away
-        bound = F.radians(F.lit(ring * size)) * EARTH_M * F.cos(F.radians(F.least(F.abs("lat") + ring * size, F.lit(89.9)))) * 0.999
+        # a site outside the cells is at least this far away
+        bound = F.radians(F.lit(size)) * EARTH_M * F.cos(F.radians(F.least(F.abs("lat") + size, F.lit(89.9)))) * 0.999
         final = best.where((F.col("rank") == min(k, total)) & (F.col("metres") <= bound)).select("point")
-        if ring >= MOST_RINGS or ring * size >= 360:
+        if size >= 360:
             final = ask.select("point")
         parts.append(best.join(final, "point", "left_semi").select("point", "site", "rank", "metres"))
-        ask, ring = stored(ask.join(final, "point", "left_anti"), "points"), ring * 4
+        ask, size = stored(ask.join(final, "point", "left_anti"), "points"), size * GROWTH
     if not parts:
         return points.select("point").where("false").select("point", F.lit(0).cast("bigint").alias("site"), F.lit(0).alias("rank"), F.lit(0.0).alias("metres"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)

@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import stored
+from ..functions.geo import haversine
+from ..plans.lineage import BROADCAST_ROWS, discarded, spread_join, stored
 
 BROADCAST_EDGES = 4_000_000
 #: Rounds of relaxation between two tables.
@@ -73,6 +74,13 @@ class Graph:
         self.head = self.head.tolist()
         self.place = {int(n): i for i, n in enumerate(names)}
 
+    def ahead(self, node: int):
+        """The nodes one edge ahead and the edges' durations."""
+        at = self.place.get(node)
+        if at is not None:
+            for k in range(self.head[at], self.head[at + 1]):
+                yield int(self.names[self.to[k]]), self.dur[k]
+
     def search(self, source: int, limit: float = float("inf"), stop: int | None = None):
         """Settled (node, dur, dist, parent), nearest first."""
         if source not in self.place:
@@ -201,58 +209,172 @@ def _path_by_joins(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return walk.select("src", "dst", "nodes", "dur", "dist")
 
 
-def alternatives(edges: DataFrame, pairs: DataFrame, stretch: float = 0.25, share: float = 0.6, most: int = 3) -> DataFrame:
-    """The best path of each pair and up to `most` others through a via node, not longer than 1 + stretch times the best, that share no more than `share` of their time with any taken before."""
+def hub_labels(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Labels forward(src, hub, dur, dist) and backward(dst, hub, dur, dist) that tell every distance up to limit by `via_hubs`.
+
+    A label holds all within half the limit and one edge more: of the nodes of a fastest path of at most the
+    limit, the first in its later half is in both ends' labels.
+    """
+    edges = stored(clean(edges), "edges")
+    nodes = edges.select(F.col("src").alias("source")).union(edges.select("dst")).distinct()
+    radius = limit // 2 + int(edges.agg(F.coalesce(F.max("dur"), F.lit(0))).head()[0])
+    forward = matrix(edges, nodes, limit=radius).select("src", F.col("dst").alias("hub"), "dur", "dist")
+    backward = matrix(transpose(edges), nodes, limit=radius).select(F.col("src").alias("dst"), F.col("dst").alias("hub"), "dur", "dist")
+    return forward, backward
+
+
+def distance(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """src, dst and dur of pairs(src, dst) by searches from both ends that meet; null where there is no way."""
     graph, back = _shared(edges), _shared(transpose(edges))
     if graph is None or back is None:
-        raise ValueError("alternatives need a graph that can be broadcast")
+        return path(edges, pairs).select("src", "dst", "dur")
 
-    def chase(parents: dict, node: int) -> list[int]:
+    def run(frames):
+        for pdf in frames:
+            out = [(int(a), int(b), meet(graph.value, back.value, int(a), int(b))) for a, b in zip(pdf["src"], pdf["dst"])]
+            yield pd.DataFrame(out, columns=["src", "dst", "dur"]).astype({"dur": "Int64"})
+
+    return pairs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).where("src IS NOT NULL AND dst IS NOT NULL").mapInPandas(run, "src long, dst long, dur long")
+
+
+def meet(graph: Graph, back: Graph, a: int, b: int) -> int | None:
+    """The least duration from a to b: both searches settle by turns, edges between what both have settled are ways, until their radii together reach the best way."""
+    if a == b:
+        return 0
+    graphs, sides, seen, best, radius = (graph, back), (graph.search(a), back.search(b)), ({}, {}), None, [0, 0]
+    live = [True, True]
+    while live[0] and live[1] and (best is None or radius[0] + radius[1] < best):
+        k = 0 if radius[0] <= radius[1] else 1
+        step = next(sides[k], None)
+        if step is None:
+            live[k] = False  # this side has settled all it can reach
+            continue
+        node, dur = step[0], step[1]
+        radius[k], seen[k][node] = dur, dur
+        for far, w in graphs[k].ahead(node):
+            if far in seen[1 - k]:
+                total = dur + w + seen[1 - k][far]
+                best = total if best is None else min(best, total)
+    return best
+
+
+def _ways(rows: list[tuple], src: int, dst: int, stretch: float, share: float, most: int) -> list[tuple]:
+    """Of rows (node, dur from src, parent, dur to dst, next): the best path and up to `most` others, as (rank, nodes, dur)."""
+    up = {n: (d, p) for n, d, p, _, _ in rows}
+    down = {n: (d, p) for n, _, _, d, p in rows}
+    if dst not in up:
+        return []
+
+    def chase(tree: dict, node):
         out = []
         while node is not None:
             out.append(node)
-            node = parents[node]
+            node = tree[node][1]
         return out
 
+    limit, taken = up[dst][0] * (1 + stretch), []
+    for total, via in sorted((up[n][0] + down[n][0], n) for n in up):
+        if total > limit or len(taken) > most:
+            break
+        nodes = chase(up, via)[::-1] + chase(down, via)[1:]
+        if len(set(nodes)) < len(nodes):
+            continue
+        legs = {(a, b): up[b][0] - up[a][0] if up[b][1] == a else down[a][0] - down[b][0] for a, b in zip(nodes, nodes[1:])}
+        if any(sum(w for e, w in legs.items() if e in other) > share * total for other, _, _ in taken):
+            continue
+        taken.append((legs, nodes, int(total)))
+    return [(rank, nodes, total) for rank, (_, nodes, total) in enumerate(taken)]
+
+
+WAYS = "src long, dst long, rank int, nodes array<long>, dur long"
+
+
+def alternatives(edges: DataFrame, pairs: DataFrame, stretch: float = 0.25, share: float = 0.6, most: int = 3) -> DataFrame:
+    """The best path of each pair and up to `most` others through a via node, not longer than 1 + stretch times the best, that share no more than `share` of their time with any taken before.
+
+    Only nodes whose way from src and to dst together keeps within the stretch are looked at.
+    """
+    pairs = pairs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).distinct()
+    graph, back = _shared(edges), _shared(transpose(edges))
+    names = [c.split()[0] for c in WAYS.split(", ")]
+    if graph is None or back is None:
+        return _alternatives_by_joins(clean(edges), pairs, stretch, share, most)
+
     def run(frames):
         for pdf in frames:
             out = []
-            for src, dst in zip(pdf["src"].astype("int64"), pdf["dst"].astype("int64")):
-                up = {n: (d, p) for n, d, _, p in graph.value.search(int(src))}
-                down = {n: (d, p) for n, d, _, p in back.value.search(int(dst))}
-                if dst not in up:
+            for src, dst in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
+                best = meet(graph.value, back.value, src, dst)
+                if best is None:
                     continue
-                limit, taken = up[dst][0] * (1 + stretch), []
-                vias = sorted((up[n][0] + down[n][0], n) for n in up if n in down)
-                for total, via in vias:
-                    if total > limit or len(taken) > most:
-                        break
-                    nodes = chase({n: p for n, (_, p) in up.items()}, via)[::-1] + chase({n: p for n, (_, p) in down.items()}, via)[1:]
-                    if len(set(nodes)) < len(nodes):
-                        continue
-                    legs = {(a, b): up[b][0] - up[a][0] if up.get(b, (0, 0))[1] == a else down[a][0] - down[b][0] for a, b in zip(nodes, nodes[1:])}
-                    if any(sum(w for e, w in legs.items() if e in other) > share * total for other, _ in taken):
-                        continue
-                    taken.append((legs, None))
-                    out.append((int(src), int(dst), len(taken) - 1, nodes, int(total)))
-            yield pd.DataFrame(out, columns=["src", "dst", "rank", "nodes", "dur"])
+                down = {n: (d, p) for n, d, _, p in back.value.search(dst, best * (1 + stretch))}
+                rows = [(n, d, p, *down[n]) for n, d, _, p in graph.value.search(src, best * (1 + stretch)) if n in down and d + down[n][0] <= best * (1 + stretch)]
+                out += [(src, dst, *way) for way in _ways(rows, src, dst, stretch, share, most)]
+            yield pd.DataFrame(out, columns=names)
+
+    return pairs.mapInPandas(run, WAYS)
+
+
+def _alternatives_by_joins(edges: DataFrame, pairs: DataFrame, stretch: float, share: float, most: int) -> DataFrame:
+    """alternatives() for graphs of any size: trees from both ends by joins, cut to what keeps within the stretch; a pair's rows meet in one group."""
+    up = stored(reach(edges, pairs.select(F.col("src").alias("source")).distinct()), "up").select(F.col("source").alias("src"), "node", F.col("dur").alias("d1"), F.col("parent").alias("p1"))
+    best = up.join(pairs.select("src", "dst", F.col("dst").alias("node")), ["src", "node"]).select("src", "dst", (F.col("d1") * (1 + stretch)).alias("most"))
+    limit = best.agg(F.max("most")).head()[0]
+    down = stored(reach(transpose(edges), best.select(F.col("dst").alias("source")).distinct(), limit), "down").select(F.col("source").alias("dst"), "node", F.col("dur").alias("d2"), F.col("parent").alias("p2"))
+    rows = best.join(up, "src").where("d1 <= most").join(down, ["dst", "node"]).where("d1 + d2 <= most")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        src, dst = int(pdf["src"].iloc[0]), int(pdf["dst"].iloc[0])
+        whole = lambda x: None if pd.isna(x) else int(x)
+        rows = [(int(n), int(a), whole(p), int(b), whole(q)) for n, a, p, b, q in zip(pdf["node"], pdf["d1"], pdf["p1"], pdf["d2"], pdf["p2"])]
+        return pd.DataFrame([(src, dst, *way) for way in _ways(rows, src, dst, stretch, share, most)], columns=[c.split()[0] for c in WAYS.split(", ")])
+
+    return rows.select("src", "dst", "node", "d1", "p1", "d2", "p2").groupBy("src", "dst").applyInPandas(run, WAYS)
+
+
+def snapped_route(trips: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """For trips(trip, lat1, lon1, lat2, lon2): the nodes they snap to, the way's duration by its edges, its geometry and its length over the geometry; null where there is no way."""
+    from .nearest import nearest
+
+    ends = trips.select((F.col("trip") * 2).alias("point"), F.col("lat1").alias("lat"), F.col("lon1").alias("lon")).union(trips.select(F.col("trip") * 2 + 1, "lat2", "lon2"))
+    snapped = nearest(ends, nodes.select(F.col("node").alias("site"), "lat", "lon")).select("point", "site")
+    pairs = stored(trips.select("trip").join(snapped.select(F.floor(F.col("point") / 2).alias("trip"), F.col("site").alias("src")).where("point % 2 = 0"), "trip").join(snapped.select(F.floor(F.col("point") / 2).alias("trip"), F.col("site").alias("dst")).where("point % 2 = 1"), "trip"), "pairs")
+    found = stored(path(edges, pairs.select("src", "dst").distinct()), "paths")
+    steps = found.select("src", "dst", F.posexplode("nodes").alias("k", "node")).join(nodes.select("node", "lat", "lon"), "node")
+    order = Window.partitionBy("src", "dst").orderBy("k")
+    metres = haversine(F.lag("lat").over(order), F.lag("lon").over(order), F.col("lat"), F.col("lon"))
+    lines = steps.withColumn("m", F.coalesce(metres, F.lit(0.0))).groupBy("src", "dst").agg(F.sum("m").alias("metres"), F.transform(F.sort_array(F.collect_list(F.struct("k", "lat", "lon"))), lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))).alias("geometry"))
+    return pairs.join(found.select("src", "dst", "dur"), ["src", "dst"]).join(lines, ["src", "dst"], "left").select("trip", "src", "dst", "dur", F.when(F.col("dur").isNotNull(), F.col("metres")).alias("metres"), "geometry")
+
 
-    return pairs.select("src", "dst").distinct().mapInPandas(run, "src long, dst long, rank int, nodes array<long>, dur long")
+def matrix_blocks(edges: DataFrame, sources: DataFrame, budget_bytes: int, limit: int | None = None):
+    """The matrix in blocks of sources whose rows fit into budget_bytes, as (number, table); a block is found when it is asked for."""
+    sources = stored(sources.select(F.col("source").cast("bigint")).distinct(), "sources")
+    width = clean(edges).select(F.col("src").alias("n")).union(edges.select("dst")).distinct().count()
+    blocks = bounded_parallelism(sources.count(), width * 32, budget_bytes, 1)
+    for k in range(blocks):
+        yield k, matrix(edges, sources.where(F.pmod(F.xxhash64("source"), F.lit(blocks)) == k), limit=limit)
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """node and component (its smallest node) of the weakly connected graph, by label propagation with pointer jumping."""
+    """node and component (its smallest node) of the weakly connected graph, by label propagation with pointer jumping; nodes of very many edges and labels of very many nodes are spread."""
     both = stored(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).where("a IS NOT NULL AND b IS NOT NULL").distinct(), "links")
-    every = both.select(F.col("a").alias("node"))
-    every = every.union(nodes.select("node")) if nodes is not None else every
-    labels = stored(every.distinct().select("node", F.col("node").alias("component")), "labels")
+    every = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"))
+    if nodes is not None:
+        every = every.unionByName(nodes.select("node", F.lit(0).cast("bigint").alias("n"))).groupBy("node").agg(F.max("n").alias("n"))
+    labels = stored(every.select("node", F.col("node").alias("component"), "n"), "labels")
+    links = both.count()
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        step = stored(labels.join(seen, "node", "left").select("node", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("changed")), "labels")
+        about = labels.select(F.col("node").alias("b"), F.col("component").alias("c"), "n").where("n > 0")
+        seen = spread_join(both, about, "b", links, ["c"]).groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
+        step = stored(labels.join(seen, "node", "left").select("node", "n", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("changed")), "labels")
+        discarded(labels)
         if step.where("changed").isEmpty():
             return step.select("node", "component")
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        labels = stored(step.select("node", "component").join(jump, "component").select("node", F.col("top").alias("component")), "labels")
+        tops = step.groupBy(F.col("component").alias("at")).agg(F.count("*").alias("n")).join(step.select(F.col("node").alias("at"), F.col("component").alias("top")), "at")
+        rows = step.select("node", F.col("n").alias("degree"), F.col("component").alias("at"))
+        labels = stored(spread_join(rows, tops, "at", step.count(), ["top"]).select("node", F.col("top").alias("component"), F.col("degree").alias("n")), "labels")
+        discarded(step)
 
 
 def largest_component(labels: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import spread
@@ -202,17 +202,16 @@ def multi_start(problems: DataFrame, seeds: int, capacity: float, vehicles: int,
     return best.select("problem", "w.seed", "w.cost", "w.unserved", "w.routes")
 
 
-def insertion_slots(steps: DataFrame, tasks: DataFrame, near: DataFrame, cells: DataFrame) -> DataFrame:
-    """The cheapest slot of each task among those next to its near places: task, route_id, after (seq) and delta.
+def insertion_slots(steps: DataFrame, tasks: DataFrame, near: DataFrame, cells: DataFrame, most: int = 1) -> DataFrame:
+    """The `most` cheapest slots of each task among those next to its near places: task, rank, route_id, after (seq) and delta.
 
     steps(route_id, seq, place), tasks(task, place), near(i, j, rank), cells(i, j, dur). One round of insertion as a query.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("route_id").orderBy("seq")
     slots = steps.select("route_id", "seq", F.col("place").alias("a"), F.lead("place").over(w).alias("b")).where("b IS NOT NULL")
     some = tasks.join(near.select(F.col("i").alias("place"), F.col("j").alias("a")), "place").join(slots, "a")
     leg = lambda x, y, n: cells.select(F.col("i").alias(x), F.col("j").alias(y), F.col("dur").alias(n))
     rows = some.join(leg("a", "place", "d1"), ["a", "place"]).join(leg("place", "b", "d2"), ["place", "b"]).join(leg("a", "b", "d0"), ["a", "b"])
-    key = F.struct((F.col("d1") + F.col("d2") - F.col("d0")).alias("delta"), "route_id", "seq")
-    return rows.groupBy("task").agg(F.min(key).alias("w")).select("task", "w.route_id", F.col("w.seq").alias("after"), "w.delta")
+    order = Window.partitionBy("task").orderBy("delta", "route_id", "seq")
+    rows = rows.withColumn("delta", F.col("d1") + F.col("d2") - F.col("d0")).withColumn("rank", F.row_number().over(order))
+    return rows.where(F.col("rank") <= most).select("task", "rank", "route_id", F.col("seq").alias("after"), "delta")

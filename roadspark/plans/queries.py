@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, expr, geo, profiles, text
-from ..operators import broker, constraints, evaluate, geocode, graph_build, isochrone, learn, matching, matrix, nearest, paths, propagate, search, trip
+from ..operators import broker, constraints, construct, evaluate, geocode, graph_build, isochrone, learn, matching, matrix, nearest, paths, propagate, search, trip, walk
 from ..streaming import live
 from .lineage import stored
 from .workload import ctes, fixture
@@ -141,6 +141,72 @@ def dimension_cumul(spark, d):
     return rows.select("route_id", "seq", "cumul", "broken")
 
 
+def steps_with_legs(spark, d, stops=None):
+    """Every stop as a job of the full walk, with its legs."""
+    s = fixture(spark, d, "stops") if stops is None else stops
+    windows = F.array(F.struct(F.col("ready").cast("bigint").alias("start"), F.col("due").cast("bigint").alias("end")))
+    rows = s.withColumns({"kind": F.lit("job") if "kind" not in s.columns else F.col("kind"), "delivery": F.array("demand"), "windows": windows})
+    metres = geo.haversine(F.col("from_lat"), F.col("from_lon"), F.col("to_lat"), F.col("to_lon"))
+    return walk.placed(rows, fixture(spark, d, "depots"), geo.road_seconds(metres), geo.road_metres(metres))
+
+
+def fleet_of_routes(spark, d):
+    return fixture(spark, d, "depots").select("route_id", F.col("route_id").alias("vehicle"), F.array(F.col("capacity").cast("bigint")).alias("capacity"), "speed")
+
+
+@query(LEGS + "SELECT route_id, CAST(travel_s AS BIGINT) AS travel_s, CAST(service_s AS BIGINT) AS service_s, CAST(wait_s AS BIGINT) AS wait_s, CAST(setup_s AS BIGINT) AS setup_s, CAST(distance AS BIGINT) AS distance, CAST(end_time AS BIGINT) AS end_time, CAST(time_warp AS DOUBLE) AS late_s, CAST(overload AS DOUBLE) AS overload, ROUND(cost + 2e0 * time_warp + 50e0 * overload, 6) AS cost FROM q", "stops", "depots")
+def route_walk(spark, d):
+    """The full walk, step by step, where the closed form can tell the same."""
+    out = walk.routes(steps_with_legs(spark, d), fleet_of_routes(spark, d), walk.Soft(2.0, 50.0, 1.0))
+    return out.select("route_id", "travel_s", "service_s", "wait_s", "setup_s", "distance", "end_time", "late_s", "overload", r(F.col("cost")).alias("cost"))
+
+
+@query(LEGS + "SELECT route_id, CASE WHEN COALESCE(MIN(bad), 0) = 0 THEN 'ok' ELSE ARG_MIN(why, bad) END AS verdict FROM (SELECT route_id, CASE WHEN seq = 1 AND load_before > capacity THEN 0.5e0 WHEN lateness > 0 THEN seq END AS bad, CASE WHEN seq = 1 AND load_before > capacity THEN 'capacity exceeded at route start' ELSE 'time window missed' END AS why FROM e) x GROUP BY route_id", "stops", "depots")
+def route_walk_verdict(spark, d):
+    return walk.routes(steps_with_legs(spark, d), fleet_of_routes(spark, d)).select("route_id", "verdict")
+
+
+def mixed_steps(spark, d):
+    """All stops as deliveries, pickups, shipments and reloads, with releases, two windows and skills."""
+    s = fixture(spark, d, "stops")
+    kind = F.when(F.col("seq") % 7 == 3, "pickup").when(F.col("seq") % 7 == 5, "delivery").when(F.col("seq") % 7 == 0, "reload").otherwise("job")
+    shipped = F.col("kind").isin("pickup", "delivery")
+    windows = F.array(F.struct(F.col("ready").cast("bigint").alias("start"), (F.col("ready") + 600).cast("bigint").alias("end")), F.struct((F.col("ready") + 3000).cast("bigint").alias("start"), (F.col("due") + 40000).cast("bigint").alias("end")))
+    rows = steps_with_legs(spark, d, s.withColumn("kind", kind))
+    return rows.withColumns(
+        {
+            "shipment": F.when(shipped, F.floor(F.col("seq") / 7)), "amount": F.when(shipped, F.array((F.col("demand") % 9).cast("bigint"), F.lit(1).cast("bigint"))), "windows": windows, "release": (F.col("job") % 4) * 100,
+            "delivery": F.when(F.col("seq") % 7 < 3, F.array("demand")), "pickup": F.when((F.col("seq") % 7 == 6) | (F.col("seq") % 7 == 4), F.array((F.col("demand") % 50).cast("bigint"))), "skills": F.array((F.col("job") % 3).cast("int")),
+        }
+    )
+
+
+def mixed_fleet(spark, d):
+    pause = F.array(F.struct(F.lit(900).cast("bigint").alias("service"), F.array(F.struct(F.lit(7200).cast("bigint").alias("start"), F.lit(90000).cast("bigint").alias("end"))).alias("windows")))
+    return fleet_of_routes(spark, d).withColumns({"capacity": F.array(F.lit(900).cast("bigint"), F.lit(3).cast("bigint")), "v_skills": F.array(F.lit(0), F.lit(1), F.when(F.col("route_id") % 5 > 0, 2)), "breaks": pause, "max_tasks": F.lit(16).cast("bigint"), "shift_end": F.lit(90000).cast("bigint")})
+
+
+@query()
+def route_walk_rules(spark, d):
+    """All routes with every rule at work: verdicts and sums."""
+    return walk.routes(mixed_steps(spark, d), mixed_fleet(spark, d))
+
+
+@query()
+def route_walk_steps(spark, d):
+    return walk.steps_of(mixed_steps(spark, d), mixed_fleet(spark, d))
+
+
+@query()
+def window_stretches(spark, d):
+    """Each route as one merged stretch: its least duration, warp, and best start."""
+    rows = evaluate.legs(fixture(spark, d, "stops"), fixture(spark, d, "depots"))
+    big = lambda c: F.col(c).cast("bigint")
+    stops = F.struct("seq", (big("leg_s") + big("setup_s")).alias("leg"), big("service").alias("service"), big("ready").alias("early"), big("due").alias("late"))
+    line = rows.groupBy("route_id").agg(F.sort_array(F.collect_list(stops)).alias("stops"))
+    return line.select("route_id", walk.merged_column(F.col("stops")).alias("w")).select("route_id", "w.*")
+
+
 @query()
 def route_fold_breaks(spark, d):
     rows = evaluate.legs(fixture(spark, d, "stops"), fixture(spark, d, "depots"))
@@ -183,10 +249,10 @@ def dock_peak(spark, d):
     return constraints.dock_peak(v, 900)
 
 
-@query("WITH p AS (SELECT DISTINCT job AS a, job + 89 AS b FROM stops WHERE job % 3 = 0) SELECT x.route_id, p.a, p.b, x.seq AS seq_a, y.seq AS seq_b FROM p JOIN stops x ON x.job = p.a JOIN stops y ON y.job = p.b AND y.route_id = x.route_id WHERE x.seq >= y.seq", "stops")
+@query("WITH p AS (SELECT DISTINCT job AS a, job + 89 AS b FROM stops) SELECT x.route_id, p.a, p.b, x.seq AS seq_a, y.seq AS seq_b FROM p JOIN stops x ON x.job = p.a JOIN stops y ON y.job = p.b AND y.route_id = x.route_id WHERE x.seq >= y.seq", "stops")
 def precedence_breaks(spark, d):
     steps = fixture(spark, d, "stops").select("route_id", "seq", "job")
-    pairs = steps.where("job % 3 = 0").select(F.col("job").alias("a"), (F.col("job") + 89).alias("b")).distinct()
+    pairs = steps.select(F.col("job").alias("a"), (F.col("job") + 89).alias("b")).distinct()
     return constraints.precedence_breaks(steps, pairs)
 
 
@@ -205,7 +271,7 @@ RULE = "late_jobs * 10 + (span_s - 20000) / 100 if stops > 8 and travel_s <= 900
 def rule_penalty(spark, d):
     m = evaluate.metrics(routes(spark, d))
     ints = {"late_jobs", "span_s", "stops", "travel_s", "load_max"}
-    return m.select("route_id", expr.compile_rule(RULE, {c: F.col(c) for c in ints}, ints).cast("bigint").alias("value"))
+    return m.select("route_id", expr.compile_rule(RULE, {c: F.col(c) for c in ints}, ints, "route").cast("bigint").alias("value"))
 
 
 @query("WITH g AS (SELECT route_id, ARRAY_AGG(job ORDER BY seq) AS jobs FROM stops GROUP BY route_id) SELECT route_id, len(jobs) >= 2 AND jobs[1] < jobs[len(jobs)] AS ok FROM g", "stops")
@@ -214,14 +280,28 @@ def rule_lists(spark, d):
     return g.select("route_id", expr.compile_rule("len(jobs) >= 2 and first(jobs) < last(jobs)", {"jobs": F.col("jobs")}).alias("ok"))
 
 
+LATE = """
+share = late_jobs / stops
+tight = span_s > 20000 and late_jobs > 2
+stops * 5 if tight else share * 100
+"""
+
+
+@query(LEGS + "SELECT route_id, TRUE AS ok, CAST(CASE WHEN span_s > 20000 AND late_jobs > 2 THEN stops * 5 ELSE TRUNC(late_jobs / stops) * 100 END AS DOUBLE) AS penalty FROM q", "stops", "depots")
+def rule_verdict(spark, d):
+    m = evaluate.metrics(routes(spark, d)).withColumn("late_jobs", F.col("late_jobs").cast("bigint"))
+    kinds = dict.fromkeys(("late_jobs", "stops", "span_s"), "int")
+    return m.select("route_id", expr.verdict(LATE, {c: F.col(c) for c in kinds}, kinds).alias("v")).select("route_id", "v.ok", "v.penalty")
+
+
 # --- scalars ----------------------------------------------------------------------------------------------
 
 
-@query("SELECT a.place AS i, b.place AS j, ROUND(" + HAV.format("a.", "b.") + ", 3) AS metres FROM sites a CROSS JOIN sites b", "sites")
+@query("SELECT a.place AS i, b.place AS j, ROUND(" + HAV.format("a.", "b.") + ", 3) AS metres FROM sites a JOIN sites b ON a.block = b.block", "sites")
 def haversine_pairs(spark, d):
     s = fixture(spark, d, "sites")
-    a, b = s.select(F.col("place").alias("i"), F.col("lat").alias("a1"), F.col("lon").alias("o1")), s.select(F.col("place").alias("j"), F.col("lat").alias("a2"), F.col("lon").alias("o2"))
-    return a.join(F.broadcast(b), how="cross").select("i", "j", r(geo.haversine(F.col("a1"), F.col("o1"), F.col("a2"), F.col("o2")), 3).alias("metres"))  # 100 sites at most
+    a, b = s.select("block", F.col("place").alias("i"), F.col("lat").alias("a1"), F.col("lon").alias("o1")), s.select("block", F.col("place").alias("j"), F.col("lat").alias("a2"), F.col("lon").alias("o2"))
+    return a.join(b, "block").select("i", "j", r(geo.haversine(F.col("a1"), F.col("o1"), F.col("a2"), F.col("o2")), 3).alias("metres"))
 
 
 TAGS = """SELECT p_partkey AS way, CASE p_partkey % 8 WHEN 0 THEN '50' WHEN 1 THEN '30 mph' WHEN 2 THEN 'none' WHEN 3 THEN CONCAT(CAST(p_size AS STRING), ' km/h') WHEN 4 THEN '10 knots' WHEN 5 THEN '0' WHEN 6 THEN 'signals' ELSE CAST(NULL AS STRING) END AS tag,
@@ -369,6 +449,19 @@ def geocode_address(spark, d):
     return geocode.address_forward(plain, q).withColumn("query", F.regexp_replace("query", "_", " "))
 
 
+@query("WITH s AS (" + STREET_IDS + "), f AS (SELECT street, MIN(node) AS node FROM street_nodes GROUP BY street) SELECT upper(street) AS query, street, node, ROUND(lat, 9) AS lat, ROUND(lon, 9) AS lon FROM f JOIN nodes USING (node)", "street_nodes", "nodes")
+def street_located(spark, d):
+    s = streets(spark, d)
+    found = geocode.locate_street(s, fixture(spark, d, "street_nodes"), fixture(spark, d, "nodes"), s.select(F.upper("street").alias("query")))
+    return found.select("query", "street", "node", r(F.col("lat"), 9).alias("lat"), r(F.col("lon"), 9).alias("lon"))
+
+
+@query("WITH c AS (SELECT DISTINCT node FROM street_nodes), n AS (SELECT p.place, " + HAV.format("p.", "n.") + " AS m FROM places p CROSS JOIN (SELECT nodes.* FROM nodes JOIN c USING (node)) n) SELECT place AS point, ROUND(MIN(m), 3) AS metres FROM n GROUP BY place", "places", "nodes", "street_nodes")
+def street_reversed(spark, d):
+    points = fixture(spark, d, "places").select(F.col("place").alias("point"), "lat", "lon")
+    return geocode.street_reverse(points, fixture(spark, d, "street_nodes"), fixture(spark, d, "nodes")).select("point", r(F.col("metres"), 3).alias("metres"))
+
+
 @query("SELECT MIN(lat) AS min_lat, MIN(lon) AS min_lon, MAX(lat) AS max_lat, MAX(lon) AS max_lon FROM nodes", "nodes")
 def bounding_box(spark, d):
     return geocode.bounding_box(fixture(spark, d, "nodes"))
@@ -381,76 +474,99 @@ def address_interpolation(spark, d):
     return geocode.interpolated(lines).select("line", "number", r(F.col("lat")).alias("lat"))
 
 
-@query()
+@query("WITH n AS (SELECT p.place, " + HAV.format("p.", "a.") + " AS m FROM places p CROSS JOIN addresses a) SELECT place AS point, ROUND(MIN(m), 3) AS metres FROM n GROUP BY place", "places", "addresses")
 def address_reverse(spark, d):
+    return nearest_address(spark, d).select("point", r(F.col("metres"), 3).alias("metres"))
+
+
+def nearest_address(spark, d):
     return geocode.address_reverse(fixture(spark, d, "places").select(F.col("place").alias("point"), "lat", "lon"), fixture(spark, d, "addresses"))
 
 
 # --- graph ------------------------------------------------------------------------------------------------
 
-REACH = """WITH_RECURSIVE WITH w(source, node, dur, dist) AS (SELECT s, s, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM (VALUES (0), (5), (17), (42)) v(s)
-    UNION SELECT w.source, e.dst, w.dur + e.dur, w.dist + e.dist FROM w JOIN edges e ON e.src = w.node WHERE w.dur + e.dur <= 260),
+def reached(sources: str, limit: int) -> str:
+    """b(source, node, dur, dist): what sources reach within limit, by enumeration of all ways."""
+    return f"""WITH_RECURSIVE WITH w(source, node, dur, dist) AS (SELECT s, s, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM ({sources}) v(s)
+    UNION SELECT w.source, e.dst, w.dur + e.dur, w.dist + e.dist FROM w JOIN edges e ON e.src = w.node WHERE w.dur + e.dur <= {limit}),
     b AS (SELECT source, node, MIN(dur) AS dur, ARG_MIN(dist, dur * 1000000 + dist) AS dist FROM w GROUP BY ALL) """
 
 
-def four(spark):
-    return spark.createDataFrame([(0,), (5,), (17,), (42,)], "source bigint")
+PLACES = "SELECT s_suppkey FROM supplier"
+FIFTHS = "SELECT 5 * s_suppkey FROM supplier"
+
+
+def starts(spark, d):
+    return fixture(spark, d, "supplier").select(F.col("s_suppkey").alias("source"))
 
 
-@query(REACH + "SELECT source, node, dur, dist FROM b", "edges")
+def fifths(spark, d):
+    """Pairs of nodes ten apart."""
+    return fixture(spark, d, "supplier").select((F.col("s_suppkey") * 5).alias("src"), (F.col("s_suppkey") * 5 + 10).alias("dst"))
+
+
+@query(reached(PLACES, 150) + "SELECT source, node, dur, dist FROM b", "edges")
 def sssp_frontier(spark, d):
-    return paths.reach(paths.clean(fixture(spark, d, "edges")), four(spark), 260).select("source", "node", "dur", "dist")
+    return paths.reach(paths.clean(fixture(spark, d, "edges")), starts(spark, d), 150).select("source", "node", "dur", "dist")
 
 
-@query(REACH + "SELECT source AS src, node AS dst, dur, dist FROM b WHERE node % 3 = 0", "edges")
+@query(reached("SELECT p_partkey FROM part", 100) + "SELECT source AS src, node AS dst, dur, dist FROM b", "edges")
 def many_to_many(spark, d):
     e = fixture(spark, d, "edges")
-    return paths.matrix(e, four(spark), e.where("dst % 3 = 0").select(F.col("dst").alias("target")), 260)
+    return paths.matrix(e, fixture(spark, d, "part").select(F.col("p_partkey").alias("source")), limit=100)
 
 
-@query(REACH + ", x AS (SELECT source AS src, node AS dst, dur, ROW_NUMBER() OVER (PARTITION BY source ORDER BY dur, node) AS rank FROM b WHERE node <> source AND node IN (0, 5, 17, 42)) SELECT src, dst, rank, dur FROM x WHERE rank <= 2", "edges")
+@query(reached(FIFTHS, 260) + ", x AS (SELECT source AS src, node AS dst, dur, ROW_NUMBER() OVER (PARTITION BY source ORDER BY dur, node) AS rank FROM b WHERE node <> source AND node % 5 = 0 AND node / 5 IN (SELECT s_suppkey FROM supplier)) SELECT src, dst, rank, dur FROM x WHERE rank <= 2", "edges")
 def knn_network(spark, d):
-    return paths.nearest_customers(fixture(spark, d, "edges"), four(spark).select(F.col("source").alias("node")), 2).select("src", "dst", "rank", "dur")
+    found = paths.nearest_customers(fixture(spark, d, "edges"), fifths(spark, d).select(F.col("src").alias("node")), 2)
+    return found.where("dur <= 260").select("src", "dst", "rank", "dur")
 
 
-@query("SELECT e.src, f.dst, MIN(e.dur + f.dur) AS dur FROM edges e JOIN edges f ON f.src = e.dst GROUP BY e.src, f.dst", "edges")
+@query(reached("SELECT src FROM edges UNION SELECT dst FROM edges", 80) + "SELECT source AS src, node AS dst, dur FROM b", "edges")
 def hub_labels(spark, d):
-    e = fixture(spark, d, "edges")
-    return paths.via_hubs(e.select("src", F.col("dst").alias("hub"), "dur", "dist"), e.select("dst", F.col("src").alias("hub"), "dur", "dist")).select("src", "dst", "dur")
+    return paths.via_hubs(*paths.hub_labels(fixture(spark, d, "edges"), 80)).where("dur <= 80").select("src", "dst", "dur")
 
 
-@query(REACH + "SELECT 0 AS src, node AS dst, dur, dist FROM b WHERE source = 0 AND node IN (10, 20, 30, 40, 50)", "edges")
+@query(reached(FIFTHS, 260) + "SELECT source AS src, node AS dst, dur, dist FROM b WHERE node = source + 10", "edges")
 def shortest_path(spark, d):
-    pairs = spark.createDataFrame([(0, n) for n in (10, 20, 30, 40, 50)], "src bigint, dst bigint")
-    return paths.path(fixture(spark, d, "edges"), pairs).select("src", "dst", "dur", "dist")
+    return paths.path(fixture(spark, d, "edges"), fifths(spark, d)).select("src", "dst", "dur", "dist")
 
 
-@query()
+@query(reached(FIFTHS, 260) + "SELECT source AS src, node AS dst, dur FROM b WHERE node = source + 10", "edges")
+def two_ended_distance(spark, d):
+    return paths.distance(fixture(spark, d, "edges"), fifths(spark, d))
+
+
+@query(reached(FIFTHS, 260) + "SELECT source AS src, node AS dst, CAST(dur AS DOUBLE) AS dur, dist FROM b WHERE node = source + 10", "edges")
 def path_segments(spark, d):
     e = fixture(spark, d, "edges")
-    pairs = spark.createDataFrame([(0, n) for n in (10, 20, 30, 40, 50)], "src bigint, dst bigint")
-    return paths.annotated(paths.path(e, pairs), e)
+    steps = paths.annotated(paths.path(e, fifths(spark, d)), e)
+    return steps.groupBy("src", "dst").agg(F.sum("dur").alias("dur"), F.sum("dist").alias("dist"))
 
 
-@query()
+@query(reached(FIFTHS, 260) + "SELECT source AS src, node AS dst, dur AS best FROM b WHERE node = source + 10", "edges")
 def route_alternatives(spark, d):
-    pairs = spark.createDataFrame([(0, 30), (5, 50), (17, 3)], "src bigint, dst bigint")
-    return paths.alternatives(fixture(spark, d, "edges"), pairs)
+    ways = paths.alternatives(fixture(spark, d, "edges"), fifths(spark, d))
+    return ways.groupBy("src", "dst").agg(F.min("dur").alias("best"))
 
 
-PARTS = "SELECT o_custkey * 2 AS src, (o_custkey * 2 + 2 * (o_orderkey % 3)) AS dst FROM orders WHERE o_custkey % 50 <> 0"
+@query()
+def snapped_routes(spark, d):
+    p = fixture(spark, d, "places").alias("a").join(fixture(spark, d, "places").alias("b"), F.expr("b.place = a.place + 1"))
+    trips = p.select(F.col("a.place").alias("trip"), F.col("a.lat").alias("lat1"), F.col("a.lon").alias("lon1"), F.col("b.lat").alias("lat2"), F.col("b.lon").alias("lon2"))
+    return paths.snapped_route(trips, fixture(spark, d, "nodes"), fixture(spark, d, "edges"))
 
 
-@query("WITH_RECURSIVE WITH e AS (SELECT DISTINCT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier WHERE s_suppkey % 10 <> 9), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c(node, other) AS (SELECT a, a FROM u UNION SELECT c.node, u.b FROM c JOIN u ON u.a = c.other) SELECT node, MIN(other) AS component FROM c GROUP BY node")
+@query("WITH_RECURSIVE WITH e AS (SELECT DISTINCT s_suppkey AS a, s_suppkey + CASE WHEN s_suppkey % 10 = 9 THEN 0 ELSE 1 END AS b FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c(node, other) AS (SELECT a, a FROM u UNION SELECT c.node, u.b FROM c JOIN u ON u.a = c.other) SELECT node, MIN(other) AS component FROM c GROUP BY node")
 def weak_components(spark, d):
-    s = fixture(spark, d, "supplier").where("s_suppkey % 10 <> 9")
-    return paths.components(s.select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") + 1).alias("dst")))
+    s = fixture(spark, d, "supplier")
+    return paths.components(s.select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") + F.when(F.col("s_suppkey") % 10 == 9, 0).otherwise(1)).alias("dst")))
 
 
 @query()
 def isochrone_cells(spark, d):
     e = fixture(spark, d, "edges")
-    return isochrone.reached_cells(e, fixture(spark, d, "nodes"), four(spark), [60, 120, 180], 0.002)
+    return isochrone.reached_cells(e, fixture(spark, d, "nodes"), starts(spark, d), [60, 120, 180], 0.002)
 
 
 @query()
@@ -472,8 +588,20 @@ def map_match(spark, d):
     return matching.matched(pings, fixture(spark, d, "nodes"), fixture(spark, d, "edges"), 3, 40.0)
 
 
-@query()
+@query(
+    """WITH w AS (SELECT p_partkey AS way, p_partkey % 5 = 0 AS oneway, UNNEST([0, 1, 2, 3]) AS k FROM part WHERE p_partkey % 4 <> 0),
+    x AS (SELECT way, oneway, k, (way + k) % 1000 + 1 AS node FROM w), y AS (SELECT x.*, lat, lon FROM x JOIN nodes USING (node)),
+    z AS (SELECT *, LEAD(node) OVER o AS n, LEAD(lat) OVER o AS nlat, LEAD(lon) OVER o AS nlon FROM y WINDOW o AS (PARTITION BY way ORDER BY k)),
+    m AS (SELECT *, GREATEST(12742000e0 * ASIN(SQRT(LEAST(1e0, POW(SIN(RADIANS(nlat - lat) / 2), 2) + COS(RADIANS(lat)) * COS(RADIANS(nlat)) * POW(SIN(RADIANS(nlon - lon) / 2), 2)))), 1e-3) AS dist FROM z WHERE n IS NOT NULL AND n <> node)
+    SELECT node AS src, n AS dst, ROUND(GREATEST(dist / (75 / 36e-1), 1e-4), 4) AS dur_s, ROUND(dist, 3) AS dist_m FROM m
+    UNION ALL SELECT n, node, ROUND(GREATEST(dist / (75 / 36e-1), 1e-4), 4), ROUND(dist, 3) FROM m WHERE NOT oneway""",
+    "nodes",
+)
 def ways_to_edges(spark, d):
+    return road_edges(spark, d).select("src", "dst", r(F.col("dur_s"), 4).alias("dur_s"), r(F.col("dist_m"), 3).alias("dist_m"))
+
+
+def road_edges(spark, d):
     p = fixture(spark, d, "part")
     ways = p.select(F.col("p_partkey").alias("way"), F.array(*[(F.col("p_partkey") + k) % 1000 + 1 for k in range(4)]).alias("refs"), F.create_map(F.lit("highway"), F.when(F.col("p_partkey") % 4 == 0, "footway").otherwise("primary"), F.lit("name"), F.col("p_name"), F.lit("oneway"), F.when(F.col("p_partkey") % 5 == 0, "yes").otherwise("no")).alias("tags"))
     return graph_build.edges(ways, fixture(spark, d, "nodes"), "car")
@@ -486,17 +614,22 @@ def cells(spark, d):
     return fixture(spark, d, "cells")
 
 
-def marks(spark):
-    return spark.createDataFrame([(3,), (40,), (77,)], "l bigint")
+def marks(spark, d):
+    """Three landmarks a block of places."""
+    return fixture(spark, d, "sites").where("place % 100 IN (3, 40, 77)").select(F.col("place").alias("l"))
 
 
-MARKS = "m AS (SELECT * FROM (VALUES (3), (40), (77)) v(l))"
+def depots(spark, d):
+    return fixture(spark, d, "sites").where("place % 100 = 1").select(F.col("place").alias("l"))
+
+
+MARKS = "m AS (SELECT place AS l FROM sites WHERE place % 100 IN (3, 40, 77))"
 
 
 @query("SELECT i, j, dur, dist FROM cells", "cells")
 def straight_line_matrix(spark, d):
     s = fixture(spark, d, "sites")
-    pairs = s.select(F.col("place").alias("i")).join(F.broadcast(s.select(F.col("place").alias("j"))), how="cross")  # 100 sites at most
+    pairs = s.select("block", F.col("place").alias("i")).join(s.select("block", F.col("place").alias("j")), "block").select("i", "j")
     return matrix.straight_line(s, pairs)
 
 
@@ -512,34 +645,54 @@ def matrix_validate(spark, d):
 
 @query("WITH " + MARKS + " SELECT a.i, b.j, MIN(a.dur + b.dur) AS via FROM cells a JOIN m ON a.j = m.l JOIN cells b ON b.i = m.l GROUP BY a.i, b.j", "cells")
 def min_plus_derive(spark, d):
-    c, m = cells(spark, d), marks(spark)
+    c, m = cells(spark, d), marks(spark, d)
     return matrix.min_plus(c.join(m.withColumnRenamed("l", "j"), "j", "left_semi"), c.join(m.withColumnRenamed("l", "i"), "i", "left_semi"))
 
 
 @query("SELECT i, j, dur FROM cells", "cells")
 def codec_round_trip(spark, d):
-    return matrix.restored(stored(matrix.through_landmarks(cells(spark, d), marks(spark)), "codec"))
+    return matrix.restored(stored(matrix.through_landmarks(cells(spark, d), marks(spark, d)), "codec"))
 
 
 @query("WITH " + MARKS + " SELECT a.i, b.j, MAX(GREATEST(a.dur - y.dur, b.dur - x.dur, 0)) AS lower, MIN(a.dur + b.dur) AS upper FROM cells a JOIN m ON a.j = m.l JOIN cells b ON b.i = m.l JOIN cells y ON y.i = b.j AND y.j = m.l JOIN cells x ON x.i = m.l AND x.j = a.i GROUP BY a.i, b.j", "cells")
 def cell_bounds(spark, d):
-    return matrix.bounds(cells(spark, d), marks(spark))
+    return matrix.bounds(cells(spark, d), marks(spark, d))
 
 
 @query("WITH " + MARKS + " SELECT j, ARG_MIN(i, dur * 1000 + i) AS l, MIN(dur) AS dur FROM cells JOIN m ON i = l GROUP BY j", "cells")
 def voronoi_regions(spark, d):
-    return matrix.voronoi(cells(spark, d), marks(spark))
+    return matrix.voronoi(cells(spark, d), marks(spark, d))
 
 
 @query("WITH " + MARKS + ", b AS (SELECT a.i, b.j, MIN(a.dur + b.dur) AS via FROM cells a JOIN m ON a.j = m.l JOIN cells b ON b.i = m.l GROUP BY a.i, b.j), v AS (SELECT j, ARG_MIN(i, dur * 1000 + i) AS l FROM cells JOIN m ON i = l GROUP BY j) SELECT i, l, MAX(LEAST(ABS(dur - via), 255)) AS most, MAX(LEAST(ABS(dur - via), 255)) <= 5 AS within FROM cells JOIN b USING (i, j) JOIN v USING (j) GROUP BY i, l", "cells")
 def block_residuals(spark, d):
     c = cells(spark, d)
-    return matrix.block_residuals(matrix.through_landmarks(c, marks(spark)), matrix.voronoi(c, marks(spark)))
+    return matrix.block_residuals(matrix.through_landmarks(c, marks(spark, d)), matrix.voronoi(c, marks(spark, d)))
+
+
+def blocks(spark, d):
+    """cells with the block of each."""
+    return cells(spark, d).withColumn("block", F.floor((F.col("i") - 1) / 100))
 
 
 @query()
 def farthest_landmarks(spark, d):
-    return matrix.farthest_landmarks(cells(spark, d), 8)
+    return matrix.farthest_landmarks(blocks(spark, d), 8)
+
+
+@query()
+def broker_landmarks(spark, d):
+    return matrix.max_min_landmarks(blocks(spark, d), 8)
+
+
+@query("WITH t AS (SELECT p.i, p.j, a.j AS l, a.dur + b.dur AS via FROM cells p JOIN cells a ON a.i = p.i JOIN cells b ON b.i = a.j AND b.j = p.j WHERE p.i <> p.j), s AS (SELECT CAST(FLOOR((i - 1) / 100) AS BIGINT) AS block, l, SUM(via) AS cost FROM t GROUP BY ALL) SELECT block, ARG_MIN(l, cost * 1000000 + l) AS l FROM s GROUP BY block", "cells")
+def pivot_first(spark, d):
+    return matrix.pivot_landmarks(blocks(spark, d), 1, 1 << 20).select("block", "l")
+
+
+@query()
+def pivot_landmarks(spark, d):
+    return matrix.pivot_landmarks(blocks(spark, d), 4)
 
 
 @query("WITH r AS (SELECT i, j, dur, ROW_NUMBER() OVER (PARTITION BY i ORDER BY dur, j) AS rank FROM cells WHERE i <> j) SELECT i, j, dur, rank FROM r WHERE rank <= 20", "cells")
@@ -547,22 +700,22 @@ def granular_neighbours(spark, d):
     return matrix.nearest_columns(cells(spark, d), 20)
 
 
-@query("WITH t AS (SELECT i % 7 AS cluster, i, SUM(dur) AS total FROM cells WHERE i % 7 = j % 7 GROUP BY i) SELECT cluster, ARG_MIN(i, total * 1000 + i) AS medoid, MIN(total) AS total FROM t GROUP BY cluster", "cells")
+@query("WITH t AS (SELECT CAST(FLOOR((i - 1) / 100) AS BIGINT) * 7 + i % 7 AS cluster, i, SUM(dur) AS total FROM cells WHERE i % 7 = j % 7 GROUP BY i) SELECT cluster, ARG_MIN(i, total * 1000 + i) AS medoid, MIN(total) AS total FROM t GROUP BY cluster", "cells")
 def cluster_medoids(spark, d):
-    return matrix.medoids(cells(spark, d), fixture(spark, d, "sites").select("place", (F.col("place") % 7).alias("cluster")))
+    return matrix.medoids(cells(spark, d), fixture(spark, d, "sites").select("place", (F.col("block") * 7 + F.col("place") % 7).alias("cluster")))
 
 
-@query("WITH k AS (SELECT i % 4 AS ci, j % 4 AS cj, MIN(i) AS i0, MIN(j) AS j0 FROM cells GROUP BY ALL) SELECT c.i, c.j, c.dur, c.dur - (a.dur + b.dur - z.dur) AS residual FROM cells c JOIN k ON c.i % 4 = ci AND c.j % 4 = cj JOIN cells a ON a.i = c.i AND a.j = j0 JOIN cells b ON b.i = i0 AND b.j = c.j JOIN cells z ON z.i = i0 AND z.j = j0", "cells")
+@query("WITH k AS (SELECT CAST(FLOOR((i - 1) / 100) AS BIGINT) AS b, i % 4 AS ci, j % 4 AS cj, MIN(i) AS i0, MIN(j) AS j0 FROM cells GROUP BY ALL) SELECT c.i, c.j, c.dur, c.dur - (a.dur + b.dur - z.dur) AS residual FROM cells c JOIN k ON CAST(FLOOR((c.i - 1) / 100) AS BIGINT) = b AND c.i % 4 = ci AND c.j % 4 = cj JOIN cells a ON a.i = c.i AND a.j = j0 JOIN cells b ON b.i = i0 AND b.j = c.j JOIN cells z ON z.i = i0 AND z.j = j0", "cells")
 def rank_one_blocks(spark, d):
-    return matrix.rank_one(cells(spark, d), fixture(spark, d, "sites").select("place", (F.col("place") % 4).alias("cluster")))
+    return matrix.rank_one(cells(spark, d), fixture(spark, d, "sites").select("place", (F.col("block") * 4 + F.col("place") % 4).alias("cluster")))
 
 
-SKELETON = "n AS (SELECT i, j FROM (SELECT i, j, ROW_NUMBER() OVER (PARTITION BY i ORDER BY dur, j) AS rk FROM cells WHERE i <> j) x WHERE rk <= 10), k AS (SELECT i, j, 1 AS why FROM n UNION SELECT j, i, 1 FROM n UNION SELECT i, j, 2 FROM cells WHERE i <> j AND (i = 1 OR j = 1) UNION SELECT i, j, 3 FROM cells WHERE i <> j AND (i IN (3, 40, 77) OR j IN (3, 40, 77))), sk AS (SELECT i, j, MIN(why) AS why FROM k GROUP BY i, j)"
+SKELETON = "near AS (SELECT i, j FROM (SELECT i, j, ROW_NUMBER() OVER (PARTITION BY i ORDER BY dur, j) AS rk FROM cells WHERE i <> j) x WHERE rk <= 10), k AS (SELECT i, j, 1 AS why FROM near UNION SELECT j, i, 1 FROM near UNION SELECT i, j, 2 FROM cells WHERE i <> j AND (i % 100 = 1 OR j % 100 = 1) UNION SELECT i, j, 3 FROM cells WHERE i <> j AND (i % 100 IN (3, 40, 77) OR j % 100 IN (3, 40, 77))), sk AS (SELECT i, j, MIN(why) AS why FROM k GROUP BY i, j)"
 
 
 @query("WITH " + SKELETON + " SELECT i, j, why FROM sk", "cells")
 def broker_skeleton(spark, d):
-    return broker.skeleton(cells(spark, d), marks(spark), 10, 1)
+    return broker.skeleton(cells(spark, d), marks(spark, d), depots(spark, d), 10)
 
 
 @query("SELECT src, dst, hr, weekend, COUNT(value) AS n, ROUND(AVG(value), 6) AS mean, ROUND(SQRT(VAR_POP(value)), 6) AS std FROM reports GROUP BY ALL", "reports")
@@ -590,21 +743,51 @@ def hotspots(spark, d):
 
 @query("WITH " + SKELETON + ", p AS (SELECT i, j, why, SUM(1) OVER (ORDER BY why, i, j) AS spent FROM sk) SELECT i, j, why, CAST(spent AS BIGINT) AS spent FROM p WHERE spent <= 500", "cells")
 def budget_trim(spark, d):
-    rows = broker.skeleton(cells(spark, d), marks(spark), 10, 1)
-    return broker.affordable_blocks(rows, F.lit(1), 500, ["why", "i", "j"], F.col("why") * 1000 + F.col("i"))
+    rows = broker.skeleton(cells(spark, d), marks(spark, d), depots(spark, d), 10)
+    return broker.affordable_blocks(rows, F.lit(1), 500, ["why", "i", "j"], F.col("why") * 10**12 + F.col("i"))
+
+
+#: What is bought costs more than the prior says; what is not bought keeps the prior.
+TRUTH = "t AS (SELECT c.i, c.j, c.dur + (c.i * c.j) % 90 AS dur FROM cells c WHERE c.i <> c.j), n AS (SELECT c.i, c.j, CASE WHEN c.i = c.j THEN 0 ELSE COALESCE(t.dur, c.dur) END AS dur, t.dur IS NOT NULL AS b FROM cells c LEFT JOIN (SELECT t.* FROM t JOIN sk USING (i, j)) t USING (i, j))"
+
+
+def truth(spark, d):
+    return cells(spark, d).where("i <> j").select("i", "j", (F.col("dur") + (F.col("i") * F.col("j")) % 90).alias("dur"))
+
 
+def bought(spark, d):
+    return truth(spark, d).join(broker.skeleton(cells(spark, d), marks(spark, d), depots(spark, d), 10).select("i", "j"), ["i", "j"])
 
-@query("WITH " + SKELETON + ", b AS (SELECT c.i, c.j, c.dur FROM cells c JOIN sk USING (i, j)), v AS (SELECT a.i, b2.j, MIN(a.dur + b2.dur) AS via FROM b a JOIN b b2 ON a.j = b2.i GROUP BY ALL) SELECT c.i, c.j, CASE WHEN c.i = c.j THEN 0 ELSE COALESCE(b.dur, v.via, c.dur) END AS dur, CASE WHEN c.i = c.j THEN 'zero' WHEN b.dur IS NOT NULL THEN 'bought' WHEN v.via IS NOT NULL THEN 'derived' ELSE 'prior' END AS how FROM cells c LEFT JOIN b USING (i, j) LEFT JOIN v USING (i, j)", "cells")
+
+DERIVED = "v AS (SELECT a.i, c.j, MIN(a.dur + c.dur) AS via FROM n a JOIN m ON a.j = m.l JOIN n c ON c.i = m.l GROUP BY a.i, c.j)"
+
+
+@query("WITH " + SKELETON + ", " + TRUTH + ", " + MARKS + ", " + DERIVED + " SELECT n.i, n.j, CASE WHEN n.i = n.j THEN 0 WHEN n.b THEN n.dur ELSE COALESCE(via, n.dur) END AS dur, CASE WHEN n.i = n.j THEN 'zero' WHEN n.b THEN 'bought' WHEN via IS NOT NULL THEN 'derived' ELSE 'prior' END AS how FROM n LEFT JOIN v USING (i, j)", "cells")
 def broker_derive(spark, d):
-    prior = cells(spark, d)
-    bought = prior.join(broker.skeleton(prior, marks(spark), 10, 1), ["i", "j"])
-    return broker.derived(prior, bought)
+    return broker.derived(cells(spark, d), bought(spark, d), marks(spark, d))
 
 
-@query("WITH " + SKELETON + ", b AS (SELECT c.i, c.j, c.dur FROM cells c JOIN sk USING (i, j)), v AS (SELECT a.i, b2.j, MIN(a.dur + b2.dur) AS via FROM b a JOIN b b2 ON a.j = b2.i GROUP BY ALL), z AS (SELECT COUNT(*) AS checked, COUNT(*) FILTER (dur > via + 2 + FLOOR(via / 100)) AS broken FROM b JOIN v USING (i, j)) SELECT checked, broken, checked = 0 OR broken * 50 < checked AS ok FROM z", "cells")
+@query("WITH " + SKELETON + ", " + TRUTH + ", " + MARKS + ", z AS (SELECT COUNT(*) AS checked, COUNT(*) FILTER (n.dur > a.dur + c.dur + 2 + n.dur // 100) AS broken FROM n JOIN m ON m.l <> n.i AND m.l <> n.j JOIN n a ON a.i = n.i AND a.j = m.l JOIN n c ON c.i = m.l AND c.j = n.j WHERE n.b) SELECT checked, broken, (SELECT COUNT(*) FROM m) > 0 AND (checked = 0 OR broken * 50 < checked) AS ok FROM z", "cells")
 def metric_gate(spark, d):
+    return broker.metric_gate(cells(spark, d), bought(spark, d), marks(spark, d))
+
+
+@query(
+    "WITH " + SKELETON + """, t AS (SELECT c.i, c.j, c.dur + 5 AS dur FROM cells c WHERE c.i <> c.j), wide AS (SELECT i FROM cells GROUP BY i HAVING COUNT(*) > 12),
+    w AS (SELECT sk.i, sk.j FROM sk JOIN wide USING (i) UNION SELECT c.i, c.j FROM cells c WHERE c.i <> c.j AND c.i NOT IN (SELECT i FROM wide)),
+    x AS (SELECT w.i, w.j, CASE WHEN (w.i + w.j) % 5 = 0 THEN CAST(ROUND(t.dur + 3 + 2 * SQRT(8e0 / 4)) AS BIGINT) ELSE t.dur END AS dur FROM w JOIN t USING (i, j)),
+    n AS (SELECT c.i, c.j, CASE WHEN c.i = c.j THEN 0 ELSE COALESCE(x.dur, c.dur) END AS dur, x.dur IS NOT NULL AS b FROM cells c LEFT JOIN x USING (i, j)), """ + MARKS + ", " + DERIVED + """,
+    z AS (SELECT COUNT(*) AS checked, COUNT(*) FILTER (n.dur > a.dur + c.dur + 2 + n.dur // 100) AS broken FROM n JOIN m ON m.l <> n.i AND m.l <> n.j JOIN n a ON a.i = n.i AND a.j = m.l JOIN n c ON c.i = m.l AND c.j = n.j WHERE n.b),
+    ok AS (SELECT (SELECT COUNT(*) FROM m) > 0 AND (checked = 0 OR broken * 50 < checked) AS ok FROM z)
+    SELECT n.i, n.j, CASE WHEN n.i = n.j THEN 0 WHEN n.b THEN n.dur WHEN ok THEN COALESCE(via, n.dur) ELSE n.dur END AS dur FROM n LEFT JOIN v USING (i, j), ok""",
+    "cells",
+)
+def broker_matrix(spark, d):
     prior = cells(spark, d)
-    return broker.metric_gate(prior.join(broker.skeleton(prior, marks(spark), 10, 1), ["i", "j"]).select("i", "j", "dur"))
+    source = prior.where("i <> j").select("i", "j", (F.col("dur") + 5).alias("dur"))
+    known = source.where("(i + j) % 5 = 0").select("i", "j", F.lit(4).cast("bigint").alias("n"), (F.col("dur") + 3).cast("double").alias("mean"), F.lit(8.0).alias("m2"))
+    out, _ = broker.matrix(prior, source, marks(spark, d), depots(spark, d), known, broker.Policy(granular=6, margin=4, weight=2.0))
+    return out.select("i", "j", "dur")
 
 
 @query("WITH " + SKELETON + ", z AS (SELECT COUNT(*) AS n FROM cells WHERE i <> j) SELECT MIN(n) AS cells, COUNT(*) AS bought, MIN(n) - COUNT(*) AS derived, ROUND(1 - COUNT(*) / CAST(MIN(n) AS DOUBLE), 9) AS saved FROM sk, z", "cells")
@@ -612,6 +795,28 @@ def broker_summary(spark, d):
     return broker.summary(broker_derive(spark, d))
 
 
+WINDOWS = "p AS (SELECT place, place % 40 * 300 AS ready, place % 40 * 300 + 3600 AS due, 60 + place % 5 * 60 AS service FROM sites)"
+
+
+@query("WITH " + WINDOWS + ", o AS (SELECT c.i, c.j, c.dur + 2e-1 * GREATEST(b.ready - a.service - c.dur - a.due, 0) + GREATEST(a.ready + a.service + c.dur - b.due, 0) AS w FROM cells c JOIN p a ON a.place = c.i JOIN p b ON b.place = c.j WHERE c.i <> c.j) SELECT x.i, x.j, ROUND(LEAST(x.w, y.w), 6) AS near FROM o x JOIN o y ON x.i = y.j AND x.j = y.i", "cells", "sites")
+def window_proximity(spark, d):
+    p = F.col("place")
+    windows = fixture(spark, d, "sites").select("place", (p % 40 * 300).alias("ready"), (p % 40 * 300 + 3600).alias("due"), (60 + p % 5 * 60).alias("service"))
+    return matrix.window_proximity(cells(spark, d), windows).withColumn("near", r(F.col("near")))
+
+
+@query("SELECT i, j, dur FROM cells", "cells")
+def archive_restored(spark, d):
+    """Every block in the smallest of its forms, restored."""
+    parts, _ = matrix.compressed(blocks(spark, d), (4, 8))
+    return parts.select("i", "j", (F.col("base") + F.col("residual")).cast("bigint").alias("dur"))
+
+
+@query()
+def archive_forms(spark, d):
+    return matrix.compressed(blocks(spark, d), (4, 8))[1]
+
+
 # --- before a search ---------------------------------------------------------------------------------------
 
 FLEET = "SELECT s_suppkey AS vehicle, s_suppkey % 5 AS skill, 100 + s_suppkey % 50 AS cap FROM supplier"
@@ -619,16 +824,16 @@ FLEET = "SELECT s_suppkey AS vehicle, s_suppkey % 5 AS skill, 100 + s_suppkey %
 
 def job_rows(spark, d):
     s = fixture(spark, d, "stops")
-    return s.select("job", F.array((F.col("job") % 6).cast("int")).alias("skills"), F.when(F.col("job") % 10 == 0, F.array((F.col("job") % 100 + 1).cast("bigint"))).alias("allowed"), F.array((F.col("job") % 140).cast("bigint")).alias("amount"), "ready", "due").where("job % 20 = 0 OR job % 7 = 0")
+    return s.select("job", F.array((F.col("job") % 6).cast("int")).alias("skills"), F.when(F.col("job") % 10 == 0, F.array((F.col("job") % 100 + 1).cast("bigint"))).alias("allowed"), F.array((F.col("job") % 140).cast("bigint")).alias("amount"), "ready", "due")
 
 
 def fleet(spark, d):
-    return fixture(spark, d, "supplier").where("s_suppkey <= 100").select(F.col("s_suppkey").alias("vehicle"), F.array((F.col("s_suppkey") % 5).cast("int")).alias("skills"), F.array((100 + F.col("s_suppkey") % 50).cast("bigint")).alias("capacity"))
+    return fixture(spark, d, "supplier").select(F.col("s_suppkey").alias("vehicle"), F.array((F.col("s_suppkey") % 5).cast("int")).alias("skills"), F.array((100 + F.col("s_suppkey") % 50).cast("bigint")).alias("capacity"))
 
 
-@query("SELECT s.job, v.vehicle FROM stops s JOIN (" + FLEET + ") v ON s.job % 6 = v.skill AND s.job % 140 <= v.cap AND (s.job % 10 <> 0 OR v.vehicle = s.job % 100 + 1) WHERE v.vehicle <= 100 AND (s.job % 20 = 0 OR s.job % 7 = 0)", "stops")
+@query("SELECT s.job, COUNT(*) AS vehicles, MIN(v.vehicle) AS first, CAST(SUM(v.vehicle) AS BIGINT) AS total FROM stops s JOIN (" + FLEET + ") v ON s.job % 6 = v.skill AND s.job % 140 <= v.cap AND (s.job % 10 <> 0 OR v.vehicle = s.job % 100 + 1) GROUP BY s.job", "stops")
 def job_eligibility(spark, d):
-    return propagate.eligible(job_rows(spark, d), fleet(spark, d))
+    return propagate.eligible(job_rows(spark, d), fleet(spark, d)).groupBy("job").agg(F.count("*").alias("vehicles"), F.min("vehicle").alias("first"), F.sum("vehicle").alias("total"))
 
 
 @query("SELECT job, GREATEST(ready, job % 3000) AS start, LEAST(due, 12000 - job % 3000) AS \"end\" FROM stops WHERE GREATEST(ready, job % 3000) <= LEAST(due, 12000 - job % 3000)", "stops")
@@ -639,13 +844,16 @@ def propagate_windows(spark, d):
     return propagate.tightened(jobs, reach).select("job", F.explode("windows").alias("w")).select("job", "w.start", "w.end")
 
 
-@query("WITH_RECURSIVE WITH p AS (SELECT s_suppkey AS a, s_suppkey + 3 AS b FROM supplier WHERE s_suppkey <= 60), c(a, b) AS (SELECT a, b FROM p UNION SELECT c.a, p.b FROM c JOIN p ON c.b = p.a) SELECT a, b FROM c")
+#: Chains of jobs three apart within each block of 60 numbers; a block's last jobs come before themselves, which closure shows as circles.
+AFTER = "SELECT s_suppkey AS a, CASE WHEN s_suppkey % 60 >= 57 THEN s_suppkey ELSE s_suppkey + 3 END AS b FROM {supplier}"
+
+
+@query("WITH_RECURSIVE WITH p AS (" + AFTER.format(supplier="supplier") + "), c(a, b) AS (SELECT a, b FROM p UNION SELECT c.a, p.b FROM c JOIN p ON c.b = p.a) SELECT a, b FROM c")
 def precedence_closure(spark, d):
-    pairs = fixture(spark, d, "supplier").where("s_suppkey <= 60").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 3).alias("b"))
-    return propagate.closure(pairs)
+    return propagate.closure(spark.sql(AFTER, supplier=fixture(spark, d, "supplier")))
 
 
-@query("SELECT s.job, CASE WHEN s.job % 6 = 5 THEN 'skills' WHEN NOT EXISTS (SELECT 1 FROM (" + FLEET + ") v WHERE v.vehicle <= 100 AND s.job % 6 = v.skill AND s.job % 140 <= v.cap AND (s.job % 10 <> 0 OR v.vehicle = s.job % 100 + 1)) THEN 'vehicle' ELSE 'search' END AS reason FROM stops s WHERE s.job % 20 = 0 OR s.job % 7 = 0", "stops")
+@query("SELECT s.job, CASE WHEN s.job % 6 = 5 THEN 'skills' WHEN NOT EXISTS (SELECT 1 FROM (" + FLEET + ") v WHERE s.job % 6 = v.skill AND s.job % 140 <= v.cap AND (s.job % 10 <> 0 OR v.vehicle = s.job % 100 + 1)) THEN 'vehicle' ELSE 'search' END AS reason FROM stops s", "stops")
 def unassigned_reason(spark, d):
     jobs, v = job_rows(spark, d), fleet(spark, d)
     skilled = jobs.where(F.element_at("skills", 1).isin(0, 1, 2, 3, 4)).select("job")
@@ -657,24 +865,58 @@ def unassigned_reason(spark, d):
 
 @query()
 def multi_start_plans(spark, d):
-    s = fixture(spark, d, "stops")
-    depot = s.select("route_id").distinct().select(F.col("route_id").alias("problem"), F.lit(0).cast("bigint").alias("i"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("demand"), F.lit(0.0).alias("ready"), F.lit(1e9).alias("due"), F.lit(0.0).alias("service"))
-    jobs = s.select(F.col("route_id").alias("problem"), F.col("seq").alias("i"), ((F.col("lat") - 59.9) * 1e4).alias("x"), ((F.col("lon") - 10.7) * 1e4).alias("y"), F.col("demand").cast("double").alias("demand"), F.lit(0.0).alias("ready"), F.lit(1e6).alias("due"), F.col("service").cast("double").alias("service"))
-    return search.multi_start(depot.unionByName(jobs), 3, 400.0, 6, 3, 30)
+    return search.multi_start(plans_of(spark, d), 2, 400.0, 6, 1, 10)
 
 
 @query(
-    """WITH t AS (SELECT place AS task FROM sites WHERE place % 3 = 1), st AS (SELECT place % 10 AS route_id, ROW_NUMBER() OVER (PARTITION BY place % 10 ORDER BY place) AS seq, place FROM sites WHERE place % 3 = 0),
+    """WITH t AS (SELECT place AS task FROM sites WHERE place % 3 = 1), st AS (SELECT block * 10 + place % 10 AS route_id, ROW_NUMBER() OVER (PARTITION BY block * 10 + place % 10 ORDER BY place) AS seq, place FROM sites WHERE place % 3 <> 1),
     sl AS (SELECT route_id, seq, place AS a, LEAD(place) OVER (PARTITION BY route_id ORDER BY seq) AS b FROM st), n AS (SELECT i, j FROM (SELECT i, j, ROW_NUMBER() OVER (PARTITION BY i ORDER BY dur, j) AS k FROM cells WHERE i <> j) x WHERE k <= 20),
     o AS (SELECT t.task, sl.route_id, sl.seq, x.dur + y.dur - z.dur AS delta FROM t JOIN n ON n.i = t.task JOIN sl ON sl.a = n.j AND sl.b IS NOT NULL JOIN cells x ON x.i = sl.a AND x.j = t.task JOIN cells y ON y.i = t.task AND y.j = sl.b JOIN cells z ON z.i = sl.a AND z.j = sl.b),
     k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY task ORDER BY delta, route_id, seq) AS rn FROM o) SELECT task, route_id, seq AS after, delta FROM k WHERE rn = 1""",
     "cells",
 )
 def insertion_slots(spark, d):
+    return search.insertion_slots(*slots(spark, d)).select("task", "route_id", "after", "delta")
+
+
+def slots(spark, d):
     c, s = cells(spark, d), fixture(spark, d, "sites")
-    w = Window.partitionBy(F.col("place") % 10).orderBy("place")
-    steps = s.where("place % 3 = 0").select((F.col("place") % 10).alias("route_id"), F.row_number().over(w).alias("seq"), "place")
-    return search.insertion_slots(steps, s.where("place % 3 = 1").select(F.col("place").alias("task"), "place"), matrix.nearest_columns(c, 20), c)
+    own = F.col("block") * 10 + F.col("place") % 10
+    w = Window.partitionBy(own).orderBy("place")
+    steps = s.where("place % 3 <> 1").select(own.alias("route_id"), F.row_number().over(w).alias("seq"), "place")
+    return steps, s.where("place % 3 = 1").select(F.col("place").alias("task"), "place"), matrix.nearest_columns(c, 20), c
+
+
+@query(
+    """WITH t AS (SELECT place AS task FROM sites WHERE place % 3 = 1), st AS (SELECT block * 10 + place % 10 AS route_id, ROW_NUMBER() OVER (PARTITION BY block * 10 + place % 10 ORDER BY place) AS seq, place FROM sites WHERE place % 3 <> 1),
+    sl AS (SELECT route_id, seq, place AS a, LEAD(place) OVER (PARTITION BY route_id ORDER BY seq) AS b FROM st), n AS (SELECT i, j FROM (SELECT i, j, ROW_NUMBER() OVER (PARTITION BY i ORDER BY dur, j) AS k FROM cells WHERE i <> j) x WHERE k <= 20),
+    o AS (SELECT t.task, sl.route_id, sl.seq, x.dur + y.dur - z.dur AS delta FROM t JOIN n ON n.i = t.task JOIN sl ON sl.a = n.j AND sl.b IS NOT NULL JOIN cells x ON x.i = sl.a AND x.j = t.task JOIN cells y ON y.i = t.task AND y.j = sl.b JOIN cells z ON z.i = sl.a AND z.j = sl.b),
+    k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY task ORDER BY delta, route_id, seq)::INT AS rank FROM o) SELECT task, rank, route_id, seq AS after, delta FROM k WHERE rank <= 8""",
+    "cells", "sites",
+)
+def insertion_probes(spark, d):
+    """The eight cheapest places of each task."""
+    steps, tasks, near, c = slots(spark, d)
+    return search.insertion_slots(steps, tasks, near, c, 8)
+
+
+def plans_of(spark, d):
+    """Each route's stops as a problem of its own."""
+    s = fixture(spark, d, "stops")
+    number = lambda x: F.lit(float(x))
+    depot = s.select("route_id").distinct().select(F.col("route_id").alias("problem"), F.lit(0).cast("bigint").alias("i"), number(0).alias("x"), number(0).alias("y"), number(0).alias("demand"), number(0).alias("ready"), number(1e9).alias("due"), number(0).alias("service"))
+    jobs = s.select(F.col("route_id").alias("problem"), F.col("seq").cast("bigint").alias("i"), ((F.col("lat") - 59.9) * 1e4).alias("x"), ((F.col("lon") - 10.7) * 1e4).alias("y"), F.col("demand").cast("double").alias("demand"), number(0).alias("ready"), number(1e6).alias("due"), F.col("service").cast("double").alias("service"))
+    return depot.unionByName(jobs)
+
+
+@query()
+def cluster_plans(spark, d):
+    return construct.decomposed(plans_of(spark, d), 6, 400.0, 6, 0, 10)
+
+
+@query()
+def farthest_first(spark, d):
+    return construct.farthest_first(fixture(spark, d, "stops").select("route_id", F.col("job").alias("id"), "lat", "lon"), "route_id")
 
 
 # --- learning ----------------------------------------------------------------------------------------------
@@ -785,13 +1027,15 @@ def live_applied(spark, d):
     return live.applied(fixture(spark, d, "edges"), delays, now).select("src", "dst", r(F.col("dur")).alias("dur"))
 
 
-@query("WITH s AS (SELECT user_id % 100 AS j, COUNT(*) AS seen FROM events GROUP BY 1) SELECT c.i, c.j, c.dur FROM cells c LEFT JOIN s USING (j) WHERE c.dur < 900 OR COALESCE(seen, 0) >= 20", "cells")
+@query("WITH s AS (SELECT user_id % 1000 AS j, COUNT(*) AS seen FROM events GROUP BY 1) SELECT c.i, c.j, c.dur FROM cells c LEFT JOIN s USING (j) WHERE c.dur < 900 OR COALESCE(seen, 0) >= 20", "cells")
 def rare_pruned(spark, d):
-    seen = fixture(spark, d, "events").groupBy((F.col("user_id") % 100).alias("place")).agg(F.count("*").alias("seen"))
+    seen = fixture(spark, d, "events").groupBy((F.col("user_id") % 1000).alias("place")).agg(F.count("*").alias("seen"))
     return broker.rare_pruned(cells(spark, d), seen, 20, 900).select("i", "j", "dur")
 
 
-@query(LEGS + "SELECT route_id, ROUND(cost, 6) AS cost FROM q WHERE FALSE", "stops", "depots")
+@query(LEGS + "SELECT route_id, CASE WHEN route_id % 10 = 1 THEN NULL ELSE ROUND(cost + CASE WHEN route_id % 10 = 2 THEN 1 ELSE 0 END, 6) END AS stored, ROUND(cost, 6) AS found FROM q WHERE route_id % 10 IN (1, 2)", "stops", "depots")
 def plan_verified(spark, d):
+    """A plan with wrong costs and lost routes: these are what is found."""
     m = stored(evaluate.metrics(routes(spark, d)), "plan")
-    return evaluate.verify(m, evaluate.metrics(routes(spark, d))).select("route_id", F.col("found").alias("cost"))
+    plan = m.where("route_id % 10 <> 1").withColumn("cost", F.col("cost") + F.when(F.col("route_id") % 10 == 2, 1).otherwise(0))
+    return evaluate.verify(plan, m).select("route_id", r(F.col("stored")).alias("stored"), r(F.col("found")).alias("found"))

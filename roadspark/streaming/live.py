@@ -8,7 +8,7 @@ within a micro-batch; idle edges time out after TTL_HALF_LIVES half-lives, when
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -68,19 +68,28 @@ def averaged(stream: DataFrame, expire: bool = True) -> DataFrame:
     return stream.groupBy("src", "dst").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
+#: Halvings after which a double is 0.
+VANISHED = 1075
+
+
 def replayed(reports: DataFrame) -> DataFrame:
-    """The same fold over a batch, by column functions: the weights of a report halve with each later one and with age.
+    """The same fold over a batch, in closed form: factor - 1 is the sum over an edge's reports of (seen - 1), halved for the report itself and each later one and once more for each half-life until the last.
 
-    factor - 1 = sum over reports of (seen - 1) / 2 * product of later (decay / 2); as a fold over the edge's
-    reports in order of time.
+    Of an edge's reports those before the last VANISHED add 0 in doubles; they are left out by a limit on ranks,
+    so that an edge of very many reports is cut down before it meets in one task.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("ms", "factor")))
-    rows = reports.groupBy("src", "dst").agg(ordered.alias("rs"))
-    start = F.struct(F.lit(1.0).alias("f"), F.element_at("rs", 1)["ms"].alias("at"))
-    state = F.aggregate(
-        "rs", start, lambda s, r: F.struct((0.5 * (1 + (s["f"] - 1) * F.pow(F.lit(0.5), (r["ms"] - s["at"]) / HALF_LIFE_MS)) + 0.5 * r["factor"]).alias("f"), r["ms"].alias("at"))
-    )
-    return rows.select("src", "dst", state["f"].alias("factor"), state["at"].alias("updated_ms"))
+    last = Window.partitionBy("src", "dst").orderBy(F.col("ms").desc(), F.col("factor").desc())
+    rows = reports.select("src", "dst", "ms", "factor").withColumn("k", F.row_number().over(last)).where(F.col("k") <= VANISHED)
+    ends = rows.groupBy("src", "dst").agg(F.max("ms").alias("updated_ms"))
+    part = (F.col("factor") - 1) * F.pow(F.lit(0.5), F.col("k") + (F.col("updated_ms") - F.col("ms")) / HALF_LIFE_MS)
+    return rows.join(ends, ["src", "dst"]).groupBy("src", "dst", "updated_ms").agg((F.sum(part) + 1).alias("factor")).select("src", "dst", "factor", "updated_ms")
+
+
+def against_base(stretches: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Stretches whose base time came from a graph with delays applied, told against the undelayed base: the factor times what snapshot(src, dst, applied) had applied."""
+    rows = stretches.join(snapshot.select("src", "dst", "applied"), ["src", "dst"], "left")
+    factor = F.greatest(F.least(F.col("factor") * F.coalesce("applied", F.lit(1.0)), F.lit(STRETCH[1])), F.lit(STRETCH[0]))
+    return rows.withColumn("factor", factor).drop("applied")
 
 
 def applied(edges: DataFrame, delays: DataFrame, now_ms: int) -> DataFrame:

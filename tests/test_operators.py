@@ -142,8 +142,35 @@ def test_rules_refuse(spark):
     for bad in ("__import__('os')", "a.b", "lambda: 1", "x", "open(1)", "1 +", "'text'"):
         with pytest.raises(expr.RuleError):
             expr.compile_rule(bad, {"a": F.col("a")})
-    with pytest.raises(Exception):
-        spark.range(1).select(expr.compile_rule("1 / (a - a)", {"a": F.col("id")}, {"a"})).collect()
+    for bad in ("True < False", "1 + True", "[1] + 1", "x = 1", "a.b = 1\na", "later"):
+        with pytest.raises(expr.RuleError):
+            expr.compile_rule(bad, {"a": F.col("a"), "later": F.col("a")}, {"a"}, "route")
+    with pytest.raises(expr.RuleError):
+        expr.verdict("[1, 2]", {})
+
+
+@pytest.mark.parametrize("rule,route,plan", [("1 / (stops - stops)", (False, 0.0), (True, 1e12)), ("stops > 3 and 1 / 0 > 2", (True, None), None), ("stops < 3 and 1 / 0 > 2", (False, 0.0), None), ("stops > 3 or 1 / 0 > 2", (True, 0.0), None), ("-5", (True, 0.0), None), ("stops * 2", (True, 10.0), None), ("x = stops + 1\ny = x * x\ny - 30", (True, 6.0), None), ("stops == 5", (True, 0.0), None), ("sum([0.5, 1.5])", (True, 2.0), None)])
+def test_rule_verdicts(spark, rule, route, plan):
+    df = spark.sql("SELECT 5L AS stops")
+    told = lambda context: tuple(df.select(expr.verdict(rule, {"stops": F.col("stops")} if context == "route" else {"stops": F.col("stops")}, {"stops": "int"}, context).alias("v")).head().v)
+    if route[1] is None:
+        assert told("route") == (False, 0.0)  # an error in what is looked at rejects
+    else:
+        assert told("route") == route
+    if plan:
+        expr.FIELDS["solution"].append("stops")
+        try:
+            assert told("solution") == plan
+        finally:
+            expr.FIELDS["solution"].remove("stops")
+
+
+def test_callbacks(spark):
+    rows = spark.createDataFrame([(1, 5), (2, 0), (3, 7), (4, 9)], "route_id long, stops long")
+    rule = lambda r: {1: True, 2: 1 / r["stops"] if r["stops"] else 1 / 0, 3: False}.get(r["route_id"], 2.5) if r["route_id"] != 2 else 1 / r["stops"]
+    assert {r.route_id: r.penalty for r in expr.called_back(rows, rule).collect()} == {1: 0.0, 2: 0.0, 3: None, 4: 2.5}
+    ways = spark.createDataFrame([(1, {"highway": "primary"}), (2, {}), (3, None)], "way long, tags map<string,string>")
+    assert {r.way: r.kmh for r in expr.costed(ways, lambda t: 50 if t.get("highway") else 0).collect()} == {1: 50.0, 2: None, 3: None}
 
 
 def test_text(spark):
