@@ -15,8 +15,8 @@ confirmed on full sets. So no pair becomes a row unless it is a link, no group m
 no cap on a bucket. Pairs at the threshold or above share a band but for a chance below 3e-8 at a similarity of
 0.85, and 4e-6 at 0.8.
 
-Components come from min-label propagation with pointer jumping over links, each round a table in the shared
-folder that replaces the last. Hot keys are joined after a broadcast of those keys that hold a HOT-th of all
+Components come from rounds in which every node points to its smallest neighbour and edges are contracted to
+the pointers' ends, each a table in the shared folder that replaces the last. Hot keys are joined after a broadcast of those keys that hold a HOT-th of all
 rows (HOT at most).
 
 Null and empty texts have the empty set and stay alone. Documents without an id take part, and a component of
@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import spread_join
 from .common import ASCII_SPACE, BROADCAST_ROWS, LOWER, cut, discarded, hash_runs, mix, numbered, row_blocks, stored, text_buffers
 
 BANDS, ROWS = 24, 4
@@ -43,7 +44,6 @@ LEAST_SAME = 0.4
 TILE = 512
 COLUMNS = 8192
 BLOCK_BYTES = 1 << 20
-HOT = 1000
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64)
@@ -161,35 +161,48 @@ def shared_counts(sets_a: list[np.ndarray], sets_b: list[np.ndarray], pairs: tup
     return counts[i, j].astype(np.int64)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, columns: list[str]) -> DataFrame:
-    """left inner-joined with right, which has one row a key, its count n and columns; keys of a HOT-th of total rows of left are broadcast."""
-    hot = right.where(F.col("n") * HOT >= total).select(key, *[F.col(c).alias(f"hot_{c}") for c in columns])  # HOT rows at most
-    rest = right.where(F.col("n") * HOT < total).select(F.col(key).alias("rest_key"), *columns)
-    both = left.join(F.broadcast(hot), key, "left")
-    # rows that have found theirs spread by a hash of their own, which can match nothing in effect: what is broadcast comes first
-    own = F.when(F.col(f"hot_{columns[0]}").isNull(), F.xxhash64(key)).otherwise(F.xxhash64(*left.columns))
-    both = both.withColumn("rest_hash", own).join(rest.withColumn("rest_hash", F.xxhash64("rest_key")), "rest_hash", "left").where(F.col(f"hot_{columns[0]}").isNotNull() | (F.col("rest_key") == F.col(key)))
-    return both.select(*left.columns, *[F.coalesce(f"hot_{c}", c).alias(c) for c in columns]).where(F.col(columns[0]).isNotNull())
+def _tops(up: DataFrame, name: str) -> DataFrame:
+    """node and top: the end of each node's way by up(node, at), which leads to smaller nodes or stays; pointers double their reach each round."""
+    up = stored(up, name)
+    total = up.count()
+    while True:
+        sizes = up.groupBy("at").agg(F.count("*").alias("n"))
+        ahead = sizes.join(up.select(F.col("node").alias("at"), F.col("at").alias("top")), "at")
+        now = stored(spread_join(up, ahead, "at", total, ["top"]), name)
+        moved = not now.where("top <> at").isEmpty()
+        discarded(up)
+        if not moved:
+            return now.select("node", "top")
+        up = stored(now.select("node", F.col("top").alias("at")), name)
+        discarded(now)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """node and label (the smallest node reachable) of all nodes of edges(a, b), for long nodes."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label"), F.count("*").alias("n")), f"{name}-0")
-    total = both.count()
-    while True:
-        about = labels.select(F.col("node").alias("b"), F.col("label").alias("l"), "n")
-        seen = spread_join(both, about, "b", total, ["l"]).groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
-        lower = stored(labels.join(seen, "node").select("node", "n", F.least("label", "l").alias("label"), (F.col("l") < F.col("label")).alias("changed")), f"{name}-lower")
-        discarded(labels)
-        if lower.where("changed").isEmpty():
-            discarded(both)
-            return lower.select("node", "label")
-        top = lower.select(F.col("node").alias("at"), F.col("label").alias("top"))
-        tops = lower.groupBy(F.col("label").alias("at")).agg(F.count("*").alias("n")).join(top, "at")
-        size = lower.count()
-        labels = stored(spread_join(lower.select("node", F.col("n").alias("degree"), F.col("label").alias("at")), tops, "at", size, ["top"]).select("node", F.least("at", "top").alias("label"), F.col("degree").alias("n")), name)
-        discarded(lower)
+    """node and label (the smallest node reachable) of all nodes of edges(a, b), for long nodes.
+
+    Each round every node points to its smallest neighbour, ways of pointers end in one node, and edges are drawn
+    anew between these ends; what is left of the edges falls fast, so that only the first round touches them all.
+    """
+    now = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-edges")
+    rounds = []
+    while (total := now.count()) > 0:
+        ends = now.select(F.col("b").alias("node"), F.col("a").alias("other")).union(now.select("a", "b"))
+        nodes = stored(ends.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("at"), F.count("*").alias("n")), f"{name}-nodes")
+        tops = stored(_tops(nodes.select("node", "at"), name).join(nodes.select("node", "n"), "node"), f"{name}-tops")
+        rounds.append(tops)
+        by = lambda side: tops.select(F.col("node").alias(side), F.col("top").alias(f"{side}_top"), "n")  # noqa: B023, E731
+        drawn = spread_join(spread_join(now, by("a"), "a", total, ["a_top"]), by("b"), "b", total, ["b_top"])
+        new = stored(drawn.where("a_top <> b_top").select(F.least("a_top", "b_top").alias("a"), F.greatest("a_top", "b_top").alias("b")).distinct(), f"{name}-edges")
+        discarded(now, nodes)
+        now = new
+    if not rounds:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = rounds[-1].select("node", F.col("top").alias("label"))
+    for tops in reversed(rounds[:-1]):
+        sizes = tops.groupBy(F.col("top").alias("at")).agg(F.count("*").alias("n")).join(labels.select(F.col("node").alias("at"), "label"), "at", "left")
+        own = sizes.select("at", F.coalesce("label", "at").alias("label"), "n")
+        labels = stored(spread_join(tops.select("node", F.col("top").alias("at")), own, "at", tops.count(), ["label"]).select("node", "label"), name)
+    return labels
 
 
 def tile_links(tiles: DataFrame, percent: int) -> DataFrame:

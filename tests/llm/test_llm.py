@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from roadspark.llm import decontaminate, html_extract, language, neardup, packing, pii, quality, queries, toolcalls, topk, warc
 from roadspark.llm.common import cut, hash_runs, table, text_buffers
+from roadspark.plans import lineage
 from tests.oracle import same
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -464,7 +465,7 @@ def components_by_hand(texts, k, percent, raw=False):
 @pytest.mark.parametrize("k,percent,hot", [(3, 85, 1000), (5, 80, 1)])
 def test_near_duplicates(spark, k, percent, hot, monkeypatch):
     monkeypatch.setattr(neardup, "TILE", 16)
-    monkeypatch.setattr(neardup, "HOT", hot)  # 1000: all keys are hot, 1: next to none
+    monkeypatch.setattr(lineage, "HOT", hot)  # 1000: all keys are hot, 1: next to none
     rnd = random.Random(k)
     word = lambda: "w" + str(rnd.randint(0, 400))
     base = [[word() for _ in range(120)] for _ in range(4)]
@@ -504,6 +505,20 @@ def test_near_duplicates_in_a_large_cluster(spark, monkeypatch):
     assert got == components_by_hand(texts, 3, 85)
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_components_against_a_walk(spark, hot, monkeypatch):
+    monkeypatch.setattr(lineage, "HOT", hot)
+    rnd = random.Random(hot)
+    edges = [(k, k + 1) for k in range(1000, 1040)] + [(2000 + rnd.randrange(60), 2000 + rnd.randrange(60)) for _ in range(45)] + [(3000 - k, 3000) for k in range(1, 30)] + [(3100, 3100 + k) for k in range(1, 30)] + [(2999, 3105), (9, 9)]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.label for r in neardup.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
+    assert got == {k: v for k, v in label.items() if k != 9}
+    assert neardup.components(spark.createDataFrame([], "a long, b long"), "none").count() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.grouped(docs(spark, [])).count() == 0
 
