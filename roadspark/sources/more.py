@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import permutations
+from itertools import permutations, product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -65,11 +65,34 @@ def word_ladder(words: DataFrame) -> DataFrame:
     return a.join(b, "gap").where("w <> v").select("src", "dst", F.lit(1).cast("bigint").alias("dur"), F.lit(1).cast("bigint").alias("dist")).distinct()
 
 
-#: Where a clockwise turn of the right, down or back face takes the seven loose corners of a pocket cube (one corner stays), and how it twists them.
-TURNS = {"R": ((0, 1, 2, 3), (1, 2, 1, 2)), "D": ((2, 3, 4, 5), (0, 0, 0, 0)), "B": ((1, 6, 4, 2), (2, 1, 2, 1))}
 CORNERS = 7
 
 
+def _turns() -> dict[str, tuple[tuple, tuple]]:
+    """Where a quarter turn of the right, lower or back face takes the seven corners that do not stay, and how it twists them: places from and to, twists.
+
+    A corner's twist is the axis of its upper or lower sticker, counted round the corner from the upright one.
+    """
+    places = [p for p in product((1, -1), repeat=3) if p != (-1, 1, 1)]
+    spins = {"R": lambda x, y, z: (x, -z, y), "D": lambda x, y, z: (z, y, -x), "B": lambda x, y, z: (-y, x, z)}
+    sides = {"R": (0, 1), "D": (1, -1), "B": (2, -1)}
+    out = {}
+    for face, (axis, side) in sides.items():
+        to, twist = list(range(CORNERS)), [0] * CORNERS
+        for k, p in enumerate(places):
+            if p[axis] == side:
+                new = spins[face](*p)
+                up = spins[face](0, 1, 0)  # where the upright axis goes
+                on = next(i for i, v in enumerate(up) if v)
+                round_corner = [1, 0, 2] if new[0] * new[1] * new[2] > 0 else [1, 2, 0]
+                to[k], twist[k] = places.index(new), round_corner.index(on)
+        out[face] = (tuple(to), tuple(twist))
+    return out
+
+
+TURNS = _turns()
+
+
 def cube_number(order: tuple, twist: tuple) -> int:
     """A cube's place among all: the permutation's rank times 3**6, plus the twists of six corners in base 3."""
     rank, left = 0, list(range(CORNERS))
@@ -83,12 +106,12 @@ def cube_number(order: tuple, twist: tuple) -> int:
 
 
 def turned(order: list, twist: list, face: str) -> tuple[tuple, tuple]:
-    cycle, by = TURNS[face]
-    order, twist = list(order), list(twist)
-    held, spun = [order[k] for k in cycle], [(twist[k] + t) % 3 for k, t in zip(cycle, by)]
-    for k, at in enumerate(cycle[1:] + cycle[:1]):
-        order[at], twist[at] = held[k], spun[k]
-    return tuple(order), tuple(twist)
+    """Corners (by place) and their twists after a quarter turn."""
+    to, by = TURNS[face]
+    new, spun = [0] * CORNERS, [0] * CORNERS
+    for k, at in enumerate(to):
+        new[at], spun[at] = order[k], (twist[k] + by[k]) % 3
+    return tuple(new), tuple(spun)
 
 
 def pocket_cube(spark: SparkSession, most: int | None = None) -> DataFrame:
