@@ -206,14 +206,11 @@ def test_quality(spark, small):
     assert quality.classify(docs(spark, []), none).count() == 0
 
 
-def test_quality_against_plain_formula(spark):
-    """classify() against the discriminant written out with numpy's own covariance, determinant and solver."""
+def plain_scores(texts, label):
+    """Scores of texts {id: text} learnt from label {id: 0 or 1}, with numpy's own covariance, determinant and solver."""
     import pyarrow as pa
 
-    source = "/root/testdata/sf0.001"
-    texts = queries.read(spark, source, "documents").select("doc_id", "text").collect()
-    label = {r.doc_id: r.quality for r in queries.read(spark, source, "labels").collect()}
-    stats = {r.doc_id: quality.statistics(*text_buffers(pa.array([r.text or ""], pa.string())))[0] for r in texts}
+    stats = {i: quality.statistics(*text_buffers(pa.array([t or ""], pa.string())))[0] for i, t in texts.items()}
     learn = {i: label[i] for i in stats if label.get(i) in (0, 1) and zlib.crc32(str(i).encode()) % 5}
     x, y = np.array([stats[i] for i in learn]), np.array(list(learn.values()))
     centre, scale = x.mean(axis=0), np.sqrt(np.maximum(x.var(axis=0), 1e-12))
@@ -227,10 +224,20 @@ def test_quality_against_plain_formula(spark):
         lean = max(quality.POOL, d / (n[c] + d))
         mixed = (1 - lean) * own[c] + lean * pooled
         spread.append((1 - quality.DIAGONAL) * mixed + quality.DIAGONAL * np.diag(np.diag(pooled)) + quality.RIDGE * np.eye(d))
-    for r in quality.classify(queries.read(spark, source, "documents"), queries.read(spark, source, "labels")).collect():
-        v = (stats[r.doc_id] - centre) / scale
+    out = {}
+    for i in stats:
+        v = (stats[i] - centre) / scale
         logs = [-0.5 * ((v - z[y == c].mean(axis=0)) @ np.linalg.solve(spread[c], v - z[y == c].mean(axis=0)) + np.linalg.slogdet(spread[c])[1]) + np.log(n[c] / sum(n)) for c in (0, 1)]
-        assert abs(r.score - 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))) < 1e-5
+        out[i] = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+    return out
+
+
+def test_quality_against_plain_formula(spark):
+    source = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in queries.read(spark, source, "documents").collect()}
+    want = plain_scores(texts, {r.doc_id: r.quality for r in queries.read(spark, source, "labels").collect()})
+    for r in quality.classify(queries.read(spark, source, "documents"), queries.read(spark, source, "labels")).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-5
     model = quality.learnt(queries.read(spark, source, "documents"), queries.read(spark, source, "labels"))
     clash = queries.read(spark, source, "documents").withColumn("score", F.lit("x")).withColumn("c0", F.lit(1))
     out = quality.score_texts(clash, model)
@@ -253,27 +260,29 @@ def test_quality_tells_whole_lines_apart():
         assert share == len(set(lines)) / max(len(lines), 1)
 
 
+PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"[0-9](?:[ -]?[0-9])+", r"\+[0-9][ ().0-9-]+[0-9]"]
+
+
+def plain_spans(text):
+    """(kind, start, end) of the patterns' matches that keep their rules."""
+    out = []
+    for k, p in enumerate(PATTERNS):
+        for m in re.finditer(p, text):
+            n = re.sub(r"\D", "", m.group())
+            if [True, k == 1 and len(n) < 200 and all(int(x) <= 255 for x in m.group().split(".")), k == 2 and 13 <= len(n) <= 19 and pii.luhn(n), 9 <= len(n) <= 15][k]:
+                out.append((k, m.start(), m.end()))
+    return out
+
+
 def test_pii(spark):
     texts = [
         (1, "mail a.b+c@x-y.co.uk, or é@x.y @x.y a@b.c@d.e now"), (2, "ip 1.2.3.4 256.1.1.1 001.2.3.4.5.6.7.8 and 1.2.3"), (3, "card 4111 1111 1111 1111 and 4111-1111-1111-1112 or 378282246310005"),
         (4, "call +1 (988) 555-2485 or +12 34 or +123456789012345678"), (5, None), (6, ""), (7, "call me at (988) 555-2485 tomorrow"), (8, "ééé 10.0.0.1"), (None, "nothing"), (9, "7" * 50_000 + " a@b.cd"),
     ]
-    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"[0-9](?:[ -]?[0-9])+", r"\+[0-9][ ().0-9-]+[0-9]"]
-
-    def brute(text):
-        out = []
-        for k, p in enumerate(patterns):
-            for m in re.finditer(p, text):
-                n = re.sub(r"\D", "", m.group())
-                ok = [True, k == 1 and len(n) < 200 and all(int(x) <= 255 for x in m.group().split(".")), k == 2 and 13 <= len(n) <= 19 and pii.luhn(n), 9 <= len(n) <= 15][k]
-                if ok:
-                    out.append(f"{pii.KINDS[k]}:{m.start()}:{m.end()}")
-        return ",".join(out)
-
     got = {r.doc_id: r for r in pii.scan(docs(spark, texts)).collect()}
     for k, t in texts:
         if k != 9:
-            assert got[k].base == brute(t or ""), t
+            assert got[k].base == pii.written(plain_spans(t or "")), t
     assert got[9].base == "email:50001:50007" and got[7].spans == "phone:11:25" and got[7].n_phone == 0 and got[7].redacted == "call me at <PHONE> tomorrow"
     assert got[5].redacted is None and got[8].redacted == "ééé <IP>"
 
@@ -591,6 +600,87 @@ def test_pipeline(spark, small):
     assert json.dumps(left)
 
 
+def test_pipeline_against_plain_stages(spark, small):
+    """The whole pipeline against each stage written out: plain formula, all pairs, all windows, plain patterns, the tokenizer itself."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    texts = {r.doc_id: r.text for r in queries.read(spark, small, "documents").collect()}
+    score = plain_scores(texts, {r.doc_id: r.quality for r in queries.read(spark, small, "labels").collect()})
+    assert min(abs(x - queries.PREDICTED) for x in score.values()) > 1e-6
+    texts = {i: t for i, t in texts.items() if score[i] >= queries.PREDICTED}
+    line = sorted(texts.items())
+    labels, best = components_by_hand(line, 5, 80, raw=True), {}
+    for x, (i, t) in zip(labels, line):
+        best.setdefault((x, None if (t or "").split() else i), i)
+    texts = {i: texts[i] for i in best.values()}
+    items = [(r.item_id, r.text) for r in queries.read(spark, small, "benchmark").collect()]
+    windows = {}
+    for name, t in items:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+        for k in range(max(1, len(w) - 12) if w else 0):
+            windows.setdefault(tuple(w[k : k + 13]), set()).add(name)
+    sizes = {len(w) for w in windows}
+    for i, t in list(texts.items()):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        hit = {x for n in sizes for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for x in range(k, k + n)}
+        if hit and 20 * len(hit) >= len(w):
+            del texts[i]
+    finder = pii.Finder(pii.field())
+    for i, t in texts.items():
+        spans = plain_spans(t or "") + finder.find([t or ""])[0][1]
+        for k, s, e in sorted(spans, key=lambda x: -x[1]):
+            if not any(o != (k, s, e) and o[1] < e and s < o[2] for o in spans):
+                t = f"{t[:s]}<{pii.KINDS[k].upper()}>{t[e:]}"
+            else:
+                t = None  # overlapping spans merge; those texts are only counted
+                break
+        texts[i] = t
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    got, bins = collections.defaultdict(list), collections.Counter()
+    for r in corpus_pipeline.run(spark, small).collect():
+        got[r.doc_id].append(r)
+        bins[r.sequence_id] += r.length
+    assert set(got) == set(texts) and all(n == 4096 or n & (n - 1) == 0 for n in bins.values())
+    for i, t in texts.items():
+        if t is None:
+            continue
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for r in sorted(got[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+def test_pipeline_stages_at_the_edges(spark, small):
+    import corpus_pipeline
+
+    rows = [(1, None), (2, ""), (None, "some words of a text without an id"), (None, "some words of a text without an id"), (3, "word " * 100_000), (3, "word " * 100_000), (4, "mail a@b.cd and the rest of a text")]
+    frame = docs(spark, rows).withColumns({"score": F.lit("x"), "spans": F.lit(1), "n_hit": F.lit(2), "key1": F.lit(3), "ids": F.lit("y"), "c0": F.lit(4)})
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, frame, small)
+        kept[name] = sorted(str(r.doc_id) for r in out.select("doc_id").distinct().collect())
+        assert stage(spark, frame.where("false"), small).count() == 0
+    assert kept["near_duplicates"] == ["1", "2", "3", "4", "None"] == kept["decontamination"] == kept["personal_data"] == kept["packing"]
+    assert corpus_pipeline.neardup_stage(spark, frame, small).count() == 5
+
+
+def test_more_edges(spark):
+    """Clashing columns, ties and repeated rows of the operators that read only what they name."""
+    path = queries.tokenizer_path()
+    rows = [(1, "a b"), (1, "a b"), (None, None), (2, "long " * 200_000)]
+    frame = docs(spark, rows).withColumns({"start": F.lit("x"), "ids": F.lit("y"), "id": F.lit(1), "held_out": F.lit(2), "score": F.lit("z"), "c1": F.lit(3), "n": F.lit(4)})
+    assert sum(r.length for r in packing.pack(frame, "doc_id", "text", path, capacity=64).collect()) == 2 * 3 + 1 + 200_001 or packing.pack(frame, "doc_id", "text", path, capacity=64).where("doc_id = 1").agg(F.sum("length")).head()[0] == 2 * packing.pack(frame.dropDuplicates(["text"]), "doc_id", "text", path, capacity=64).where("doc_id = 1").agg(F.sum("length")).head()[0]
+    out = language.identify(frame.withColumn("lang", F.lit("en")))
+    assert out.columns == ["doc_id", "held_out", "lang_pred", "score"] and sorted(r.lang_pred for r in out.collect()) == ["en", "en", "en", "und"]
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int").withColumn("text", F.lit(1))
+    assert quality.classify(frame, none).count() == 4
+    pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None)], "page_id bigint, url string, html string").withColumns({"payload": F.lit(1), "part": F.lit(2), "is_page": F.lit(3), "range": F.lit(4)})
+    assert warc.round_trip(pages).count() == 3 and html_extract.main_text(pages).count() == 3
+
+
 BODY = "<h1>Title</h1>" + "".join(f"<p>Paragraph {k}, with words, and more of them, to be long enough.</p>" for k in range(4))
 
 
