@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
-from ..plans.lineage import BROADCAST_ROWS, discarded, spread_join, stored
+from ..plans.lineage import discarded, spread, spread_join, stored
 
 BROADCAST_EDGES = 4_000_000
+BATCH_ROWS = 50_000
 #: Rounds of relaxation between two tables.
 HOPS = 3
 MATRIX = "src long, dst long, dur long, dist long"
@@ -118,12 +119,16 @@ def matrix(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = Non
         most = float("inf") if limit is None else limit
 
         def run(frames):
+            rows: list[tuple] = []
             for pdf in frames:
-                for source in pdf["source"].dropna().astype("int64"):
-                    rows = [(source, n, d, m) for n, d, m, _ in graph.value.search(int(source), most)]
-                    yield pd.DataFrame(rows, columns=["src", "dst", "dur", "dist"])
-
-        found = sources.select(F.col("source").cast("bigint")).distinct().mapInPandas(run, MATRIX)
+                for source in pdf["source"].dropna().astype("int64").tolist():
+                    rows += [(source, n, d, m) for n, d, m, _ in graph.value.search(source, most)]
+                    if len(rows) >= BATCH_ROWS:
+                        yield pd.DataFrame(rows, columns=["src", "dst", "dur", "dist"])
+                        rows = []
+            yield pd.DataFrame(rows, columns=["src", "dst", "dur", "dist"]).astype("int64")
+
+        found = spread(sources.select(F.col("source").cast("bigint")).distinct(), "source").mapInPandas(run, MATRIX)
     if targets is not None:
         found = found.join(targets.select(F.col("target").alias("dst")).distinct(), "dst", "left_semi")
     return found.select("src", "dst", "dur", "dist")

@@ -1,9 +1,9 @@
-"""The full route walk: every rule of a route, step by step, route by route in Arrow batches.
+"""The full route walk: every rule of a route, step by step, over sorted partitions in Arrow batches.
 
 `evaluate` tells routes of one load dimension and one window a stop by running sums; this walk tells all others:
 loads of several dimensions, deliveries, pickups and shipments, release times, several windows, breaks, reloads,
 precedence, shift and travel limits, hard or soft. Legs are joined in before (raw seconds and metres from the
-place before, whether that place is another), so a walk needs no matrix, and a route's steps meet in one group.
+place before, whether that place is another), so a walk needs no matrix; a task holds one route's steps at a time.
 Routes are as long as a vehicle's day; the number of routes is not bounded.
 
 A route's verdict is `ok` or its first violation; a violated route has null sums. Null arrays count as empty,
@@ -15,10 +15,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
+from ..plans.lineage import spread
 from .evaluate import UNREACHABLE
 
 FOREVER = 2**62
@@ -273,41 +276,55 @@ def placed(steps: DataFrame, depots: DataFrame, leg: Column, metres: Column) ->
     return rows.join(back, "route_id").withColumns({c: F.when(F.col("is_last"), F.col(c)) for c in ("home_s", "home_m")})
 
 
-def _groups(steps: DataFrame, vehicles: DataFrame):
-    rows = completed(steps, STEP_COLUMNS)
-    return rows.join(completed(vehicles, VEHICLE_COLUMNS), "route_id").groupBy("route_id")
+def _walked(steps: DataFrame, vehicles: DataFrame, soft: Soft | None, answer, schema: str) -> DataFrame:
+    """answer(route_id, steps, sums, verdict, out) rows of every route; routes stand together in sorted partitions and are read one by one, a batch may end within one."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema).fields])
+    both = completed(steps, STEP_COLUMNS).join(completed(vehicles, VEHICLE_COLUMNS), "route_id")
+
+    def run(batches):
+        held: list[dict] = []
+        out: list[tuple] = []
+
+        def finish():
+            try:
+                sums, rows = walk(held, held[0], soft)
+                verdict = "ok"
+            except Violated as e:
+                sums, rows, verdict = None, [], VERDICTS[str(e)]
+            out.extend(answer(held[0]["route_id"], sums, verdict, rows))
+
+        def batch():
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
+            out.clear()
+            return made
+
+        for rows in batches:
+            for row in rows.to_pylist():
+                if held and row["route_id"] != held[0]["route_id"]:
+                    finish()
+                    held = []
+                held.append(row)
+                if len(out) >= 5000:
+                    yield batch()
+        if held:
+            finish()
+        if out:
+            yield batch()
+
+    assert len(names) == len(kinds)
+    return spread(both, "route_id").sortWithinPartitions("route_id", "seq").mapInArrow(run, schema)
 
 
 def routes(steps: DataFrame, vehicles: DataFrame, soft: Soft | None = None) -> DataFrame:
     """route_id, verdict and SUMS of each route of steps(route_id, seq, ...) with its vehicle(route_id, ...)."""
-    names = [c.split()[0] for c in SUMS.split(", ")]
-    whole = {c.split()[0] for c in SUMS.split(", ") if c.endswith("long")}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("seq").to_dict("records")
-        try:
-            sums, _ = walk(rows, rows[0], soft)
-            verdict = "ok"
-        except Violated as e:
-            sums, verdict = dict.fromkeys(names), VERDICTS[str(e)]
-        out = pd.DataFrame([{"route_id": rows[0]["route_id"], "verdict": verdict, **sums}])
-        return out.astype({c: "Int64" if c in whole else "float64" for c in names})
-
-    return _groups(steps, vehicles).applyInPandas(run, f"route_id long, verdict string, {SUMS}")
+    none = (None,) * len(SUMS.split(", "))
+    return _walked(steps, vehicles, soft, lambda route, sums, verdict, rows: [(route, verdict, *(tuple(sums.values()) if sums else none))], f"route_id long, verdict string, {SUMS}")
 
 
 def steps_of(steps: DataFrame, vehicles: DataFrame, soft: Soft | None = None) -> DataFrame:
     """STEPS of each route that keeps its rules: arrival is the service's start, waits are those for windows, without release waits."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("seq").to_dict("records")
-        try:
-            _, out = walk(rows, rows[0], soft)
-        except Violated:
-            out = []
-        return pd.DataFrame([(rows[0]["route_id"], *x) for x in out], columns=[c.split()[0] for c in STEPS.split(", ")]).astype({"job": "Int64"})
-
-    return _groups(steps, vehicles).applyInPandas(run, STEPS)
+    return _walked(steps, vehicles, soft, lambda route, sums, verdict, rows: [(route, *x) for x in rows], STEPS)
 
 
 def ruled(found: DataFrame, rules: dict[str, tuple[Column, Column | None]]) -> DataFrame:

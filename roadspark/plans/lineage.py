@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 _OWN: list[str] = []
 #: Rows that may be broadcast; beyond it joins are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Rows of narrow tables that a file should have at least.
+FILE_ROWS = 50_000
 #: A key is hot if it holds a HOT-th of all rows.
 HOT = 1000
 
@@ -46,9 +48,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df written to the shared folder and read back; of a table of `rows` at most that are known to be few no more files are made than FILE_ROWS asks for."""
     path = scratch(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     df.write.mode("overwrite").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_path = path
@@ -65,8 +69,10 @@ def discarded(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, columns: list[str]) -> DataFrame:
-    """left inner-joined with right, which has one row a key, its count n and columns; keys of a HOT-th of total rows of left are broadcast."""
+def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, columns: list[str], rows: int | None = None) -> DataFrame:
+    """left inner-joined with right, which has one row a key, its count n and columns; keys of a HOT-th of total rows of left are broadcast, or all of right where it is known to have few rows."""
+    if rows is not None and rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right.select(key, *columns)), key).select(*left.columns, *columns)
     hot = right.where(F.col("n") * HOT >= total).select(key, *[F.col(c).alias(f"hot_{c}") for c in columns])  # HOT rows at most
     rest = right.where(F.col("n") * HOT < total).select(F.col(key).alias("rest_key"), *columns)
     both = left.join(F.broadcast(hot), key, "left")
