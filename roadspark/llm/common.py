@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.lineage import BROADCAST_ROWS, discarded, scratch, stored
 
-__all__ = ["ASCII_SPACE", "BROADCAST_ROWS", "LOWER", "cut", "discarded", "hash_runs", "mix", "numbered", "row_blocks", "scratch", "stored", "table", "text_buffers"]
+__all__ = ["ASCII_SPACE", "BROADCAST_ROWS", "LOWER", "cut", "discarded", "hash_runs", "mix", "numbered", "released", "row_blocks", "scratch", "stored", "table", "text_buffers"]
 _U64 = np.uint64
 
 
@@ -47,15 +49,29 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_blocks(offsets: np.ndarray, most: int):
-    """Ranges of rows of at most `most` bytes together; a longer row stands alone. Arrow's unused memory goes back first."""
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # other C libraries give memory back by themselves
+    _TRIM = None
+
+
+def released() -> None:
+    """Gives memory that is not used any more back to the machine, for workers that wait or do something else next."""
     pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def row_blocks(offsets: np.ndarray, most: int):
+    """Ranges of rows of at most `most` bytes together; a longer row stands alone. Unused memory goes back before and after."""
+    released()
     at, n = 0, len(offsets) - 1
     while at < n:
         end = int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1
         end = min(max(end, at + 1), n)
         yield at, end
         at = end
+    released()
 
 
 def cut(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

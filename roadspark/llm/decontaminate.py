@@ -37,7 +37,7 @@ WINDOW = 13
 SHARD_WORDS = 1 << 19
 BLOCK_BYTES = 4 << 20
 PATTERN_CHARS = 4 << 20
-#: Bytes of documents that are searched for one block of patterns after another.
+#: Bytes of documents that are searched for one block of patterns after another, where there are several.
 HELD_BYTES = 16 << 20
 SAMPLE = 16
 WORD = table(b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256)))
@@ -273,18 +273,20 @@ class Blocks:
     def __init__(self, path: str):
         fs, base = pafs.FileSystem.from_uri(path)
         self.files, self.single = pads.dataset(base, filesystem=fs, format="parquet"), None
+        self.count = self.files.count_rows() if self.files.files else 0
 
     def __iter__(self):
         if self.single is not None:
             yield self.single
             return
-        count, last = 0, None
-        for batch in self.files.to_batches(columns=["block"], batch_size=1, batch_readahead=1, fragment_readahead=1) if self.files.files else ():
+        if not self.count:
+            return
+        for batch in self.files.to_batches(columns=["block"], batch_size=1, batch_readahead=1, fragment_readahead=1):
             for raw in batch.column(0):
-                last, count = pickle.loads(raw.as_buffer()), count + 1
-                yield last
-        if count == 1:
-            self.single = last
+                block = pickle.loads(raw.as_buffer())
+                if self.count == 1:
+                    self.single = block
+                yield block
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -327,7 +329,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
-            if size >= HELD_BYTES:
+            if size >= HELD_BYTES or blocks.count <= 1:
                 yield from searched(held, blocks)
                 held, size = [], 0
         if held:

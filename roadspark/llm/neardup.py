@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import spread_join
-from .common import ASCII_SPACE, BROADCAST_ROWS, LOWER, cut, discarded, hash_runs, mix, numbered, row_blocks, stored, text_buffers
+from .common import ASCII_SPACE, BROADCAST_ROWS, LOWER, cut, discarded, hash_runs, mix, numbered, released, row_blocks, stored, text_buffers
 
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
@@ -161,20 +161,18 @@ def shared_counts(sets_a: list[np.ndarray], sets_b: list[np.ndarray], pairs: tup
     return counts[i, j].astype(np.int64)
 
 
-def _tops(up: DataFrame, name: str) -> DataFrame:
-    """node and top: the end of each node's way by up(node, at), which leads to smaller nodes or stays; pointers double their reach each round."""
-    up = stored(up, name)
-    total = up.count()
+def _tops(up: DataFrame, total: int, name: str) -> DataFrame:
+    """node and top: the end of each of total nodes' ways by up(node, at), which leads to smaller nodes or stays; pointers double their reach each round."""
     while True:
         sizes = up.groupBy("at").agg(F.count("*").alias("n"))
         ahead = sizes.join(up.select(F.col("node").alias("at"), F.col("at").alias("top")), "at")
-        now = stored(spread_join(up, ahead, "at", total, ["top"]), name)
+        now = stored(spread_join(up.select("node", "at"), ahead, "at", total, ["top"], total), name, total)
         moved = not now.where("top <> at").isEmpty()
         discarded(up)
         if not moved:
-            return now.select("node", "top")
-        up = stored(now.select("node", F.col("top").alias("at")), name)
-        discarded(now)
+            return now
+        up = now.select("node", F.col("top").alias("at"))
+        up._stored_path = now._stored_path
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -187,21 +185,23 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     rounds = []
     while (total := now.count()) > 0:
         ends = now.select(F.col("b").alias("node"), F.col("a").alias("other")).union(now.select("a", "b"))
-        nodes = stored(ends.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("at"), F.count("*").alias("n")), f"{name}-nodes")
-        tops = stored(_tops(nodes.select("node", "at"), name).join(nodes.select("node", "n"), "node"), f"{name}-tops")
-        rounds.append(tops)
+        nodes = stored(ends.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("at"), F.count("*").alias("n")), f"{name}-nodes", 2 * total)
+        count = nodes.count()
+        first = nodes.select("node", "at")
+        tops = stored(_tops(first, count, name).select("node", "top").join(nodes.select("node", "n"), "node"), f"{name}-tops", count)
+        rounds.append((tops, count))
         by = lambda side: tops.select(F.col("node").alias(side), F.col("top").alias(f"{side}_top"), "n")  # noqa: B023, E731
-        drawn = spread_join(spread_join(now, by("a"), "a", total, ["a_top"]), by("b"), "b", total, ["b_top"])
-        new = stored(drawn.where("a_top <> b_top").select(F.least("a_top", "b_top").alias("a"), F.greatest("a_top", "b_top").alias("b")).distinct(), f"{name}-edges")
+        drawn = spread_join(spread_join(now, by("a"), "a", total, ["a_top"], count), by("b"), "b", total, ["b_top"], count)
+        new = stored(drawn.where("a_top <> b_top").select(F.least("a_top", "b_top").alias("a"), F.greatest("a_top", "b_top").alias("b")).distinct(), f"{name}-edges", total)
         discarded(now, nodes)
         now = new
     if not rounds:
         return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    labels = rounds[-1].select("node", F.col("top").alias("label"))
-    for tops in reversed(rounds[:-1]):
+    labels = rounds[-1][0].select("node", F.col("top").alias("label"))
+    for tops, count in reversed(rounds[:-1]):
         sizes = tops.groupBy(F.col("top").alias("at")).agg(F.count("*").alias("n")).join(labels.select(F.col("node").alias("at"), "label"), "at", "left")
         own = sizes.select("at", F.coalesce("label", "at").alias("label"), "n")
-        labels = stored(spread_join(tops.select("node", F.col("top").alias("at")), own, "at", tops.count(), ["label"]).select("node", "label"), name)
+        labels = stored(spread_join(tops.select("node", F.col("top").alias("at")), own, "at", count, ["label"], count).select("node", "label"), name, count)
     return labels
 
 
@@ -239,6 +239,7 @@ def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
                         roots[u] = v
                         out[0].append(int(node[p]))
                         out[1].append(int(node[q]))
+        released()
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return tiles.groupBy("tile", "i", "j").applyInArrow(run, "a long, b long")

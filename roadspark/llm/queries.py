@@ -12,13 +12,14 @@ from . import decontaminate, html_extract, language, neardup, packing, pii, qual
 PREDICTED = 0.3
 
 
-#: Rows of long texts that travel to Python at once: workers hold a few copies of a batch.
-BATCH_ROWS = 1000
+#: Rows and bytes of texts that travel to Python at once: workers hold a few copies of a batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; from now on the session sends rows to Python in batches of BATCH_ROWS."""
+    """A table; from now on the session, which plans a query only when it runs, sends rows to Python in batches of BATCH_ROWS and BATCH_BYTES at most."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

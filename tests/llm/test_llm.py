@@ -475,6 +475,7 @@ def components_by_hand(texts, k, percent, raw=False):
 def test_near_duplicates(spark, k, percent, hot, monkeypatch):
     monkeypatch.setattr(neardup, "TILE", 16)
     monkeypatch.setattr(lineage, "HOT", hot)  # 1000: all keys are hot, 1: next to none
+    monkeypatch.setattr(lineage, "BROADCAST_ROWS", 10**6 if hot > 1 else 0)
     rnd = random.Random(k)
     word = lambda: "w" + str(rnd.randint(0, 400))
     base = [[word() for _ in range(120)] for _ in range(4)]
@@ -514,9 +515,11 @@ def test_near_duplicates_in_a_large_cluster(spark, monkeypatch):
     assert got == components_by_hand(texts, 3, 85)
 
 
-@pytest.mark.parametrize("hot", [1, 1000])
-def test_components_against_a_walk(spark, hot, monkeypatch):
+@pytest.mark.parametrize("hot,few", [(1, 0), (1000, 0), (1000, 10**6)])
+def test_components_against_a_walk(spark, hot, few, monkeypatch):
     monkeypatch.setattr(lineage, "HOT", hot)
+    monkeypatch.setattr(lineage, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(lineage, "FILE_ROWS", 20)
     rnd = random.Random(hot)
     edges = [(k, k + 1) for k in range(1000, 1040)] + [(2000 + rnd.randrange(60), 2000 + rnd.randrange(60)) for _ in range(45)] + [(3000 - k, 3000) for k in range(1, 30)] + [(3100, 3100 + k) for k in range(1, 30)] + [(2999, 3105), (9, 9)]
     label = {x: x for e in edges for x in e}
