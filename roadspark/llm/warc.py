@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 from .common import scratch, stored
 
 HOT = 1000
-RANGES = 1 << 16
+RANGES = 1 << 14
+#: Parts a task of the sort takes on the average, so that tasks even out.
+PARTS = 4
 SPREAD = 64
 ROLL_BYTES = 32 << 20
 LEAST_BYTES = 1000
@@ -142,7 +144,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, least: in
     first = rest.select("page_id", F.lit(0).alias("is_page"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "payload_digest", "response_id", F.lit(False).alias("spread"))
     sizes = pages.select(F.col("page_id").cast("long").alias("page_id"), (F.octet_length(F.coalesce("html", F.lit(""))) + 100).alias("bytes"))
     count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    both = parts(rows.unionByName(first), sizes, count).drop("spread")  # a page's marks stand before it, so that payloads move once
+    both = parts(rows.unionByName(first), sizes, PARTS * count).drop("spread")  # a page's marks stand before it, so that payloads move once
     ranged = both.repartitionByRange(count, "part").sortWithinPartitions("part", "page_id", "payload_digest", "is_page", "url")
     ranged = ranged.select("part", "page_id", "is_page", "url", "payload", "payload_digest", "response_id")
 
