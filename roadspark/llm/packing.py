@@ -26,8 +26,8 @@ from .common import ASCII_SPACE, LOWER, cut, hash_runs, row_blocks, table, text_
 
 CAPACITY = 4096
 WINDOW = 1 << 20
-BLOCK = 4 << 20
-CACHED = 2_000_000
+BLOCK = 1 << 20
+CACHED = 500_000
 LETTER, STOP = table(b"abcdefghijklmnopqrstuvwxyz"), table(b".,")
 _TOKENIZERS: dict = {}
 

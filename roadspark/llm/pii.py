@@ -35,6 +35,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SIGNAL = table(b"0123456789@")
 CONTEXT = 3
+#: Emissions that a worker keeps.
+CACHED = 20_000
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 
 #: Phrases of the labelled table: {} is a slot for the forms of its list; several phrases share a line.
@@ -188,13 +190,12 @@ class Field:
         self.names, self.weights, self.moves, self.cache = names, weights, moves, {}
 
     def emission(self, words: list[str], i: int) -> np.ndarray:
-        key = tuple(features(words, i))
+        key = tuple(k for f in features(words, i) if (k := self.names.get(f)) is not None)
         found = self.cache.get(key)
         if found is None:
-            if len(self.cache) > 50_000:
+            if len(self.cache) >= CACHED:
                 self.cache.clear()
-            own = [self.names[f] for f in key if f in self.names]
-            found = self.cache[key] = self.weights[own].sum(axis=0)
+            found = self.cache[key] = self.weights[list(key)].sum(axis=0)
         return found
 
     def decode(self, chains: list[list[np.ndarray]]) -> list[list[int]]:
