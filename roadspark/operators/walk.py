@@ -255,12 +255,13 @@ def completed(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.select("route_id", *(["seq"] if "seq" in have else []), *[(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()])
 
 
-def placed(steps: DataFrame, depots: DataFrame, leg: Column, metres: Column) -> DataFrame:
+def placed(steps: DataFrame, depots: DataFrame, leg: Column, metres: Column, first_moves: bool = False) -> DataFrame:
     """steps(route_id, seq, kind, lat, lon, ...) with raw_s, raw_m, moved and, at each route's last step, home_s and home_m.
 
     leg and metres are expressions over from_lat, from_lon, to_lat and to_lon. Reloads are at the depot; a route
     begins at its depot's start or else its end, and ends at its end or else its start; without either its first
-    step has no leg.
+    step has no leg. With first_moves a route's first step counts as moved even where it is at the depot, as in
+    `evaluate.legs`.
     """
     w = Window.partitionBy("route_id").orderBy("seq")
     have = set(depots.columns)
@@ -271,7 +272,9 @@ def placed(steps: DataFrame, depots: DataFrame, leg: Column, metres: Column) ->
     rows = rows.withColumns({"to_lat": here("lat"), "to_lon": here("lon")})
     before = lambda c: F.when(F.lag("seq").over(w).isNull(), F.col(f"start_{c}")).otherwise(F.lag(f"to_{c}").over(w))
     rows = rows.withColumns({"from_lat": before("lat"), "from_lon": before("lon"), "is_last": F.lead("seq").over(w).isNull()})
-    rows = rows.withColumns({"raw_s": leg, "raw_m": metres, "moved": F.coalesce((F.col("from_lat") != F.col("to_lat")) | (F.col("from_lon") != F.col("to_lon")), F.lit(True))})
+    other = (F.col("from_lat") != F.col("to_lat")) | (F.col("from_lon") != F.col("to_lon"))
+    moved = F.coalesce(other | F.lag("seq").over(w).isNull(), F.lit(True)) if first_moves else F.coalesce(other, F.lit(True))
+    rows = rows.withColumns({"raw_s": leg, "raw_m": metres, "moved": moved})
     back = rows.where("is_last").drop("from_lat", "from_lon").withColumnsRenamed({"to_lat": "from_lat", "to_lon": "from_lon"}).withColumns({"to_lat": F.col("end_lat"), "to_lon": F.col("end_lon")}).select("route_id", leg.alias("home_s"), metres.alias("home_m"))
     return rows.join(back, "route_id").withColumns({c: F.when(F.col("is_last"), F.col(c)) for c in ("home_s", "home_m")})
 
