@@ -12,9 +12,13 @@ then to the smaller predecessor. Null ends or durations are no edge; negative du
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
+from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ from ..plans.lineage import discarded, spread, spread_join, stored
 
 BROADCAST_EDGES = 4_000_000
 BATCH_ROWS = 50_000
+#: Pairs of a source and a node that a task holds at a time, and more than any weight.
+CELLS, FAR = 4_000_000, 2**62
 #: Rounds of relaxation between two tables.
 HOPS = 3
 MATRIX = "src long, dst long, dur long, dist long"
@@ -62,52 +68,197 @@ def reach(edges: DataFrame, sources: DataFrame, limit: int | None = None) -> Dat
 
 
 class Graph:
-    """Forward arrays of a graph whose edges were checked to be few."""
+    """Forward arrays of a graph whose edges were checked to be few; they take 20 bytes an edge where numbers are small."""
 
-    def __init__(self, edges: pd.DataFrame):
-        names = np.unique(np.concatenate([edges["src"].to_numpy(), edges["dst"].to_numpy()])) if len(edges) else np.zeros(0, np.int64)
-        src, dst = np.searchsorted(names, edges["src"]), np.searchsorted(names, edges["dst"])
-        order = np.lexsort((dst, src))
-        self.names, self.head = names, np.searchsorted(src[order], np.arange(len(names) + 1))
-        self.to, self.dur, self.dist = dst[order].tolist(), edges["dur"].to_numpy()[order].tolist(), edges["dist"].fillna(0).to_numpy()[order].astype(np.int64).tolist()
-        if any(w < 0 for w in self.dur):
+    def __init__(self, edges: pd.DataFrame | dict):
+        src, dst, dur = (np.asarray(edges[c]) for c in ("src", "dst", "dur"))
+        dist = np.asarray(edges["dist"].fillna(0) if isinstance(edges, pd.DataFrame) else edges["dist"])
+        if len(dur) and dur.min() < 0:
             raise ValueError("a negative duration")
-        self.head = self.head.tolist()
-        self.place = {int(n): i for i, n in enumerate(names)}
+        self.names = np.unique(np.concatenate([np.unique(src), np.unique(dst)])).astype(np.int64)
+        self._from(np.searchsorted(self.names, src).astype(np.int32), np.searchsorted(self.names, dst).astype(np.int32), dur, dist)
+
+    def _from(self, src: np.ndarray, dst: np.ndarray, dur: np.ndarray, dist: np.ndarray) -> None:
+        order = np.lexsort((dst, src))
+        self.head = np.searchsorted(src[order], np.arange(len(self.names) + 1)).astype(np.int32)
+        self.to, self.dur, self.dist = dst[order], narrow(dur[order]), narrow(dist[order])
+
+    def __getstate__(self):
+        return {k: self.__dict__[k] for k in ("names", "head", "to", "dur", "dist")}
+
+    @cached_property
+    def _fast(self) -> tuple:
+        """Views that give plain numbers."""
+        return tuple(memoryview(np.ascontiguousarray(x)) for x in (self.names, self.head, self.to, self.dur, self.dist))
+
+    @cached_property
+    def back(self) -> Graph:
+        """The graph with every edge turned round."""
+        out = Graph.__new__(Graph)
+        out.names = self.names
+        out._from(self.to, np.repeat(np.arange(len(self.names), dtype=np.int32), np.diff(self.head)), self.dur, self.dist)
+        return out
+
+    def at(self, node: int) -> int | None:
+        """A node's place, or None."""
+        names = self._fast[0]
+        k = bisect_left(names, node)
+        return k if k < len(names) and names[k] == node else None
 
     def ahead(self, node: int):
         """The nodes one edge ahead and the edges' durations."""
-        at = self.place.get(node)
+        names, head, to, dur, _ = self._fast
+        at = self.at(node)
         if at is not None:
-            for k in range(self.head[at], self.head[at + 1]):
-                yield int(self.names[self.to[k]]), self.dur[k]
+            for k in range(head[at], head[at + 1]):
+                yield names[to[k]], dur[k]
 
     def search(self, source: int, limit: float = float("inf"), stop: int | None = None):
         """Settled (node, dur, dist, parent), nearest first."""
-        if source not in self.place:
+        start = self.at(source)
+        if start is None:
             yield source, 0, 0, None
             return
-        heap, done = [(0, 0, -1, self.place[source])], set()
+        names, head, to, durs, dists = self._fast
+        heap, done = [(0, 0, -1, start)], set()
         while heap:
             dur, dist, parent, node = heapq.heappop(heap)
             if node in done:
                 continue
             done.add(node)
-            yield int(self.names[node]), dur, dist, None if parent < 0 else int(self.names[parent])
+            yield names[node], dur, dist, None if parent < 0 else names[parent]
             if node == stop:
                 return
-            for k in range(self.head[node], self.head[node + 1]):
-                far = dur + self.dur[k]
-                if self.to[k] not in done and far <= limit:
-                    heapq.heappush(heap, (far, dist + self.dist[k], node, self.to[k]))
+            for k in range(head[node], head[node + 1]):
+                far = dur + durs[k]
+                if to[k] not in done and far <= limit:
+                    heapq.heappush(heap, (far, dist + dists[k], node, to[k]))
+
+    def region(self, starts: np.ndarray, limit: int) -> tuple[np.ndarray, int]:
+        """The places that any of starts (places) reaches within limit, in order, and the rounds that took."""
+        best = self._scratch[0]
+        best[starts] = 0
+        seen, front, rounds = [starts], starts, 0
+        while len(front):
+            e, count = _edges_of(self.head, front)
+            far, to = np.repeat(best[front], count) + self.dur[e], self.to[e]
+            keep = (far <= limit) & (far < best[to])
+            to, far = to[keep], far[keep]
+            np.minimum.at(best, to, far)
+            front, rounds = np.unique(to), rounds + 1
+            seen.append(front)
+        found = np.unique(np.concatenate(seen))
+        best[found] = FAR
+        return found, rounds
+
+    @cached_property
+    def _scratch(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each place the least duration, and its number in a region; as they were after each use."""
+        return np.full(len(self.names), FAR, np.int64), np.full(len(self.names), -1, np.int32)
+
+    def within(self, starts: np.ndarray, region: np.ndarray, limit: int):
+        """Of each of starts (places) to each of region: weights in one array, row by row, FAR where limit is passed, the number that divides a weight into dur and dist, and the region's own edges (head, to, weights). None where such weights might not fit into 64 bits."""
+        local = self._scratch[1]
+        local[region] = np.arange(len(region), dtype=np.int32)
+        e, count = _edges_of(self.head, region)
+        to, at = local[self.to[e]], np.repeat(np.arange(len(region)), count)
+        firsts = local[starts].astype(np.int64)
+        local[region] = -1
+        keep = to >= 0
+        e, to, at = e[keep], to[keep].astype(np.int64), at[keep]
+        unit = int(self.dist[e].max(initial=0)) * len(region) + 1  # more than any path's distance
+        if (limit + int(self.dur[e].max(initial=0)) + 2) * unit >= FAR or self.dist[e].min(initial=0) < 0:
+            return None
+        weight = self.dur[e].astype(np.int64) * unit + self.dist[e]
+        head, width = np.searchsorted(at, np.arange(len(region) + 1)), len(region)
+        best, flag = np.full(len(starts) * width, FAR, np.int64), np.zeros(len(starts) * width, bool)
+        front = np.arange(len(starts)) * width + firsts
+        best[front] = 0
+        while len(front):
+            node = front % width
+            e, count = _edges_of(head, node)
+            far, cell = np.repeat(best[front], count) + weight[e], np.repeat(front - node, count) + to[e]
+            keep = (far < best[cell]) & (far < (limit + 1) * unit)
+            far, cell = far[keep], cell[keep]
+            np.minimum.at(best, cell, far)
+            flag[cell] = True
+            front = np.flatnonzero(flag)
+            flag[front] = False
+        return best, unit, (head, to, weight)
+
+    def blocks(self, starts: np.ndarray, limit: int):
+        """starts (places, in order) in blocks that with their regions have CELLS cells at most, as (block, region, rounds); a single start may have more."""
+        k, size = 0, 256
+        while k < len(starts):
+            block = starts[k : k + size]
+            region, rounds = self.region(block, limit)
+            if len(block) * len(region) > CELLS and len(block) > 1:
+                size = max(1, min(len(block) // 2, CELLS // len(region)))
+                continue
+            yield block, region, rounds
+            k += len(block)
+            if 4 * len(block) * len(region) <= CELLS:
+                size = min(2 * size, 4096)
+
+    def reached(self, sources: np.ndarray, limit: int):
+        """All that sources (nodes) reach within limit, in arrays src, dst, dur, dist."""
+        sources = np.unique(sources)
+        place = np.searchsorted(self.names, sources)
+        known = np.isin(sources, self.names, assume_unique=True)
+        strange = sources[~known]
+        if len(strange):
+            none = np.zeros(len(strange), np.int64)
+            yield strange, strange, none, none
+        for block, region, rounds in self.blocks(place[known], limit):
+            found = self.within(block, region, limit) if rounds * 40 <= len(block) * len(region) else None
+            if found is None:  # few cells or huge weights
+                for at in block:
+                    name = int(self.names[at])
+                    rows = np.array([(n, d, m) for n, d, m, _ in self.search(name, limit)], np.int64)
+                    yield np.full(len(rows), name), rows[:, 0], rows[:, 1], rows[:, 2]
+                continue
+            best, unit, _ = found
+            cell = np.flatnonzero(best < FAR)
+            yield self.names[block[cell // len(region)]], self.names[region[cell % len(region)]], best[cell] // unit, best[cell] % unit
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in 32 bits where they fit."""
+    x = x.astype(np.int64, copy=False) if x.dtype.kind != "i" else x
+    return x.astype(np.int32) if len(x) == 0 or -(2**31) <= x.min() and x.max() < 2**31 else x
+
+
+def _edges_of(head: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all edges of nodes, node by node, and how many each has."""
+    first = head[nodes].astype(np.int64)
+    count = head[nodes + 1] - first
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + count, count), count
+
+
+def _arrays(df: DataFrame) -> list[np.ndarray]:
+    """The whole-number columns of a table as arrays; they come to the driver as bytes, a few a batch of rows, not as rows."""
+
+    def run(batches):
+        for b in batches:
+            cols = [narrow(c.fill_null(0).to_numpy(zero_copy_only=False)) for c in b.columns]
+            if b.num_rows:
+                yield pa.RecordBatch.from_pydict({f"c{k}": pa.array([bytes([c.itemsize]) + c.tobytes()], pa.binary()) for k, c in enumerate(cols)})
+
+    names = [f"c{k}" for k in range(len(df.columns))]
+    rows = df.select([F.col(c).cast("bigint") for c in df.columns]).mapInArrow(run, ", ".join(f"{c} binary" for c in names)).collect()
+    read = lambda x: np.frombuffer(x, f"i{x[0]}", offset=1)
+    return [np.concatenate([np.zeros(0, np.int32), *[read(r[c]) for r in rows]]) for c in names]
 
 
 def _shared(edges: DataFrame):
     """The graph as a broadcast, or None where it is too large."""
-    edges = clean(edges)
-    if edges.limit(BROADCAST_EDGES + 1).count() > BROADCAST_EDGES:
+    edges = stored(clean(edges).select("src", "dst", "dur", "dist"), "graph")
+    if edges.count() > BROADCAST_EDGES:
         return None
-    return edges.sparkSession.sparkContext.broadcast(Graph(edges.toPandas()))
+    graph = Graph(dict(zip(edges.columns, _arrays(edges))))
+    discarded(edges)
+    return edges.sparkSession.sparkContext.broadcast(graph)
 
 
 def matrix(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, limit: int | None = None) -> DataFrame:
@@ -116,19 +267,25 @@ def matrix(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = Non
     if graph is None:
         found = reach(clean(edges), sources, limit).select(F.col("source").alias("src"), F.col("node").alias("dst"), "dur", "dist")
     else:
-        most = float("inf") if limit is None else limit
-
-        def run(frames):
-            rows: list[tuple] = []
-            for pdf in frames:
-                for source in pdf["source"].dropna().astype("int64").tolist():
-                    rows += [(source, n, d, m) for n, d, m, _ in graph.value.search(source, most)]
-                    if len(rows) >= BATCH_ROWS:
-                        yield pd.DataFrame(rows, columns=["src", "dst", "dur", "dist"])
-                        rows = []
-            yield pd.DataFrame(rows, columns=["src", "dst", "dur", "dist"]).astype("int64")
-
-        found = spread(sources.select(F.col("source").cast("bigint")).distinct(), "source").mapInPandas(run, MATRIX)
+
+        def run(batches):
+            for batch in batches:
+                sources = batch.column(0).to_numpy(zero_copy_only=False)
+                if limit is not None:
+                    for arrays in graph.value.reached(sources, limit):
+                        for k in range(0, len(arrays[0]), BATCH_ROWS):
+                            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + BATCH_ROWS].astype(np.int64)) for x in arrays], names=["src", "dst", "dur", "dist"])
+                    continue
+                for source in sources.tolist():
+                    found = graph.value.search(source)
+                    while rows := list(islice(found, BATCH_ROWS)):
+                        n, d, m, _ = zip(*rows)
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([source] * len(n), n, d, m)], names=["src", "dst", "dur", "dist"])
+
+        own = sources.select(F.col("source").cast("bigint")).where("source IS NOT NULL").distinct()
+        tasks = 2 * int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # neighbours by number are often neighbours on the road, and share their region
+        found = own.repartitionByRange(tasks, "source").sortWithinPartitions("source").mapInArrow(run, MATRIX)
     if targets is not None:
         found = found.join(targets.select(F.col("target").alias("dst")).distinct(), "dst", "left_semi")
     return found.select("src", "dst", "dur", "dist")
@@ -145,25 +302,26 @@ def nearest_customers(edges: DataFrame, customers: DataFrame, k: int) -> DataFra
     if graph is None or customers.limit(BROADCAST_EDGES + 1).count() > BROADCAST_EDGES:
         found = matrix(edges, customers.select(F.col("node").alias("source")), customers.select(F.col("node").alias("target"))).where("src <> dst")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "dst", "rank", "dur", "dist")
-    wanted = customers.sparkSession.sparkContext.broadcast(set(customers.toPandas()["node"].tolist()))
+    wanted = customers.sparkSession.sparkContext.broadcast(np.sort(_arrays(customers.where("node IS NOT NULL"))[0]))
 
     def run(frames):
+        among = set(wanted.value.tolist())
         for pdf in frames:
             rows = []
-            for source in pdf["node"]:
+            for source in pdf["node"].dropna().astype("int64").tolist():
                 hits, last = [], None
-                for n, d, m, _ in graph.value.search(int(source)):
+                for n, d, m, _ in graph.value.search(source):
                     if last is not None and d > last:
                         break
-                    if n != source and n in wanted.value:
-                        hits.append((int(source), n, d, m))
+                    if n != source and n in among:
+                        hits.append((source, n, d, m))
                         if len(hits) == k:
                             last = d  # ties of the k-th may still come
                 hits.sort(key=lambda x: (x[2], x[1]))
                 rows += [(s, n, r + 1, d, m) for r, (s, n, d, m) in enumerate(hits[:k])]
             yield pd.DataFrame(rows, columns=["src", "dst", "rank", "dur", "dist"])
 
-    return customers.mapInPandas(run, "src long, dst long, rank int, dur long, dist long")
+    return spread(customers, "node").mapInPandas(run, "src long, dst long, rank int, dur long, dist long")
 
 
 def via_hubs(forward: DataFrame, backward: DataFrame) -> DataFrame:
@@ -183,8 +341,8 @@ def path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         for pdf in frames:
             out = []
             for src, dst in zip(pdf["src"], pdf["dst"]):
-                parents, total = {}, None
-                for n, d, m, p in graph.value.search(int(src), stop=graph.value.place.get(int(dst))):
+                parents, total, stop = {}, None, graph.value.at(int(dst))
+                for n, d, m, p in graph.value.search(int(src), stop=stop) if stop is not None or src == dst else ():
                     parents[n] = p
                     if n == dst:
                         total = (d, m)
@@ -199,7 +357,8 @@ def path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
             frame = pd.DataFrame(out, columns=["src", "dst", "nodes", "dur", "dist"])
             yield frame.astype({"dur": "Int64", "dist": "Int64"})
 
-    return pairs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).where("src IS NOT NULL AND dst IS NOT NULL").mapInPandas(run, "src long, dst long, nodes array<long>, dur long, dist long")
+    own = pairs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).where("src IS NOT NULL AND dst IS NOT NULL")
+    return spread(own, "src", "dst").mapInPandas(run, "src long, dst long, nodes array<long>, dur long, dist long")
 
 
 def _path_by_joins(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -230,16 +389,17 @@ def hub_labels(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
 
 def distance(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """src, dst and dur of pairs(src, dst) by searches from both ends that meet; null where there is no way."""
-    graph, back = _shared(edges), _shared(transpose(edges))
-    if graph is None or back is None:
+    graph = _shared(edges)
+    if graph is None:
         return path(edges, pairs).select("src", "dst", "dur")
 
     def run(frames):
         for pdf in frames:
-            out = [(int(a), int(b), meet(graph.value, back.value, int(a), int(b))) for a, b in zip(pdf["src"], pdf["dst"])]
+            out = [(int(a), int(b), meet(graph.value, graph.value.back, int(a), int(b))) for a, b in zip(pdf["src"], pdf["dst"])]
             yield pd.DataFrame(out, columns=["src", "dst", "dur"]).astype({"dur": "Int64"})
 
-    return pairs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).where("src IS NOT NULL AND dst IS NOT NULL").mapInPandas(run, "src long, dst long, dur long")
+    own = pairs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).where("src IS NOT NULL AND dst IS NOT NULL")
+    return spread(own, "src", "dst").mapInPandas(run, "src long, dst long, dur long")
 
 
 def meet(graph: Graph, back: Graph, a: int, b: int) -> int | None:
@@ -300,24 +460,24 @@ def alternatives(edges: DataFrame, pairs: DataFrame, stretch: float = 0.25, shar
     Only nodes whose way from src and to dst together keeps within the stretch are looked at.
     """
     pairs = pairs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).distinct()
-    graph, back = _shared(edges), _shared(transpose(edges))
+    graph = _shared(edges)
     names = [c.split()[0] for c in WAYS.split(", ")]
-    if graph is None or back is None:
+    if graph is None:
         return _alternatives_by_joins(clean(edges), pairs, stretch, share, most)
 
     def run(frames):
         for pdf in frames:
             out = []
             for src, dst in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
-                best = meet(graph.value, back.value, src, dst)
+                best = meet(graph.value, graph.value.back, src, dst)
                 if best is None:
                     continue
-                down = {n: (d, p) for n, d, _, p in back.value.search(dst, best * (1 + stretch))}
+                down = {n: (d, p) for n, d, _, p in graph.value.back.search(dst, best * (1 + stretch))}
                 rows = [(n, d, p, *down[n]) for n, d, _, p in graph.value.search(src, best * (1 + stretch)) if n in down and d + down[n][0] <= best * (1 + stretch)]
                 out += [(src, dst, *way) for way in _ways(rows, src, dst, stretch, share, most)]
             yield pd.DataFrame(out, columns=names)
 
-    return pairs.mapInPandas(run, WAYS)
+    return spread(pairs, "src", "dst").mapInPandas(run, WAYS)
 
 
 def _alternatives_by_joins(edges: DataFrame, pairs: DataFrame, stretch: float, share: float, most: int) -> DataFrame:
