@@ -246,9 +246,13 @@ def _arrays(df: DataFrame) -> list[np.ndarray]:
                 yield pa.RecordBatch.from_pydict({f"c{k}": pa.array([bytes([c.itemsize]) + c.tobytes()], pa.binary()) for k, c in enumerate(cols)})
 
     names = [f"c{k}" for k in range(len(df.columns))]
-    rows = df.select([F.col(c).cast("bigint") for c in df.columns]).mapInArrow(run, ", ".join(f"{c} binary" for c in names)).collect()
-    read = lambda x: np.frombuffer(x, f"i{x[0]}", offset=1)
-    return [np.concatenate([np.zeros(0, np.int32), *[read(r[c]) for r in rows]]) for c in names]
+    rows = df.select([F.col(c).cast("bigint") for c in df.columns]).mapInArrow(run, ", ".join(f"{c} binary" for c in names)).toArrow()
+    read = lambda x: np.frombuffer(x.as_buffer(), f"i{x.as_buffer()[0]}", offset=1)
+    out = []
+    for c in names:
+        out.append(np.concatenate([np.zeros(0, np.int32), *[read(x) for x in rows[c] if x.is_valid]]))
+        rows = rows.drop_columns(c)
+    return out
 
 
 def _shared(edges: DataFrame):

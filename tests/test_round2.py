@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from roadspark.operators import paths
+from roadspark.operators import isochrone, paths
 from roadspark.plans.queries import QUERIES, SQL
 from tests.oracle import same
 
@@ -79,3 +79,22 @@ def test_shared_graph_is_small():
     kept = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert kept < 40 * 2 * n
+
+
+def test_rings_of_areas_cut_by_batches(spark):
+    """Areas that several batches hold, and several in one, have the rings that they have alone."""
+    cells = [(s, c, r, k) for s in range(5) for c in (60, 120) for r in range(s + 2) for k in range(c // 20) if not (s == 3 and r == k == 1)]
+    want = {(s, c, k): [(r * 0.5, x * 0.5) for r, x in ring] for s, c in {x[:2] for x in cells} for k, ring in enumerate(isochrone.trace({x[2:] for x in cells if x[:2] == (s, c)}))}
+    df = spark.createDataFrame(cells, "source bigint, contour int, r bigint, c bigint").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for most in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        got = {(x.source, x.contour, x.ring): [(p.lat, p.lon) for p in x.corners] for x in isochrone.rings(df, 0.5).collect()}
+        assert got == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_isochrones_shuffle_few_times(spark, small):
+    """Cells of a source come from the task that holds its rows, and its rings from one that does."""
+    plan = QUERIES["isochrone_rings"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(source") <= 2
