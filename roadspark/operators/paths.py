@@ -295,6 +295,45 @@ def matrix(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = Non
     return found.select("src", "dst", "dur", "dist")
 
 
+def between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """src, dst, dur and dist of pairs(src, dst), each once; pairs without a way have no row. A source's search ends with its last target."""
+    pairs = pairs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    graph = _shared(edges)
+    if graph is None:
+        return matrix(edges, pairs.select(F.col("src").alias("source"))).join(pairs, ["src", "dst"], "left_semi")
+
+    def run(batches):
+        src, left, rows = None, set(), []
+
+        def found():
+            for n, d, m, _ in graph.value.search(src) if left else ():
+                if n in left:
+                    rows.append((src, n, d, m))
+                    left.discard(n)
+                    if not left:
+                        return
+
+        def batch():
+            made = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["src", "dst", "dur", "dist"])
+            rows.clear()
+            return made
+
+        for b in batches:
+            for a, to in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if a != src:
+                    found()
+                    src, left = a, set()
+                    if len(rows) >= BATCH_ROWS:
+                        yield batch()
+                if to == a or graph.value.at(to) is not None:
+                    left.add(to)
+        found()
+        if rows:
+            yield batch()
+
+    return spread(pairs, "src").sortWithinPartitions("src").mapInArrow(run, MATRIX)
+
+
 def nearest_customers(edges: DataFrame, customers: DataFrame, k: int) -> DataFrame:
     """For each of customers(node) the k nearest others on the network: src, dst, rank, dur, dist.
 

@@ -117,3 +117,18 @@ def test_nearest_of_crowded_places(spark, monkeypatch):
         want = {p: {n + 1: s for n, (_, s) in enumerate(sorted((round(geo.haversine_py(lat, lon, a, b), 3), s) for s, a, b in sites)[:k])} for p, lat, lon in points if lat is not None}
         assert got == want
         assert dict(kept)["sites"] <= k * len(set(spots))
+
+
+def test_ways_between_pairs(spark):
+    """Only the ways asked for are found, each source's search ends with its last: no row of another node leaves a task."""
+    rows = [(a, (a * 7 + k) % 40, 1 + (a * k) % 5, a + k) for a in range(40) for k in range(1, 3)]
+    df = spark.createDataFrame(rows, "src bigint, dst bigint, dur bigint, dist bigint")
+    pairs = [(a, b) for a in range(0, 40, 3) for b in (0, 5, a, 39, 1000)] + [(1000, 1000), (1000, 3), (None, 3)]
+    best = {}
+    for a, b, w, x in rows:
+        if a != b:
+            best[a, b] = min(best.get((a, b), (w, x)), (w, x))
+    flat = [(a, b, *w) for (a, b), w in best.items()]
+    want = {(a, b, *plain(flat, a, 10**6)[b]) for a, b in pairs if a is not None and b in plain(flat, a, 10**6)}
+    got = paths.between(df, spark.createDataFrame(pairs + pairs, "src bigint, dst bigint")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
