@@ -9,18 +9,50 @@ from ..functions.arrays import allows, fits, has_skills
 from ..plans.lineage import stored
 
 
+#: Needs, or matches of needs and kinds, that are broadcast.
+BROADCAST_NEEDS = 50_000
+
+
+def _needed(jobs: DataFrame) -> DataFrame:
+    return jobs.withColumn("need", F.xxhash64(F.sort_array("skills"), "amount")).select("job", "allowed", "need")
+
+
+def _kinds(vehicles: DataFrame) -> DataFrame:
+    return vehicles.withColumn("kind", F.xxhash64(F.sort_array("skills"), "capacity")).select("vehicle", "kind")
+
+
+def _matches(jobs: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """Which kinds of vehicles (skills, capacity) fit which needs (skills, amount): need, kind."""
+    kinds = vehicles.groupBy(F.sort_array("skills").alias("own"), "capacity").agg(F.count("*").alias("n")).withColumn("kind", F.xxhash64("own", "capacity"))
+    needs = jobs.groupBy(F.sort_array("skills").alias("req"), "amount").agg(F.count("*").alias("m")).withColumn("need", F.xxhash64("req", "amount"))
+    return needs.join(F.broadcast(kinds), has_skills(F.col("req"), F.col("own")) & fits(F.col("amount"), F.col("capacity"))).select("need", "kind")
+
+
 def eligible(jobs: DataFrame, vehicles: DataFrame) -> DataFrame:
     """Which vehicles may serve which jobs: skills, allow-lists and capacity.
 
     jobs(job, skills, allowed, amount), vehicles(vehicle, skills, capacity). Vehicles of one kind are checked
     once: a job meets each distinct (skills, capacity), and the vehicles of fitting kinds by equi-join.
     """
-    kinds = vehicles.groupBy(F.sort_array("skills").alias("own"), "capacity").agg(F.count("*").alias("n")).withColumn("kind", F.xxhash64("own", "capacity"))
-    needs = jobs.groupBy(F.sort_array("skills").alias("req"), "amount").agg(F.count("*").alias("m")).withColumn("need", F.xxhash64("req", "amount"))
-    match = needs.join(F.broadcast(kinds), has_skills(F.col("req"), F.col("own")) & fits(F.col("amount"), F.col("capacity"))).select("need", "kind")
-    j = jobs.withColumn("need", F.xxhash64(F.sort_array("skills"), "amount")).select("job", "allowed", "need")
-    v = vehicles.withColumn("kind", F.xxhash64(F.sort_array("skills"), "capacity")).select("vehicle", "kind")
-    return j.join(match, "need").join(v, "kind").where(allows(F.col("allowed"), F.col("vehicle"))).select("job", "vehicle")
+    rows = _needed(jobs).join(_matches(jobs, vehicles), "need").join(_kinds(vehicles), "kind")
+    return rows.where(allows(F.col("allowed"), F.col("vehicle"))).select("job", "vehicle")
+
+
+def eligible_sums(jobs: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """Of eligible()'s pairs, by job: their number (vehicles), the smallest vehicle (first) and the sum of vehicles (total); jobs without any have no row.
+
+    Pairs are made for allow-lists alone: jobs without one take what the vehicles of all fitting kinds come to, summed by need.
+    """
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_NEEDS else df
+    sums = [F.count("*").alias("vehicles"), F.min("vehicle").alias("first"), F.sum("vehicle").alias("total")]
+    more = [F.sum("vehicles").alias("vehicles"), F.min("first").alias("first"), F.sum("total").alias("total")]
+    needed, match = _needed(jobs), stored(_matches(jobs, vehicles), "matches")
+    own = stored(_kinds(vehicles), "kinds")
+    by_need = stored(match.join(own.groupBy("kind").agg(*sums), "kind").groupBy("need").agg(*more), "needs")
+    free = needed.where("allowed IS NULL").join(few(by_need), "need").select("job", "vehicles", "first", "total")
+    listed = needed.where("allowed IS NOT NULL").select("job", "need", F.explode(F.array_distinct("allowed")).alias("vehicle")).join(own, "vehicle")
+    listed = listed.join(few(match), ["need", "kind"], "left_semi").groupBy("job").agg(*sums)
+    return free.unionByName(listed).groupBy("job").agg(*more)
 
 
 def tightened(jobs: DataFrame, reach: DataFrame, soft: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadspark.functions import geo
-from roadspark.operators import isochrone, nearest, paths
+from roadspark.operators import isochrone, nearest, paths, propagate
 from roadspark.plans.queries import QUERIES, SQL
 from tests.oracle import same
 
@@ -132,3 +132,23 @@ def test_ways_between_pairs(spark):
     want = {(a, b, *plain(flat, a, 10**6)[b]) for a, b in pairs if a is not None and b in plain(flat, a, 10**6)}
     got = paths.between(df, spark.createDataFrame(pairs + pairs, "src bigint, dst bigint")).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_eligible_sums_without_pairs(spark):
+    """Numbers by job are those of the pairs, with lists, doubles, empty lists and nulls; plans join no job with all its vehicles."""
+    jobs = [(k, [k % 3] if k % 4 else [], None if k % 5 else [k % 7, k % 7, 3, None], [k % 9]) for k in range(60)] + [(61, [0], [], [1]), (62, [9], None, [1]), (5, [1], None, [2])]
+    fleet = [(k, [k % 3, 5], [k % 6]) for k in range(9)] + [(3, [0, 1], [8])]
+    j = spark.createDataFrame(jobs, "job bigint, skills array<int>, allowed array<bigint>, amount array<bigint>")
+    v = spark.createDataFrame(fleet, "vehicle bigint, skills array<int>, capacity array<bigint>")
+    want = {}
+    for r in propagate.eligible(j, v).collect():
+        want.setdefault(r.job, []).append(r.vehicle)
+    got = {r.job: (r.vehicles, r.first, r.total) for r in propagate.eligible_sums(j, v).collect()}
+    assert got == {k: (len(x), min(x), sum(x)) for k, x in want.items()} and len(got) > 20
+
+
+@pytest.mark.parametrize("name", ["job_eligibility", "unassigned_reason"])
+def test_eligibility_makes_no_pairs(name, spark, small, monkeypatch):
+    """The registered queries never join all jobs with all vehicles that fit."""
+    monkeypatch.setattr(propagate, "eligible", None)
+    assert QUERIES[name](spark, small).count() > 0
