@@ -99,13 +99,18 @@ def block_residuals(parts: DataFrame, regions: DataFrame) -> DataFrame:
     return rows.withColumn("within", F.col("most") <= 5)
 
 
+def shuffled(cells: DataFrame) -> DataFrame:
+    """A table that grows with the cells, for joins: never broadcast, however few bytes its files take (columns of numbers that repeat take a hundredth of what a driver needs for them)."""
+    return cells.hint("merge")
+
+
 def farthest_landmarks(cells: DataFrame, count: int) -> DataFrame:
     """Landmarks by farthest point on symmetrised durations, from one end of the widest pair; ties to the smaller id: block, l, rank. `count` rounds.
 
     cells(block, i, j, dur): blocks are matrices of their own, and all of them take a landmark a round.
     """
     back = cells.select("block", F.col("i").alias("j"), F.col("j").alias("i"), F.col("dur").alias("back"))
-    both = stored(cells.join(back, ["block", "i", "j"]).select("block", "i", "j", F.greatest("dur", "back").alias("far")), "far")
+    both = stored(cells.join(shuffled(back), ["block", "i", "j"]).select("block", "i", "j", F.greatest("dur", "back").alias("far")), "far")
     widest = lambda rows, far: rows.groupBy("block").agg(F.max(F.struct(far, (-F.col("i")).alias("n"))).alias("w")).select("block", (-F.col("w.n")).alias("l"))
     chosen = stored(widest(both, "far").withColumn("rank", F.lit(1)), "landmarks")
     for rank in range(2, count + 1):
@@ -119,7 +124,7 @@ def farthest_landmarks(cells: DataFrame, count: int) -> DataFrame:
 def max_min_landmarks(prior: DataFrame, count: int) -> DataFrame:
     """Landmarks of a broker by block: the place with the largest mean of both ways first, then greedily the farthest from those chosen; ties to the smaller id: block, l, rank."""
     back = prior.select("block", F.col("i").alias("j"), F.col("j").alias("i"), F.col("dur").alias("back"))
-    mean = prior.join(back, ["block", "i", "j"]).select("block", "i", "j", F.floor((F.col("dur") + F.col("back")) / 2).alias("dur"))
+    mean = prior.join(shuffled(back), ["block", "i", "j"]).select("block", "i", "j", F.floor((F.col("dur") + F.col("back")) / 2).alias("dur"))
     return farthest_landmarks(mean, count)
 
 
@@ -164,7 +169,7 @@ def rank_one(cells: DataFrame, regions: DataFrame) -> DataFrame:
     corner = rows.where("i = i0 AND j = j0").select("ci", "cj", F.col("dur").alias("c00"))
     col0 = rows.where("j = j0").select("ci", "cj", "i", F.col("dur").alias("col0"))
     row0 = rows.where("i = i0").select("ci", "cj", "j", F.col("dur").alias("row0"))
-    out = rows.join(corner, ["ci", "cj"]).join(col0, ["ci", "cj", "i"]).join(row0, ["ci", "cj", "j"])
+    out = rows.join(corner, ["ci", "cj"]).join(shuffled(col0), ["ci", "cj", "i"]).join(shuffled(row0), ["ci", "cj", "j"])
     return out.select("i", "j", "dur", (F.col("dur") - (F.col("col0") + F.col("row0") - F.col("c00"))).alias("residual"))
 
 
@@ -211,11 +216,11 @@ def compressed(cells: DataFrame, bridges: tuple = BRIDGES, regions: int = REGION
         some = marks.where(F.col("rank") <= count)
         to = cells.join(some.select("block", F.col("l").alias("j")), ["block", "j"], "left_semi").select("block", "i", F.col("j").alias("l"), F.col("dur").alias("il"))
         off = cells.join(some.select("block", F.col("l").alias("i")), ["block", "i"], "left_semi").select("block", F.col("i").alias("l"), "j", F.col("dur").alias("lj"))
-        base = to.join(off, ["block", "l"]).groupBy("block", "i", "j").agg(F.min(F.col("il") + F.col("lj")).alias("base"))
-        tried.append(cells.join(base, ["block", "i", "j"]).select("block", F.lit(f"bridge-{count}").alias("form"), "i", "j", "base", (F.col("dur") - F.col("base")).alias("residual")))
+        base = to.join(shuffled(off), ["block", "l"]).groupBy("block", "i", "j").agg(F.min(F.col("il") + F.col("lj")).alias("base"))
+        tried.append(cells.join(shuffled(base), ["block", "i", "j"]).select("block", F.lit(f"bridge-{count}").alias("form"), "i", "j", "base", (F.col("dur") - F.col("base")).alias("residual")))
     near = cells.join(marks.where(F.col("rank") <= regions).select("block", F.col("l").alias("i")), ["block", "i"], "left_semi")
     own = near.groupBy("block", F.col("j").alias("place")).agg(F.min(F.struct("dur", "i")).alias("w")).select("place", F.col("w.i").alias("cluster"))
-    tried.append(rank_one(cells.select("i", "j", "dur"), own).join(cells.select("block", "i", "j"), ["i", "j"]).select("block", F.lit("cluster").alias("form"), "i", "j", (F.col("dur") - F.col("residual")).alias("base"), "residual"))
+    tried.append(rank_one(cells.select("i", "j", "dur"), own).join(shuffled(cells.select("block", "i", "j")), ["i", "j"]).select("block", F.lit("cluster").alias("form"), "i", "j", (F.col("dur") - F.col("residual")).alias("base"), "residual"))
     every = stored(reduce(DataFrame.unionByName, tried), "forms")
     forms = every.groupBy("block", "form").agg(F.sum(encoded_bytes(F.col("residual"))).alias("bytes"))
     best = forms.groupBy("block").agg(F.min(F.struct("bytes", "form")).alias("w")).select("block", F.col("w.form").alias("chosen"))

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadspark.functions import geo
-from roadspark.operators import isochrone, nearest, paths, propagate
+from roadspark.operators import isochrone, matrix, nearest, paths, propagate
+from roadspark.plans import queries
 from roadspark.plans.queries import QUERIES, SQL
 from tests.oracle import same
 
@@ -152,3 +153,14 @@ def test_eligibility_makes_no_pairs(name, spark, small, monkeypatch):
     """The registered queries never join all jobs with all vehicles that fit."""
     monkeypatch.setattr(propagate, "eligible", None)
     assert QUERIES[name](spark, small).count() > 0
+
+
+def test_cells_are_never_broadcast(spark, small, monkeypatch):
+    """Tables that grow with the cells are joined by sorting, although their files are few bytes."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    cells, plans, real = queries.blocks(spark, small), {}, matrix.stored
+    monkeypatch.setattr(matrix, "stored", lambda df, name: plans.setdefault(name, plan(df)) and real(df, name))
+    matrix.farthest_landmarks(cells, 2)
+    assert plans["far"].count("SortMergeJoin") >= 1
+    kept = real(cells, "cells")
+    assert plan(matrix.rank_one(kept.select("i", "j", "dur"), kept.select(F.col("i").alias("place"), F.lit(1).alias("cluster")).distinct())).count("SortMergeJoin") >= 2
