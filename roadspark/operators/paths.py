@@ -367,10 +367,13 @@ def nearest_customers(edges: DataFrame, customers: DataFrame, k: int) -> DataFra
     return spread(customers, "node").mapInPandas(run, "src long, dst long, rank int, dur long, dist long")
 
 
-def via_hubs(forward: DataFrame, backward: DataFrame) -> DataFrame:
-    """Many-to-many by hub labels: forward(src, hub, dur, dist) and backward(dst, hub, dur, dist), the best hub of each pair."""
+def via_hubs(forward: DataFrame, backward: DataFrame, limit: int | None = None) -> DataFrame:
+    """Many-to-many by hub labels: forward(src, hub, dur, dist) and backward(dst, hub, dur, dist), the best hub of each pair; ways longer than limit are left out before they are compared."""
     b = backward.select("hub", "dst", F.col("dur").alias("b_dur"), F.col("dist").alias("b_dist"))
-    pairs = forward.join(b, "hub").groupBy("src", "dst").agg(F.min(F.struct((F.col("dur") + F.col("b_dur")).alias("dur"), (F.col("dist") + F.col("b_dist")).alias("dist"))).alias("w"))
+    ways = forward.join(b, "hub")
+    if limit is not None:
+        ways = ways.where(F.col("dur") + F.col("b_dur") <= limit)
+    pairs = ways.groupBy("src", "dst").agg(F.min(F.struct((F.col("dur") + F.col("b_dur")).alias("dur"), (F.col("dist") + F.col("b_dist")).alias("dist"))).alias("w"))
     return pairs.select("src", "dst", "w.dur", "w.dist")
 
 
@@ -419,14 +422,16 @@ def _path_by_joins(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 def hub_labels(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """Labels forward(src, hub, dur, dist) and backward(dst, hub, dur, dist) that tell every distance up to limit by `via_hubs`.
 
-    A label holds all within half the limit and one edge more: of the nodes of a fastest path of at most the
-    limit, the first in its later half is in both ends' labels.
+    Of the nodes of a fastest path of at most the limit, the first that lies half the limit or more from its start
+    (or else the path's end) is in both ends' labels: backward labels hold all within half the limit, forward labels
+    all within that and one edge more, but for what lies beyond the limit.
     """
     edges = stored(clean(edges), "edges")
     nodes = edges.select(F.col("src").alias("source")).union(edges.select("dst")).distinct()
-    radius = limit // 2 + int(edges.agg(F.coalesce(F.max("dur"), F.lit(0))).head()[0])
+    half = limit // 2
+    radius = min(limit, half + int(edges.agg(F.coalesce(F.max("dur"), F.lit(0))).head()[0]))
     forward = matrix(edges, nodes, limit=radius).select("src", F.col("dst").alias("hub"), "dur", "dist")
-    backward = matrix(transpose(edges), nodes, limit=radius).select(F.col("src").alias("dst"), F.col("dst").alias("hub"), "dur", "dist")
+    backward = matrix(transpose(edges), nodes, limit=limit - half).select(F.col("src").alias("dst"), F.col("dst").alias("hub"), "dur", "dist")
     return forward, backward
 
 

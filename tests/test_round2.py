@@ -164,3 +164,16 @@ def test_cells_are_never_broadcast(spark, small, monkeypatch):
     assert plans["far"].count("SortMergeJoin") >= 1
     kept = real(cells, "cells")
     assert plan(matrix.rank_one(kept.select("i", "j", "dur"), kept.select(F.col("i").alias("place"), F.lit(1).alias("cluster")).distinct())).count("SortMergeJoin") >= 2
+
+
+def test_hub_labels_are_short_and_whole(spark):
+    """Labels of random graphs tell every distance up to the limit, and backward labels reach no farther than half of it."""
+    rng = np.random.default_rng(9)
+    rows = [(int(a), int(b), int(w), int(x)) for a, b, w, x in zip(rng.integers(0, 30, 80), rng.integers(0, 30, 80), rng.integers(0, 12, 80), rng.integers(0, 4, 80)) if a != b]
+    df = spark.createDataFrame(rows, "src bigint, dst bigint, dur bigint, dist bigint")
+    for limit in (1, 15):
+        forward, backward = paths.hub_labels(df, limit)
+        assert max(r.dur for r in backward.collect()) <= limit - limit // 2 and max(r.dur for r in forward.collect()) <= limit
+        nodes = {r[0] for r in rows} | {r[1] for r in rows}
+        want = {(s, n, d, m) for s in nodes for n, (d, m) in plain(rows, s, limit).items()}
+        assert {tuple(r) for r in paths.via_hubs(forward, backward, limit).collect()} == want
