@@ -7,13 +7,15 @@ numbers of steps. Ties go to what comes first.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import discarded, spread, stored
-from .search import EPS, PLAN, Problem, insertion, insertion_order, local_search, moves, split
+from .search import COLUMNS, EPS, GAIN, PLAN, Problem, added, each_group, insertion, insertion_order, likely_moves, local_search, moves, problem_of, split
 
 INF = float("inf")
 
@@ -92,14 +94,17 @@ def solomon(p: Problem, weight: float = 0.5, reach: float = 1.0) -> list[list[in
 def regret(p: Problem, routes: list[list[int]], missing: list[int], depth: int = 3) -> list[list[int]]:
     """Puts missing stops back, first the one that loses most if its best route is not taken (over its `depth` best)."""
     routes, missing = [list(r) for r in routes], list(missing)
+    _, demand, full, _ = p.lists()
     while missing:
         best = (-INF, INF, None, 0, 0)
+        open_routes = [(r, p.route_cost(r) if r else 0.0, p.load(r)) for r in [*routes, *([[]] if len(routes) < p.vehicles else [])]]
         for k in missing:
             options = []
-            for a, r in enumerate([*routes, *([[]] if len(routes) < p.vehicles else [])]):
-                base = p.route_cost(r) if r else 0.0
+            for a, (r, base, load) in enumerate(open_routes):
+                if load + demand[k] > full:
+                    continue
                 cost, at = min((p.route_cost(r[:b] + [k] + r[b:]) - base, b) for b in range(len(r) + 1))
-                if np.isfinite(cost):
+                if math.isfinite(cost):
                     options.append((float(cost), a, at))
             options.sort()
             if options:
@@ -163,14 +168,78 @@ def every_move(p: Problem, routes: list[list[int]]):
     yield from route_splits(routes, p.vehicles)
 
 
+def likely_crosses(p: Problem, routes: list[list[int]]):
+    """Of `cross_exchange` with segments of two, in its order, those that may gain (see `search.likely_moves`)."""
+    rows, loads, most, limit = p.lists()
+    lines, total = [[0, *r, 0] for r in routes], [p.load(r) for r in routes]
+
+    def pairs(line):
+        """Before, first, last, after, travel forth from before to after and load of each segment."""
+        for w, x, y, z in zip(line, line[1:], line[2:], line[3:]):
+            yield w, x, y, z, rows[w][x] + rows[x][y] + rows[y][z], loads[x] + loads[y]
+
+    for a in range(len(routes)):
+        for b in range(a + 1, len(routes)):
+            r, s, free_r, free_s = routes[a], routes[b], most - total[a], most - total[b]
+            others = list(pairs(lines[b]))
+            for i, (w, x, y, z, legs, load) in enumerate(pairs(lines[a])):
+                from_w = rows[w]
+                for j, (before, one, two, after, theirs, other) in enumerate(others):
+                    if other - load > free_r or load - other > free_s:
+                        continue
+                    room, into = legs + theirs + limit, rows[before]
+                    for u, v in ((one, two), (two, one)):
+                        mine = from_w[u] + rows[u][v] + rows[v][z]
+                        for g, h in ((x, y), (y, x)):
+                            if not mine + into[g] + rows[g][h] + rows[h][after] > room:
+                                yield (a, b), [r[:i] + [u, v] + r[i + 2 :], s[:j] + [g, h] + s[j + 2 :]]
+
+
+def likely_swaps(p: Problem, routes: list[list[int]]):
+    """Of `swap_star`, in its order, those between stops that may gain at their best places."""
+    rows, loads, most, limit = p.lists()
+    total = [p.load(r) for r in routes]
+
+    def without(line):
+        """Of each stop of a line: travel saved without it, and the legs that are left."""
+        legs = [(x, y, rows[x][y]) for x, y in zip(line, line[1:])]
+        for i, (w, x, y) in enumerate(zip(line, line[1:], line[2:])):
+            yield x, legs[i][2] + legs[i + 1][2] - rows[w][y], [*legs[:i], (w, y, rows[w][y]), *legs[i + 2 :]]
+
+    held = [list(without([0, *r, 0])) for r in routes]
+    for a in range(len(routes)):
+        for b in range(a + 1, len(routes)):
+            free_a, free_b = most - total[a], most - total[b]
+            for u, saved, left in held[a]:
+                for v, theirs, rest in held[b]:
+                    if loads[v] - loads[u] > free_a or loads[u] - loads[v] > free_b:
+                        continue
+                    room, from_u, from_v = saved + theirs + limit, rows[u], rows[v]
+                    least = min([rows[x][v] + from_v[y] - leg for x, y, leg in left])
+                    if least + min([rows[x][u] + from_u[y] - leg for x, y, leg in rest]) > room:
+                        continue
+                    r, s = [k for k in routes[a] if k != u], [k for k in routes[b] if k != v]
+                    for x in _places(p, r, v):
+                        for y in _places(p, s, u):
+                            yield (a, b), [r[:x] + [v] + r[x:], s[:y] + [u] + s[y:]]
+
+
+def likely_every(p: Problem, routes: list[list[int]]):
+    """`every_move` without moves that feasible routes cannot gain by."""
+    yield from likely_moves(p, routes)
+    yield from likely_crosses(p, routes)
+    yield from likely_swaps(p, routes)
+    yield from route_splits(routes, p.vehicles)
+
+
 def polished(p: Problem, routes: list[list[int]], most: int = 50) -> list[list[int]]:
     """First improvements among all moves until none is left, `most` at most."""
     routes = [list(r) for r in routes if r]
     costs = [p.route_cost(r) for r in routes]
     for _ in range(most):
-        for which, new in every_move(p, routes):
+        for which, new in likely_every(p, routes) if INF not in costs else every_move(p, routes):
             after = [p.route_cost(r) if r else 0.0 for r in new]
-            if sum(after) < sum(costs[k] for k in which) - 1e-7:
+            if added(after) < added(costs[k] for k in which) - GAIN:
                 keep = [k for k in range(len(routes)) if k not in which]
                 fresh = [(r, c) for r, c in zip(new, after) if r]
                 routes = [routes[k] for k in keep] + [r for r, _ in fresh]
@@ -234,7 +303,7 @@ def repaired(p: Problem, routes: list[list[int]]) -> list[list[int]]:
             done = False
             for i, out in enumerate(r):
                 swapped = r[:i] + [k] + r[i + 1 :]
-                if not np.isfinite(p.route_cost(swapped)):
+                if not math.isfinite(p.route_cost(swapped)):
                     continue
                 new = regret(p, [*routes[:a], swapped, *routes[a + 1 :]], [out])
                 if not set(unserved(p, new)) & {out}:
@@ -460,6 +529,8 @@ def islands(problems: DataFrame, count: int, rounds: int, capacity: float, vehic
 def medoid_clusters(d: np.ndarray, count: int, rounds: int = 20) -> np.ndarray:
     """The cluster of each place by k-medoids: farthest places first, then assignment and medoids by turns until nothing changes."""
     n = len(d)
+    if min(count, n) == 1:
+        return np.zeros(n, int)
     both = (d + d.T) / 2
     chosen = [int(np.argmax(both.sum(axis=1)))]
     while len(chosen) < min(count, n):
@@ -492,41 +563,41 @@ def decomposed(problems: DataFrame, size: int, capacity: float, vehicles: int, k
     """
     from .search import solve
 
-    names = [f.name for f in problems.schema.fields]
+    problems = problems.select(*COLUMNS)
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i").reset_index(drop=True)
-        p = Problem.of(pdf, capacity, vehicles)
+    def cluster(key, whole):
+        p = problem_of(whole, capacity, vehicles)
         count = max(1, -(-(p.n - 1) // size))
         own = medoid_clusters(p.d[1:, 1:], count) if p.n > 1 else np.zeros(0, int)
         used = sorted(set(own.tolist()))
         share = vehicle_shares([float(p.demand[1:][own == c].sum()) for c in used], vehicles) if used else []
-        parts = [pdf.iloc[[0, *(np.flatnonzero(own == c) + 1)]].assign(cluster=c, share=s) for c, s in zip(used, share)]
-        return pd.concat(parts or [pdf.assign(cluster=0, share=vehicles)])[[*names, "cluster", "share"]]
+        rows = list(zip(*(whole[n].tolist() for n in COLUMNS[1:])))
+        for c, s in zip(used or [0], share or [vehicles]):
+            yield from ((*key, *rows[k], c, s) for k in [0, *(np.flatnonzero(own == c) + 1).tolist()])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in problems.schema.fields)
-    clusters = stored(spread(problems, "problem").groupBy("problem").applyInPandas(cluster, f"{kinds}, cluster long, share long"), "clusters")
+    clusters = stored(each_group(problems, ["problem"], cluster, f"{kinds}, cluster long, share long"), "clusters")
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        p, own = Problem.of(pdf, capacity, int(pdf["share"].iloc[0])), pdf["i"].tolist()
-        out = [[own[k] for k in r] for r in solve(p, 0, kicks, most)]
-        return pd.DataFrame({"problem": pdf["problem"].iloc[0], "routes": [out]})
+    def search(key, part):
+        p, own = problem_of(part, capacity, int(part["share"][0])), part["i"].tolist()
+        yield key[0], [[own[k] for k in r] for r in solve(p, 0, kicks, most)]
 
-    parts = stored(spread(clusters, "problem", "cluster").groupBy("problem", "cluster").applyInPandas(search, "problem long, routes array<array<long>>"), "parts")
+    parts = stored(each_group(clusters, ["problem", "cluster"], search, "problem long, routes array<array<long>>"), "parts")
     plans = parts.groupBy("problem").agg(F.flatten(F.sort_array(F.collect_list("routes"))).alias("routes"))
 
-    def polish(pdf: pd.DataFrame) -> pd.DataFrame:
-        plan = pdf["routes"].iloc[0]
-        pdf = pdf.sort_values("i")
-        p, own = Problem.of(pdf, capacity, vehicles), pdf["i"].tolist()
+    def polish(key, whole):
+        plan, whole = whole["routes"][-1], {n: c[:-1] for n, c in whole.items()}
+        p, own = problem_of(whole, capacity, vehicles), whole["i"].tolist()
         place = {n: k for k, n in enumerate(own)}
         routes = within_fleet(p, [[place[int(k)] for k in r] for r in plan], vehicles)
         routes = polished(p, repaired(p, routes), most)
-        out = [[own[k] for k in r] for r in routes]
-        return pd.DataFrame([(pdf["problem"].iloc[0], 0, p.cost(routes), len(unserved(p, routes)), out)], columns=["problem", "seed", "cost", "unserved", "routes"])
+        yield key[0], 0, float(p.cost(routes)), len(unserved(p, routes)), [[own[k] for k in r] for r in routes]
 
-    return spread(problems.join(plans, "problem"), "problem").groupBy("problem").applyInPandas(polish, PLAN)
+    # a plan is the last row of its problem's group
+    fields = [f for f in problems.schema.fields if f.name != "problem"]
+    last = plans.select("problem", *[F.lit(0).cast(f.dataType).alias(f.name) for f in fields], F.lit(1).alias("last"), "routes")
+    both = problems.select("*", F.lit(0).alias("last"), F.lit(None).cast("array<array<bigint>>").alias("routes")).unionByName(last)
+    return each_group(both, ["problem"], polish, PLAN, ("last", "i"))
 
 
 def farthest_first(points: DataFrame, group: str, lat: str = "lat", lon: str = "lon") -> DataFrame:

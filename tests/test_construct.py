@@ -214,3 +214,24 @@ def test_each_group_over_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     want = [(None, list(range(40))), (1, [*range(40), None]), (2, [0]), (5, list(range(40)))]
     assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
+
+
+def test_likely_larger_moves_keep_every_first_improvement():
+    rng, found = np.random.default_rng(12), 0
+    for t in range(60):
+        p = windowed(rng, int(rng.integers(4, 13)), t % 2)
+        np.fill_diagonal(p.d, 0)
+        p = search.Problem(p.d, p.demand, p.ready, p.due, p.service, p.capacity, p.vehicles)
+        routes = search.insertion(p, search.insertion_order(p, rng))
+        for some, whole in ((construct.likely_crosses(p, routes), construct.cross_exchange(routes)), (construct.likely_swaps(p, routes), construct.swap_star(p, routes)), (construct.likely_every(p, routes), construct.every_move(p, routes))):
+            got = first_gain(p, routes, whole)
+            assert first_gain(p, routes, some) == got
+            found += got is not None
+    assert found > 30
+
+
+def test_clusters_keep_problems_without_a_number(spark):
+    rows = [(k, i, float(i * 7 % 5), float(i * 3 % 11), 1.0, 0.0, 1e6, 0.0) for k in (None, 3) for i in range(9)]
+    df = spark.createDataFrame(rows, "problem long, i long, x double, y double, demand double, ready double, due double, service double")
+    one, other = sorted(construct.decomposed(df, 4, 5.0, 3, 0, 5).collect(), key=lambda r: r.problem or 0)
+    assert (one.problem, other.problem) == (None, 3) and one[1:] == other[1:] and sorted(k for r in one.routes for k in r) == list(range(1, 9))
