@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.lineage import BROADCAST_ROWS, discarded, scratch, stored
 
-__all__ = ["ASCII_SPACE", "BROADCAST_ROWS", "LOWER", "cut", "discarded", "hash_runs", "mix", "numbered", "released", "row_blocks", "scratch", "stored", "table", "text_buffers"]
+__all__ = ["ASCII_SPACE", "BROADCAST_ROWS", "LOWER", "cut", "discarded", "forgotten", "hash_runs", "kept", "mix", "numbered", "released", "row_blocks", "scratch", "stored", "table", "text_buffers"]
 _U64 = np.uint64
 
 
@@ -55,6 +55,23 @@ except (AttributeError, OSError):  # other C libraries give memory back by thems
     _TRIM = None
 
 
+_KEPT: dict = {}
+
+
+def kept(key: str, make):
+    """What make() gave in this worker for the key; only one key's value is kept at a time, from task to task."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forgotten() -> None:
+    """Drops what the worker has kept: workers are used again by other operators, which need the memory."""
+    _KEPT.clear()
+    released()
+
+
 def released() -> None:
     """Gives memory that is not used any more back to the machine, for workers that wait or do something else next."""
     pa.default_memory_pool().release_unused()

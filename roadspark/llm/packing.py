@@ -22,14 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, LOWER, cut, hash_runs, row_blocks, table, text_buffers
+from .common import ASCII_SPACE, LOWER, cut, hash_runs, kept, row_blocks, table, text_buffers
 
 CAPACITY = 4096
 WINDOW = 1 << 20
 BLOCK = 1 << 20
 CACHED = 500_000
 LETTER, STOP = table(b"abcdefghijklmnopqrstuvwxyz"), table(b".,")
-_TOKENIZERS: dict = {}
 
 
 def _byte_chars() -> dict[int, int]:
@@ -113,10 +112,8 @@ class ChunkTokenizer:
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
-    """One a Python worker."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ChunkTokenizer(path)
-    return _TOKENIZERS[path]
+    """One a Python worker, until another operator's task clears it."""
+    return kept(f"tokenizer {path}", lambda: ChunkTokenizer(path))
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, table, text_buffers
+from .common import forgotten, numbered, row_blocks, table, text_buffers
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,6 +37,8 @@ SIGNAL = table(b"0123456789@")
 CONTEXT = 3
 #: Emissions that a worker keeps.
 CACHED = 20_000
+#: Text that a worker looks at together.
+BLOCK_BYTES = 1 << 20
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 
 #: Phrases of the labelled table: {} is a slot for the forms of its list; several phrases share a line.
@@ -360,36 +362,40 @@ def scan(docs: DataFrame, text_col: str = "text", sentences=None) -> DataFrame:
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches):
+        forgotten()
         finder = Finder(model.value)
         for batch in batches:
             column = batch.column(at)
             data, offsets = text_buffers(column)
-            marks = np.concatenate([[0], np.cumsum(SIGNAL[data])])
-            hit = np.flatnonzero(marks[offsets[1:]] > marks[offsets[:-1]])
-            more = np.zeros(batch.num_rows, bool)
-            more[hit] = True
-            raw = data.tobytes()
-            for m in WRITTEN_AT_BYTES.finditer(raw):
-                more[np.searchsorted(offsets, m.start(), "right") - 1] = True
-            hit = np.flatnonzero(more)
             counts = np.zeros((4, batch.num_rows), np.int64)
             base, spans = [""] * batch.num_rows, [""] * batch.num_rows
-            new: dict[int, str] = {}
-            for lo in range(0, len(hit), 500):
-                part = hit[lo : lo + 500].tolist()
-                texts = [raw[offsets[i] : offsets[i + 1]].decode() for i in part]
-                for i, text, (good, extra) in zip(part, texts, finder.find(texts)):
-                    for k, _, _ in good:
-                        counts[k, i] += 1
-                    base[i], spans[i] = written(good), written(good + extra)
-                    if good or extra:
-                        new[i] = redacted(text, good + extra)
-            if new:
-                text = column.to_pylist()
-                for i, x in new.items():
-                    text[i] = x
-                column = pa.array(text, column.type)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, counts), pa.array(base, pa.string()), pa.array(spans, pa.string()), column], names=[*names, *added])
+            texts_out = [column.slice(0, 0)]
+            for a, b in row_blocks(offsets, BLOCK_BYTES):
+                own, block = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
+                raw = block.tobytes()
+                more = np.zeros(b - a, bool)
+                more[np.searchsorted(own, np.flatnonzero(SIGNAL[block]), "right") - 1] = True
+                for m in WRITTEN_AT_BYTES.finditer(raw):
+                    more[np.searchsorted(own, m.start(), "right") - 1] = True
+                hit = np.flatnonzero(more)
+                new: dict[int, str] = {}
+                for lo in range(0, len(hit), 500):
+                    part = hit[lo : lo + 500].tolist()
+                    texts = [raw[own[i] : own[i + 1]].decode() for i in part]
+                    for i, text, (good, extra) in zip(part, texts, finder.find(texts)):
+                        for k, _, _ in good:
+                            counts[k, a + i] += 1
+                        base[a + i], spans[a + i] = written(good), written(good + extra)
+                        if good or extra:
+                            new[i] = redacted(text, good + extra)
+                some = column.slice(a, b - a)
+                if new:
+                    text = some.to_pylist()
+                    for i, x in new.items():
+                        text[i] = x
+                    some = pa.array(text, column.type)
+                texts_out.append(some)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, counts), pa.array(base, pa.string()), pa.array(spans, pa.string()), pa.concat_arrays(texts_out)], names=[*names, *added])
 
     out = rows.mapInArrow(run, f"{kinds}, {', '.join(f'n_{k} long' for k in KINDS)}, base string, spans string, redacted string")
     return out.toDF(*own, *added)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, BROADCAST_ROWS, LOWER, cut, hash_runs, mix, numbered, row_blocks, stored, table, text_buffers
+from .common import ASCII_SPACE, BROADCAST_ROWS, LOWER, cut, forgotten, hash_runs, mix, numbered, row_blocks, stored, table, text_buffers
 
 BLOCK_BYTES = 1 << 20
 #: Bytes of a line that are hashed as one run.
@@ -223,6 +223,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     names = plain.columns
 
     def run(batches):
+        forgotten()
         for batch in batches:
             data, offsets = text_buffers(batch.column(at))
             parts = [model.score(statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in row_blocks(offsets, BLOCK_BYTES)]

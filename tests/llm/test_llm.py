@@ -733,3 +733,31 @@ def test_html_against_plain_expressions_on_all_pages(spark, small):
     want = {r.page_id: simplest(r.html or "") for r in pages.collect()}
     assert {k: t for k, (t, _) in got.items()} == want and all(n == len(t) for t, n in got.values())
     assert html_extract.main_text(pages.where("false").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(1))).count() == 0
+
+
+def test_pii_reads_batches_in_blocks(spark, monkeypatch):
+    """A worker looks at a large batch block by block, and drops what another operator's task kept."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from roadspark.llm import common
+
+    frame, taken = docs(spark, [(0, "a")]).select("doc_id", "text"), []
+    real = type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, *a, **b: taken.append(f) or real(self, f, *a, **b))
+    pii.scan(frame)
+    texts = [None if k == 3 else ("plain words here " * 500 + ("call me at 555-678-9955 tomorrow " if k % 100 == 0 else "")) for k in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(texts)], names=["c0", "c1"])
+    common.kept("other", lambda: 1)
+    tracemalloc.start()
+    try:
+        (out,) = taken[0]([batch])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    redacted = out.column(out.num_columns - 1).to_pylist()
+    assert redacted == [t and t.replace("555-678-9955", "<PHONE>") for t in texts]
+    assert common.kept("other", lambda: 2) == 2
+    common.forgotten()
+    assert peak < 60e6, peak  # 8.5 MB of text
